@@ -73,9 +73,10 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         part = ((s >> U64(32)) * U64(n1)) >> U64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums = np.add.reduceat(spread, first)
-        out.append(mix(sums + part[first] * _PART_SALT + U64(b) * _BAND_SALT))
+        salt = np.array([b], np.uint64) * _BAND_SALT
+        out.append(mix(sums + part[first] * _PART_SALT + salt))
         if len(first) <= k:
-            out.append(mix(np.array([_SPARSE + U64(b) * _BAND_SALT], np.uint64)))
+            out.append(mix(_SPARSE + salt))
     return np.concatenate(out)
 
 
@@ -249,7 +250,7 @@ def _across(groups: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
 
 
-def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id long, text string, other columns ignored).
 
     A row's set: the distinct k-word shingles of its text, words being `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased;
@@ -277,8 +278,9 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
         by = _by_component(groups, found)
         pairs = _star(by) if step < star_rounds else _across(by, percent)
         new = saved(verify.links(pairs), "links")
-        links = new if links is None else links.union(new)
-        found = saved(components(links), "components")
+        if found is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = saved(components(links), "components")
     linked = found.join(sets.select(F.col("rep").alias("node"), "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = (
