@@ -4,9 +4,11 @@ Only suffixes that can share a whole window need sorting. Every window holds an
 leftmost least hash among its short grams. Equal windows have equal anchors at equal places,
 so the anchor is the first pass: suffixes are dealt out by anchor, and those whose anchor is
 alone are done. Suffixes in a row that share an anchor form a stretch; stretches equal as a
-whole settle all their suffixes at once. What is left, around the ends of repeated
-passages, goes through passes on further digits until the depth is reached; equal groups are
-the repeated windows. One copy of each stretch stands for all, so no group is ever gathered.
+whole settle all their suffixes at once, and one copy stands for all. The others are cut into
+blocks of suffixes at equal distances from the anchor: a block whose common bytes occur once is
+done, and where all blocks with the same common bytes are equal, they are repeated as a whole.
+The suffixes of the blocks left, around the ends of repeated passages, go through passes on
+further digits until the depth is reached; equal groups are the repeated windows.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved, signed
+from .storage import release, saved, signed
 from .textarrays import U64, mix, powers, prefix_hash, range_hash, slices
 
-WINDOW, GRAM, DIGITS = 400, 64, 2
+WINDOW, GRAM, DIGITS, BLOCK = 400, 64, 2, 16
 _LOW = U64(0xFFFFFFFF)
 
 
@@ -39,11 +41,11 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """(row, anchor hash, hash of all its bytes, first and last window start within the row) of every stretch."""
+    """(row, anchor hash, hash of all its bytes, first and last window start within the row, anchor less first) of every stretch."""
     empty = np.zeros(0, np.int64)
     n = len(data) - window + 1
     if n <= 0:
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     h = prefix_hash(data)
     _, down = powers(len(h))
     m = len(data) - gram + 1
@@ -57,7 +59,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     first = np.flatnonzero(cut & good)
     stops = np.flatnonzero(np.concatenate((cut[1:] | ~good[1:], [True])) & good)
     row = row[first]
-    return row, grams[at[first]], range_hash(h, first, stops + window), first - offsets[row], stops - offsets[row]
+    return row, grams[at[first]], range_hash(h, first, stops + window), first - offsets[row], stops - offsets[row], at[first] - first
 
 
 def _anchors(window: int, gram: int):
@@ -65,34 +67,69 @@ def _anchors(window: int, gram: int):
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for a, _, data, offsets in slices(batch.column("text")):
-                row, anchor, whole, first, last = stretches(data, offsets, window, gram)
+                row, anchor, whole, first, last, ahead = stretches(data, offsets, window, gram)
                 yield pa.record_batch(
-                    [signed(anchor), signed(whole), pa.array(k1[row + a]), pa.array(k2[row + a]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    names=["anchor", "whole", "k1", "k2", "a", "b"],
+                    [signed(anchor), signed(whole), pa.array(k1[row + a]), pa.array(k2[row + a]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(ahead.astype(np.int32))],
+                    names=["anchor", "whole", "k1", "k2", "a", "b", "s"],
                 )
 
     return run
 
 
-def _suffixes(window: int, digits: int):
-    """Rows (whole, place, d0, d1, ...) of the suffixes of the listed stretches, digits being hashes of equal blocks."""
+def _lots(batch: pa.RecordBatch, lot: int) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
+    """(bytes, prefix hashes, columns) of the listed rows of each text, `lot` of them at a time."""
+    listed = batch.column("todo")
+    for r, _, data, _ in slices(batch.column("text"), 1):  # text by text
+        h, todo = prefix_hash(data), listed[r].values
+        for i in range(0, len(todo), lot):
+            part = todo.slice(i, lot)
+            yield len(data), h, {f.name: part.field(f.name).to_numpy() for f in todo.type}
+
+
+def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index n[index] times, and the count within it."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _blocks(window: int, size: int):
+    """Rows (whole, anchor, j, core, full) of the listed stretches: hashes of the bytes that all and that any suffix of a block has.
+
+    Block j has the suffixes that start j * size to j * size + size - 1 bytes before the anchor; one that leaves its text has nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length, h, c in _lots(batch, 2000):
+                at = c["a"] + c["s"]
+                low = (at - c["b"]) // size
+                i, j = _repeat(c["s"] // size - low + 1)
+                j = j + low[i]
+                last = at[i] - j * size
+                first = last - size + 1
+                out = (first < 0) | (last + window > length)
+                x, y = np.maximum(first, 0), np.minimum(last, length - window)
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                hashes = [pa.array(range_hash(h, p, q + window).view(np.int64), mask=out) for p, q in ((y, x), (x, y))]
+                yield pa.record_batch([pa.array(c["whole"][i]), pa.array(c["anchor"][i]), pa.array(j.astype(np.int32)), *hashes], names=["whole", "anchor", "j", "core", "full"])
+
+    return run
+
+
+def _suffixes(window: int, size: int, digits: int):
+    """Rows (whole, place, d0, d1, ...) of the suffixes of the listed blocks; digits are hashes of equal parts, place is from the anchor."""
     cuts = [window * i // digits for i in range(digits + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column("todo")
-            for r, _, data, offsets in slices(batch.column("text"), 1):  # text by text
-                h = prefix_hash(data)
-                todo = listed[r].as_py()
-                for lot in (todo[i : i + 500] for i in range(0, len(todo), 500)):
-                    a = np.array([x["a"] for x in lot])
-                    n = np.array([x["b"] for x in lot]) - a + 1
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(a, n) + place
-                    yield pa.record_batch(
-                        [pa.array(np.repeat(np.array([x["whole"] for x in lot]), n)), pa.array(place.astype(np.int32)), *(signed(range_hash(h, at + x, at + y)) for x, y in zip(cuts, cuts[1:]))],
-                        names=["whole", "place", *(f"d{i}" for i in range(digits))],
-                    )
+            for _, h, c in _lots(batch, 5000):
+                last = np.minimum(c["at"] - c["j"] * size, c["b"])  # others belong to another stretch
+                first = np.maximum(c["at"] - c["j"] * size - size + 1, c["a"])
+                i, place = _repeat(np.maximum(last - first + 1, 0))
+                start = first[i] + place
+                yield pa.record_batch(
+                    [pa.array(c["whole"][i]), pa.array((start - c["at"][i]).astype(np.int32)), *(signed(range_hash(h, start + x, start + y)) for x, y in zip(cuts, cuts[1:]))],
+                    names=["whole", "place", *(f"d{i}" for i in range(digits))],
+                )
 
     return run
 
@@ -125,30 +162,46 @@ def _removal(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK) -> DataFrame:
     """(k1, k2, spans array of (a, b)): for each text, named by two hashes, the starts a..b of its repeated windows."""
+    spark = docs.sparkSession
     named = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text").where("text is not null")
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("bytes"))
     copied = copies.where(f"n > 1 and bytes >= {window}").select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
-    anchors = named.where(F.octet_length("text") >= window).mapInArrow(_anchors(window, gram), "anchor long, whole long, k1 long, k2 long, a int, b int")
+    anchors = named.where(F.octet_length("text") >= window).mapInArrow(_anchors(window, gram), "anchor long, whole long, k1 long, k2 long, a int, b int, s int")
     anchors = saved(anchors, "anchors")
-    # Pass 1: by anchor. A stretch occurs again if it does so at another place, or in another text.
+    # By anchor, then by stretch: a stretch occurs again if it does so at another place, or in another text.
+    several = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     place = F.xxhash64("k1", "k2", "a")
-    kinds = anchors.groupBy("anchor", "whole").agg(F.min(place).alias("p"), F.max(place).alias("q"), *(F.first(c).alias(c) for c in ("k1", "k2", "a", "b")))
-    kinds = saved(kinds.withColumn("again", F.col("p") != F.col("q")), "stretches")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    todo = kinds.join(mixed, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("whole", "a", "b")).alias("todo"))
-    todo = saved(todo, "todo")
-    texts = named.join(todo.select("k1", "k2", "todo"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    kinds = anchors.join(several, "anchor").groupBy("anchor", "whole").agg((F.min(place) != F.max(place)).alias("again"), *(F.first(c).alias(c) for c in ("mixed", "k1", "k2", "a", "b", "s")))
+    kinds = saved(kinds.where("again or mixed"), "stretches")
+    release(spark)
+
+    def of_texts(rows: DataFrame, columns: list[str]) -> DataFrame:
+        todo = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("todo"))
+        return named.join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "todo")
+
+    blocks = of_texts(kinds.where("mixed"), ["whole", "anchor", "a", "b", "s"]).mapInArrow(_blocks(window, size), "whole long, anchor long, j int, core long, full long")
+    blocks = saved(blocks, "blocks")
+    release(spark)
+    cores = blocks.groupBy("j", "core").agg(F.min("full").alias("p"), F.max("full").alias("q")).where("p <> q").select("j", "core")
+    edges = blocks.where("core is null").select("anchor", "j").distinct()
+    open_blocks = blocks.join(cores, ["j", "core"], "left_semi").select("whole", "j", "full").union(blocks.join(edges, ["anchor", "j"], "left_semi").select("whole", "j", "full"))
+    one_each = open_blocks.where("full is not null").dropDuplicates(["j", "full"]).union(open_blocks.where("full is null").distinct())
+    placed = one_each.join(kinds.select("whole", "k1", "k2", "a", "b", (F.col("a") + F.col("s")).alias("at")), "whole")
     columns = ", ".join(f"d{i} long" for i in range(digits))
-    left = saved(texts.select("text", "todo").mapInArrow(_suffixes(window, digits), f"whole long, place int, {columns}"), "suffixes")
-    # Further passes: a suffix stays while another stretch has one with the same digits so far.
+    left = saved(of_texts(placed, ["whole", "j", "at", "a", "b"]).mapInArrow(_suffixes(window, size, digits), f"whole long, place int, {columns}"), "suffixes")
+    release(spark)
+    # By one digit more in each pass: a suffix stays while another stretch has one with the same digits so far.
     for depth in range(1, digits + 1):
         keys = [f"d{i}" for i in range(depth)]
         groups = left.groupBy(*keys).agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select(*keys)
         left = saved(left.join(groups, keys, "left_semi"), "suffixes")
-    single = left.join(kinds.where("not again").select("whole", "k1", "k2", F.col("a").alias("base")), "whole")
-    single = single.select("k1", "k2", (F.col("base") + F.col("place")).alias("a"), (F.col("base") + F.col("place")).alias("b"))
+    same = blocks.where("full is not null").groupBy("j", "full").agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select("j", "full")
+    settled = blocks.join(same, ["j", "full"], "left_semi").select("whole", (-F.col("j") * size - (size - 1)).alias("x"), (-F.col("j") * size).alias("y"))
+    found = settled.union(left.select("whole", F.col("place").alias("x"), F.col("place").alias("y")))
+    single = found.join(kinds.where("not again").select("whole", "k1", "k2", (F.col("a") + F.col("s")).alias("at")), "whole")
+    single = single.select("k1", "k2", (F.col("at") + F.col("x")).alias("a"), (F.col("at") + F.col("y")).alias("b"))
     full = anchors.join(kinds.where("again").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("k1", "k2", "a", "b").distinct()
     return full.union(single).union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -161,6 +214,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     a task grows with its longest text, by about 100 bytes for each of its bytes.
     """
     spans = saved(repeated_spans(docs, window), "spans")
+    release(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"))
     joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
     return joined.mapInArrow(_removal(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
