@@ -1,4 +1,535 @@
 """Registered queries of the motion operators, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import geometry as g
+from .functions import media as m
+from .operators import detect, media, motion, perf, render, sequence, trajectory
+from .plans.stabilise import export_plan, stabilise
+from .sources import adapters as a
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+TRACKS = """tracks as (select user_id as clip_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as frame_idx,
+  event_type <> 'error' as delta_valid, value - 50.0 as delta_x, cast(regexp_extract(props, '([0-9]+)', 1) as double) - 50.0 as delta_y,
+  event_type = 'signup' as center_valid, value as center_x from events)"""
+FLOWS = "flows as (select label as frame_idx, vec_id as pt_id, cast(embedding[1] as double) * 10.0 as dx, cast(embedding[2] as double) * 10.0 as dy from embeddings)"
+DETS = """dets as (select l_orderkey as frame_idx, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as integer) as det_id,
+  l_linenumber % 2 as class_id, l_extendedprice as score, cast(l_partkey % 40 as double) as x1, cast(l_suppkey % 40 as double) as y1,
+  cast(l_partkey % 40 as double) + l_quantity as x2, cast(l_suppkey % 40 as double) + l_quantity as y2 from lineitem)"""
+PACKETS = """packets as (select user_id as clip_id, case when event_type in ('click', 'view') then 0 else 1 end as stream_rank, event_id as pkt_id,
+  cast(event_id * 1000 as bigint) as ts_us, cast(event_id * 1000 + cast(trunc(value * 100) as bigint) as bigint) as dts from events)"""
+
+
+def _add(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def _rounded(df, *names: str, places: int = 6):
+    """Doubles as both engines write them: rounded, and without negative zero."""
+    return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
+
+
+def _r(x):
+    return F.round(x, 6) + F.lit(0.0)
+
+
+#: Queries of expressions over one table: name -> (table, key columns, alias -> DuckDB expression).
+_SCALARS: dict = {}
+_SW, _SH = ('(p_partkey % 3000 + 16)', '((p_size % 50) * 50 + 20)')
+def _even(expr: str) -> str:
+    scaled = f'cast(floor({expr} * least(1.0::double, 1080.0::double / greatest({_SW}, {_SH})) + 0.5) as bigint)'
+    return f'cast(greatest(2, {scaled} - {scaled} % 2) as integer)'
+_SCALARS["prj1_proxy_size"] = ("part", ('p_partkey',), {
+    "proxy_w": _even(_SW),
+    "proxy_h": _even(_SH),
+})
+_scale = f'least(640.0::double / {_SW}, 640.0::double / {_SH})'
+_nw, _nh = (f'cast(floor({_SW} * {_scale} + 0.5) as integer)', f'cast(floor({_SH} * {_scale} + 0.5) as integer)')
+_SCALARS["prj2_letterbox"] = ("part", ('p_partkey',), {
+    "scale": f'round({_scale}, 6)',
+    "new_w": _nw,
+    "new_h": _nh,
+    "pad_x": f'cast(floor((640 - {_nw}) / 2) as integer)',
+    "pad_y": f'cast(floor((640 - {_nh}) / 2) as integer)',
+})
+_LK = ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity')
+_n, _m = ('(l_partkey % 640)', '(l_suppkey % 360)')
+_cl = lambda v, top: f'least(greatest({v}, 0.0::double), {top}.0::double)'
+_SCALARS["prj4_unletterbox"] = ("lineitem", _LK, {
+    "x1": f'round({_cl(f'({_n} - l_quantity) / 0.5', 1279)}, 6)',
+    "y1": f'round({_cl(f'({_m} - l_quantity / 2 - 12) / 0.5', 671)}, 6)',
+    "x2": f'round({_cl(f'({_n} + l_quantity) / 0.5', 1279)}, 6)',
+    "y2": f'round({_cl(f'({_m} + l_quantity / 2 - 12) / 0.5', 671)}, 6)',
+})
+_SCALARS["prj5_integer_box"] = ("lineitem", _LK, {
+    "x": f'cast(greatest(0, floor({_n} - 5.5)) as integer)',
+    "y": f'cast(greatest(0, floor({_m} - 5.5)) as integer)',
+    "w": f'cast(greatest(0, least(640, ceil({_n} + l_quantity)) - greatest(0, floor({_n} - 5.5))) as integer)',
+    "h": f'cast(greatest(0, least(360, ceil({_m} + l_quantity)) - greatest(0, floor({_m} - 5.5))) as integer)',
+})
+_SCALARS["prj6_8_points"] = ("lineitem", _LK, {
+    "center_x": f'round({_n} + l_quantity * 0.5::double, 6)',
+    "center_y": f'round({_m} + l_quantity * 0.5::double, 6)',
+    "full_x": f'{_n} + 100',
+})
+_sx = '((value - 50.0) / 10)'
+_SCALARS["prj9_13_14_weights"] = ("events", ('event_id',), {
+    "sigmoid": f'round(case when {_sx} >= 0 then 1 / (1 + exp(-{_sx})) else exp({_sx}) / (1 + exp({_sx})) end, 6)',
+    "weight": f'round(case when {_sx} > 0 then 1 / ({_sx} * {_sx}) else 1 / (1e-3::double * 1e-3::double) end, 3)',
+    "huber": 'round(case when value <= 6 then 1.0::double else 6.0::double / value end, 6)',
+})
+_SCALARS["prj10_11_masks"] = ("embeddings", ('vec_id',), {
+    "logit": 'round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: cast(p[1] as double) * cast(p[2] as double))), 5) + 0.0::double',
+    "bright": 'cast(len(list_filter(embedding, lambda v: v >= 0.1)) as integer)',
+})
+_SCALARS["prj12_clamps"] = ("events", ('event_id',), {
+    "unit": 'round(least(greatest(value / 60, 0.0::double), 1.0::double), 6)',
+    "frame": 'cast(least(greatest(event_id - 100, 0), 4999) as bigint)',
+})
+_far = 'cast(least(greatest(floor((ceil(value - 50.0) - (value - 50.0)) * 256 + 0.5), 0), 256) as integer)'
+_SCALARS["prj15_20_render"] = ("events", ('event_id',), {
+    "shift": 'round(-(value - 50.0) * (1920.0::double / 1080), 6) + 0.0::double',
+    "w1": _far,
+    "w0": f'256 - {_far}',
+    "first": 'cast(greatest(0, ceil(value - 50.0)) as integer)',
+    "last": 'cast(least(99, floor(value - 50.0 + 63)) as integer)',
+    "mixed": f'cast(((200 * (256 - {_far}) + 40 * {_far}) * 256 + 32768) >> 16 as integer)',
+})
+_sfmt = "(['yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray'])[p_partkey % 5 + 1]"
+_fs = f'least(800.0::double / {_SW}, 600.0::double / {_SH})'
+_SCALARS["prj20_31_formats"] = ("part", ('p_partkey',), {
+    "frame_bytes": f"cast(case when {_sfmt} = 'yuv420p' then floor(cast({_SW} as bigint) * {_SH} * 3 / 2) when {_sfmt} <> 'gray' then cast({_SW} as bigint) * {_SH} * 3 end as bigint)",
+    "luma": f"case {_sfmt} when 'p010' then 4096 when 'yuv420p10' then 64 else 16 end",
+    "chroma": f"case {_sfmt} when 'p010' then 32768 when 'yuv420p10' then 512 else 128 end",
+    "fit_x": f'round((800 - {_SW} * {_fs}) / 2, 6) + 0.0::double',
+    "fit_h": f'round({_SH} * {_fs}, 6)',
+    "rate": 'round(case when p_size = 0 or p_partkey % 7 = 0 then 0.0::double else p_size * 1000.0::double / (p_partkey % 7) end, 6)',
+    "edge": 'cast(case when p_partkey % 2 = 0 and p_size > 0 then p_size else p_size end as integer)',
+    "encoder": "case p_partkey % 3 when 0 then 'h264' when 1 then 'hevc' end",
+    "copy_w": f'cast(greatest(0, least(p_size - 20 + {_SW}, 1280) - greatest(p_size - 20, 0)) as integer)',
+    "copy_h": f'cast(greatest(0, least(p_size - 25 + {_SH}, 720) - greatest(p_size - 25, 0)) as integer)',
+})
+_SCALARS["src7_8_clip_times"] = ("part", ('p_partkey',), {
+    "fps": 'round(cast(coalesce(case when p_partkey % 3 = 0 and p_size > 0 then p_size end, case when p_partkey % 5 = 0 then 25.0 end, case when p_size > 1 and (p_partkey - 1) > 0 then (p_partkey - 1)::double / (p_size - 1) end, 30.0) as double), 6)',
+    "time_ns": 'cast(coalesce(case when p_partkey % 2 = 0 then p_partkey::hugeint * 1001 * 1000000000 // 30000 when p_partkey % 3 = 0 then (p_partkey + 1)::hugeint * 1001 * 1000000000 // 30000 end, floor(p_partkey / 25.0::double * 1e9::double)) as bigint)',
+})
+_sp = "('/media/' || p_brand || case p_partkey % 3 when 0 then '/clip.MP4' when 1 then '/take.one.mov' else '/raw' end)"
+_SCALARS["strf1_6_names"] = ("part", ('p_partkey',), {
+    "stem": "case p_partkey % 3 when 0 then 'clip' when 1 then 'take.one' else 'raw' end",
+    "parent": "'/media/' || p_brand",
+    "named": f"case when lower({_sp}) like '%.mp4' then {_sp} else {_sp} || '.mp4' end",
+    "export": "coalesce(case when p_partkey % 2 = 0 then p_brand end, 'output') || '_export.mp4'",
+    "number": "case when length(p_partkey::varchar) >= 6 then p_partkey::varchar else lpad(p_partkey::varchar, 6, '0') end",
+    "bps": 'cast(p_size * 1000000 as bigint)',
+    "mbps": 'cast(least(200, greatest(1, floor(p_size * 5000000 / 1048576 + 0.5))) as integer)',
+    "kbps": 'cast(case when p_size > 0 then floor(737280 / p_size) - 128 end as bigint)',
+    "progress": "'frame ' || p_size || '/64 (' || cast(floor(least(1.0::double, p_size / 64) * 100) as integer) || '%)'",
+    "realtime": 'round(1000.0::double / (p_size * 10.0 * 25.0), 6)',
+})
+_SCALARS["str9_sample_offset"] = ("events", ('event_id',), {
+    "samples": 'cast(trunc(cast(trunc((value - 50.0) * 1000) as bigint) * 48000 / 1000000.0) as bigint)',
+})
+
+
+def _scalar_columns() -> dict:
+    """The same expressions as Columns: name -> alias -> Column."""
+    out: dict = {}
+    P, S, Q = (F.col('p_partkey'), F.col('p_size'), F.col('p_retailprice'))
+    _W, _H = (P % 3000 + 16, S % 50 * 50 + 20)
+    _N, _M = (F.col('l_partkey') % 640, F.col('l_suppkey') % 360)
+    _pw, _ph = g.proxy_size(_W, _H)
+    out["prj1_proxy_size"] = {
+        "proxy_w": _pw,
+        "proxy_h": _ph,
+    }
+    _lb = g.letterbox(_W, _H)
+    out["prj2_letterbox"] = {
+        "scale": _r(_lb['scale']),
+        "new_w": _lb['new_w'],
+        "new_h": _lb['new_h'],
+        "pad_x": _lb['pad_x'],
+        "pad_y": _lb['pad_y'],
+    }
+    _q = F.col('l_quantity')
+    _un = g.unletterbox(_N.cast('double'), _M.cast('double'), _q * 2, _q, F.lit(0.5), F.lit(0), F.lit(12), F.lit(1280), F.lit(672))
+    out["prj4_unletterbox"] = {
+        "x1": _r(_un['x1']),
+        "y1": _r(_un['y1']),
+        "x2": _r(_un['x2']),
+        "y2": _r(_un['y2']),
+    }
+    _ib = g.integer_box(_N - 5.5, _M - 5.5, _N + _q, _M + _q, F.lit(640), F.lit(360))
+    out["prj5_integer_box"] = {
+        "x": _ib['x'],
+        "y": _ib['y'],
+        "w": _ib['w'],
+        "h": _ib['h'],
+    }
+    out["prj6_8_points"] = {
+        "center_x": _r(_N + _q * 0.5),
+        "center_y": _r(_M + _q * 0.5),
+        "full_x": _N + F.lit(100),
+    }
+    _x = (F.col('value') - 50.0) / 10
+    out["prj9_13_14_weights"] = {
+        "sigmoid": _r(g.sigmoid(_x)),
+        "weight": F.round(g.sigma_weight(_x), 3),
+        "huber": _r(g.huber_weight(F.col('value'))),
+    }
+    out["prj10_11_masks"] = {
+        "logit": F.round(g.dot(F.slice('embedding', 1, 32), F.slice('embedding', 33, 32)), 5) + F.lit(0.0),
+        "bright": F.size(F.filter(g.binarise(F.col('embedding'), 0.1), lambda v: v == 255)),
+    }
+    _d = F.col('value') - 50.0
+    out["prj12_clamps"] = {
+        "unit": _r(g.clamp(F.col('value') / 60, 0.0, 1.0)),
+        "frame": g.clamp_frame(F.col('event_id') - 100, F.lit(5000)),
+    }
+    _w1, _w0 = g.blend_weights(_d)
+    _s0, _s1 = g.visible_span(_d, F.lit(64), F.lit(100))
+    out["prj15_20_render"] = {
+        "shift": _r(g.source_shift(_d, F.lit(1920), F.lit(1080))),
+        "w1": _w1,
+        "w0": _w0,
+        "first": _s0,
+        "last": _s1,
+        "mixed": F.shiftright(g.blend(F.lit(200), F.lit(40), _w0, _w1) * 256 + 32768, 16),
+    }
+    _fmt = F.element_at(F.array(*map(F.lit, ('yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray'))), (P % 5 + 1).cast('int'))
+    _luma, _chroma = g.black_level(_fmt)
+    _fit = g.fit_into(_W, _H, F.lit(800), F.lit(600))
+    _cr = g.copy_rectangle(S - 20, S - 25, _W, _H, F.lit(1280), F.lit(720))
+    out["prj20_31_formats"] = {
+        "frame_bytes": g.frame_bytes(_fmt, _W, _H),
+        "luma": _luma,
+        "chroma": _chroma,
+        "fit_x": _r(_fit['x']),
+        "fit_h": _r(_fit['h']),
+        "rate": _r(g.rational(S * 1000, P % 7)),
+        "edge": g.input_edge(F.when(P % 2 == 0, S), S * S * 3),
+        "encoder": g.first_supported(['av1', 'hevc', 'h264'], F.when(P % 3 == 0, F.array(F.lit('h264'))).when(P % 3 == 1, F.array(F.lit('h264'), F.lit('hevc'))).otherwise(F.array(F.lit('vp8')))),
+        "copy_w": _cr['w'],
+        "copy_h": _cr['h'],
+    }
+    _fps = m.frame_rate(F.when(P % 3 == 0, S.cast('double')), F.when(P % 5 == 0, F.lit(25.0)), P, (S - 1).cast('double'))
+    out["src7_8_clip_times"] = {
+        "fps": _r(_fps),
+        "time_ns": m.time_ns(F.when(P % 2 == 0, P), F.when(P % 3 == 0, P + 1), F.lit(1001), F.lit(30000), P, F.lit(25.0)),
+    }
+    _path = F.concat(F.lit('/media/'), F.col('p_brand'), F.when(P % 3 == 0, '/clip.MP4').when(P % 3 == 1, '/take.one.mov').otherwise('/raw'))
+    out["strf1_6_names"] = {
+        "stem": m.stem(_path),
+        "parent": m.parent(_path),
+        "named": m.with_mp4(_path),
+        "export": m.export_name(F.when(P % 2 == 0, F.col('p_brand'))),
+        "number": m.padded(P),
+        "bps": m.to_bps(S),
+        "mbps": m.shown_mbps(S * 5000000),
+        "kbps": m.video_kbps(S),
+        "progress": m.progress_text(S, F.lit(64)),
+        "realtime": _r(m.realtime_factor(S * 10.0, F.lit(25.0))),
+    }
+    out["str9_sample_offset"] = {
+        "samples": m.sample_offset((_d * 1000).cast('long'), F.lit(0)),
+    }
+    return out
+
+
+def _scalar(name: str, source: str, keys: tuple[str, ...]):
+    return lambda spark, d: a.table(spark, d, source).select(*keys, *(c.alias(n) for n, c in _scalar_columns()[name].items()))
+
+
+for _name, (_source, _keys, _columns) in _SCALARS.items():
+    QUERIES[_name] = _scalar(_name, _source, _keys)
+    SQL[_name] = f"select {', '.join(_keys)}, {', '.join(f'{s} as {n}' for n, s in _columns.items())} from {_source}"
+
+
+@_add("prj7_iou", f"""with {DETS} select p.frame_idx, p.det_id as a, q.det_id as b, round(case when u <= 0 then 0.0::double else i / u end, 6) as iou from (
+  select p.frame_idx, p.det_id, q.det_id as other, greatest(0.0::double, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0::double, least(p.y2, q.y2) - greatest(p.y1, q.y1)) as i,
+    (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - i as u from dets p join dets q on p.frame_idx = q.frame_idx and p.det_id < q.det_id) t
+  join dets p on p.frame_idx = t.frame_idx and p.det_id = t.det_id join dets q on q.frame_idx = t.frame_idx and q.det_id = t.other""")
+def prj7_iou(spark, d):
+    l, r = a.dets(spark, d).alias("l"), a.dets(spark, d).alias("r")  # noqa: E741
+    box = lambda t: tuple(F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2"))
+    pairs = l.join(r, (F.col("l.frame_idx") == F.col("r.frame_idx")) & (F.col("l.det_id") < F.col("r.det_id")))
+    return pairs.select(F.col("l.frame_idx").alias("frame_idx"), F.col("l.det_id").alias("a"), F.col("r.det_id").alias("b"), _r(g.iou(box("l"), box("r"))).alias("iou"))
+
+
+@_add("agg1_flt1_best_class", "select vec_id, cast(list_position(embedding[1:16], list_max(embedding[1:16])) - 1 as integer) as class_id, round(cast(list_max(embedding[1:16]) as double), 6) as score from embeddings where list_max(embedding[1:16]) >= 0.25")
+def agg1(spark, d):
+    raw = a.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("class_scores"))
+    return detect.best_class(raw).select("vec_id", "class_id", _r(F.col("score").cast("double")).alias("score"))
+
+
+@_add("prj26_jn8_class_names", "select event_id, coalesce(n_name, 'unknown') as class_name from events left join nation on n_nationkey = event_id % 40")
+def class_names(spark, d):
+    dim = F.broadcast(a.table(spark, d, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    e = a.table(spark, d, "events")
+    return e.join(dim, F.col("event_id") % 40 == F.col("n_nationkey"), "left").select("event_id", F.coalesce("n_name", F.lit("unknown")).alias("class_name"))
+
+
+@_add("prj29_tensor_rows", "select vec_id, cast(i // 8 as integer) as c, cast(i % 8 as integer) as n, round(cast(embedding[i + 1] as double), 6) as x from embeddings, (select unnest(generate_series(0, 63)) as i)")
+def tensor_rows(spark, d):
+    e = a.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("c"), (F.col("i") % 8).alias("n"), _r(F.col("v").cast("double")).alias("x"))
+
+
+@_add("flt3_valid_flows", f"with {FLOWS} select frame_idx, pt_id from flows where pt_id % 5 <> 0 and dx + 1 >= 0 and dx + 1 < 2 and dy + 1 >= 0 and dy + 1 < 2")
+def flt3(spark, d):
+    f = a.flows(spark, d).select("frame_idx", "pt_id", (F.col("pt_id") % 5 != 0).alias("status"), (F.col("dx") + 1).alias("x1"), (F.col("dy") + 1).alias("y1"))
+    return motion.valid_flows(f, 2, 2).select("frame_idx", "pt_id")
+
+
+@_add("flt2_flt4_only_candidate", f"with {DETS} select frame_idx, det_id, score from (select *, count(*) over (partition by frame_idx) as n from dets where class_id = 1) where n = 1")
+def flt4(spark, d):
+    return detect.only_candidate(a.dets(spark, d).where("class_id = 1"), ["frame_idx"]).select("frame_idx", "det_id", "score")
+
+
+@_add("flt7_11_frame_filters", f"with {TRACKS} select clip_id, frame_idx from tracks where frame_idx >= 0 and frame_idx < 50 and frame_idx % 5 = 0 and center_valid")
+def flt7(spark, d):
+    return a.tracks(spark, d).where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < 50) & (F.col("frame_idx") % 5 == 0) & F.col("center_valid")).select("clip_id", "frame_idx")
+
+
+@_add("src5_seek", f"with {TRACKS} select clip_id, frame_idx, delta_x from tracks where clip_id = 7 and frame_idx = 3")
+def seek(spark, d):
+    return a.tracks(spark, d).where("clip_id = 7 and frame_idx = 3").select("clip_id", "frame_idx", "delta_x")
+
+
+@_add("agg3_jn5_nms", f"""with recursive {DETS}, o as (select *, row_number() over (partition by frame_idx order by score desc, det_id) as r from dets), walk as (
+  select frame_idx, r, [det_id] as kept, [{{'c': class_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] as boxes from o where r = 1
+  union all select o.frame_idx, o.r, case when k then list_append(kept, det_id) else kept end, case when k then list_append(boxes, {{'c': o.class_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) else boxes end
+  from (select w.frame_idx, w.kept, w.boxes, o.r, o.det_id, o.class_id, o.x1, o.y1, o.x2, o.y2, len(w.kept) < 100 and len(list_filter(w.boxes, lambda b: b.c = o.class_id and
+      (greatest(0.0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0.0, least(b.y2, o.y2) - greatest(b.y1, o.y1))) >
+      0.45 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0.0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0.0, least(b.y2, o.y2) - greatest(b.y1, o.y1))))) = 0 as k
+    from walk w join o on o.frame_idx = w.frame_idx and o.r = w.r + 1) o)
+  select frame_idx, unnest(kept) as det_id from walk w where r = (select max(r) from o where o.frame_idx = w.frame_idx)""")
+def nms(spark, d):
+    return detect.suppress(a.dets(spark, d), ["frame_idx"]).select("frame_idx", "det_id")
+
+
+@_add("srt3_corners")
+def corners(spark, d):
+    pts = a.flows(spark, d).select("frame_idx", "pt_id", (F.col("dx") * 5).alias("x"), (F.col("dy") * 5).alias("y"), (F.col("pt_id") % 97 + 1).cast("double").alias("response"))
+    return detect.spaced_corners(pts, ["frame_idx"]).select("frame_idx", "pt_id")
+
+
+@_add("jn7_match", f"with {DETS} select l.frame_idx, l.det_id, min(r.det_id) as match_id from dets l left join dets r on l.frame_idx = r.frame_idx and l.class_id = r.class_id and abs(l.score - r.score) < 1e-6 and abs(l.x1 - r.x1) < 1e-3 and abs(l.y1 - r.y1) < 1e-3 and abs(l.x2 - r.x2) < 1e-3 and abs(l.y2 - r.y2) < 1e-3 group by all")
+def match(spark, d):
+    x = a.dets(spark, d)
+    return detect.match_within(x, x, ["frame_idx"]).select("frame_idx", "det_id", "match_id")
+
+
+@_add("jn4_agg2_consensus", f"""with {FLOWS}, s as (select h.frame_idx, h.pt_id as hyp, count(*) as inliers, avg(v.dx) as ax, avg(v.dy) as ay, var_pop(v.dx) + var_pop(v.dy) as noise
+  from flows h join flows v on h.frame_idx = v.frame_idx and (v.dx - h.dx) * (v.dx - h.dx) + (v.dy - h.dy) * (v.dy - h.dy) <= 1.0 group by all),
+  b as (select *, row_number() over (partition by frame_idx order by inliers desc, hyp) as r from s), n as (select frame_idx, count(*) as n from flows group by all)
+  select frame_idx, n, inliers, round(ax, 6) + 0.0 as delta_x, round(ay, 6) + 0.0 as delta_y, round(noise, 6) as noise, n >= 2 and inliers >= 2 as ok from b join n using (frame_idx) where r = 1""")
+def consensus(spark, d):
+    return _rounded(motion.consensus(a.flows(spark, d), ["frame_idx"]), "delta_x", "delta_y", "noise")
+
+
+def _selected(spark, d):
+    t = a.tracks(spark, d).select("clip_id", "frame_idx", F.col("delta_valid").alias("ok"), F.floor(F.col("center_x") * 10).cast("long").alias("inliers"))
+    s = a.tracks(spark, d).where("center_valid").select("clip_id", "frame_idx", F.lit(10).alias("box_x"), F.lit(20).alias("box_y"), F.lit(5).alias("box_w"), F.lit(7).alias("box_h"), (F.col("frame_idx") % 3).alias("n_seeds"))
+    return motion.with_selection(t, s, ["clip_id", "frame_idx"])
+
+
+@_add("str12_jn2_seed_action", f"""with {TRACKS}, t as (select clip_id, frame_idx, delta_valid as ok, cast(floor(center_x * 10) as bigint) as inliers, center_valid, frame_idx % 3 as seeds from tracks)
+  select clip_id, frame_idx, ok, inliers, center_valid, case when center_valid then 12.5::double end as center_x, case when center_valid then 23.5::double end as center_y,
+  case when center_valid and not (ok and inliers > 0) and seeds > 0 then 'init' when center_valid and ok and inliers > 0 and inliers < 400 and seeds > 0 then 'reinit' when ok and inliers > 0 then 'keep' else 'none' end as seed_action from t""")
+def seed_action(spark, d):
+    return _selected(spark, d).withColumns({"center_x": F.col("center_x").cast("double"), "center_y": F.col("center_y").cast("double")})
+
+
+_ANCHOR = """c as (select *, cast(sum(case when delta_valid and frame_idx > 0 then cast(delta_x as decimal(18,6)) else 0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as double) as c,
+  case when center_valid then 1e-16::double else 2.5e-13::double end as w, case when center_valid then center_x else 480.0::double end as m from tracks),
+  p as (select clip_id, frame_idx, c + sum(w * (m - c)) over (partition by clip_id) / sum(w) over (partition by clip_id) as position from c)"""
+
+
+@_add("step1_trajectory", f"with {TRACKS}, {_ANCHOR} select clip_id, frame_idx, round(position, 3) + 0.0 as position, 480.0::double as target, round(least(greatest(position - 480.0, -10000.0::double), 10000.0::double), 3) + 0.0 as delta from p")
+def step1(spark, d):
+    return _rounded(stabilise(a.tracks(spark, d)), "position", "delta", places=3)
+
+
+@_add("agg10_total_rms", f"with {TRACKS}, {_ANCHOR} select clip_id, round(sqrt(avg((position - 480.0) * (position - 480.0))), 3) as total_rms from p group by clip_id")
+def total_rms(spark, d):
+    return _rounded(trajectory.total_rms(stabilise(a.tracks(spark, d)), ["clip_id"], "delta"), "total_rms", places=3)
+
+
+@_add("step2_smoothed")
+def step2(spark, d):
+    return trajectory.smoothed(trajectory.anchored(a.tracks(spark, d), 480.0))
+
+
+@_add("step2_robust")
+def robust(spark, d):
+    return trajectory.smoothed(trajectory.anchored(a.tracks(spark, d), 480.0), robust=True)
+
+
+@_add("win2_running_sum", f"with {TRACKS} select clip_id, frame_idx, cast(sum(case when delta_valid then cast(delta_x as decimal(18,6)) else 0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as double) as path from tracks")
+def win2(spark, d):
+    return trajectory.accumulated(a.tracks(spark, d)).select("clip_id", "frame_idx", "path")
+
+
+@_add("win3_around_anchor", f"""with {TRACKS}, s as (select *, cast(sum(case when delta_valid then cast(delta_x as decimal(18,6)) else 0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as double) as c from tracks),
+  f as (select clip_id, arg_min(center_x, frame_idx) as a0, arg_min(c, frame_idx) as fc from s where center_valid group by clip_id) select clip_id, frame_idx, round(a0 + c - fc, 6) + 0.0 as position from s left join f using (clip_id)""")
+def win3(spark, d):
+    return _rounded(trajectory.around_anchor(a.tracks(spark, d)).select("clip_id", "frame_idx", "position"), "position")
+
+
+@_add("win4_differences", f"with {TRACKS} select clip_id, frame_idx, round(delta_x - lag(delta_x) over w, 6) + 0.0 as velocity, round(lead(delta_x) over w - 2 * delta_x + lag(delta_x) over w, 6) + 0.0 as acceleration from tracks window w as (partition by clip_id order by frame_idx)")
+def win4(spark, d):
+    return _rounded(trajectory.differences(a.tracks(spark, d), "delta_x").select("clip_id", "frame_idx", "velocity", "acceleration"), "velocity", "acceleration")
+
+
+@_add("agg5_6_residuals", f"""with {TRACKS}, o as (select clip_id, abs(delta_x) as x, row_number() over (partition by clip_id order by abs(delta_x)) - 1 as pos, count(*) over (partition by clip_id) as n from tracks)
+  select clip_id, count(*) as n, round(avg(x), 6) as mean, round(sqrt(avg(x * x)), 6) as rms, round(max(x), 6) as max, round(max(case when pos = floor(0.95::double * (n - 1)) then x end), 6) as p95 from o group by clip_id""")
+def residuals(spark, d):
+    rows = a.tracks(spark, d).withColumn("x", F.abs("delta_x"))
+    return _rounded(trajectory.residual_stats(rows, ["clip_id"], "x"), "mean", "rms", "max", "p95")
+
+
+@_add("agg7_8_perf", "select event_type as provider, count(*) as n, round(avg(value), 6) as avg, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99, round(min(value), 6) as min, round(max(value), 6) as max from events group by all")
+def perf_summary(spark, d):
+    return _rounded(perf.summary(a.timings(spark, d)), "avg", "p50", "p90", "p99", "min", "max")
+
+
+def _cumulative(every: int) -> str:
+    return f"""with t as (select event_type as provider, event_id as run_id, cast(row_number() over w as integer) as n, avg(cast(value as decimal(18,6))) over u as avg, min(value) over u as min, max(value) over u as max
+  from events window w as (partition by event_type order by event_id), u as (partition by event_type order by event_id rows unbounded preceding)) select provider, run_id, n, round(avg, 4) as avg, round(min, 6) as min, round(max, 6) as max from t where n % {every} = 0"""
+
+
+@_add("win6_cumulative", _cumulative(30))
+def win6(spark, d):
+    return _rounded(_rounded(perf.cumulative(a.timings(spark, d)), "min", "max"), "avg", places=4)
+
+
+@_add("agg9_export_perf", _cumulative(60))
+def agg9(spark, d):
+    return _rounded(_rounded(perf.cumulative(a.timings(spark, d), every=60), "min", "max"), "avg", places=4)
+
+
+@_add("agg11_plot_scale", f"with {TRACKS}, r as (select clip_id, min(delta_x) as lo, max(delta_x) as hi from tracks group by all) select clip_id, frame_idx, round(case when hi > lo then (delta_x - lo) / (hi - lo) else 0.0::double end, 6) as y from tracks join r using (clip_id)")
+def plot_scale(spark, d):
+    t = a.tracks(spark, d)
+    r = t.groupBy("clip_id").agg(F.min("delta_x").alias("lo"), F.max("delta_x").alias("hi"))
+    y = F.when(F.col("hi") > F.col("lo"), F.try_divide(F.col("delta_x") - F.col("lo"), F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return t.join(r, "clip_id").select("clip_id", "frame_idx", _r(y).alias("y"))
+
+
+@_add("agg12_13_counts", f"with {TRACKS} select clip_id, count(*) as n, count(*) filter (center_valid) as detector, count(*) filter (not center_valid) as weak_center, count(*) filter (delta_valid) as delta, count(*) filter (not delta_valid) as weak_odometry from tracks group by clip_id")
+def counts(spark, d):
+    n = lambda c, name: F.count_if(c).alias(name)
+    c, v = F.col("center_valid"), F.col("delta_valid")
+    return a.tracks(spark, d).groupBy("clip_id").agg(F.count("*").alias("n"), n(c, "detector"), n(~c, "weak_center"), n(v, "delta"), n(~v, "weak_odometry"))
+
+
+def _shifts(spark, d):
+    t = a.tracks(spark, d)
+    clips = t.select("clip_id").distinct().withColumn("num_frames", F.when(F.col("clip_id") % 2 == 0, 120).otherwise(0))
+    s = t.where("frame_idx % 3 <> 0").select("clip_id", "frame_idx", F.col("delta_x").alias("dx"), F.col("delta_y").alias("dy"))
+    return render.frame_count(clips, t), s
+
+
+_SPINE = f"""{TRACKS}, n as (select clip_id, cast(case when clip_id % 2 = 0 then 120 else max(frame_idx) + 1 end as integer) as n from tracks group by clip_id),
+  e as (select clip_id, cast(unnest(generate_series(0, n - 1)) as integer) as frame_idx from n),
+  s as (select e.clip_id, e.frame_idx, coalesce(delta_x, 0.0::double) as dx, coalesce(delta_y, 0.0::double) as dy from e left join tracks t on t.clip_id = e.clip_id and t.frame_idx = e.frame_idx and t.frame_idx % 3 <> 0)"""
+_REACH = "greatest(abs(floor(min({0}))), abs(ceil(max({0}))))"
+_CANVAS = f"""c as (select clip_id, cast(2 * {_REACH.format('dx')} + 101 + (2 * {_REACH.format('dx')} + 101) % 2 as integer) as canvas_w, cast(2 * {_REACH.format('dy')} + 100 + (2 * {_REACH.format('dy')} + 100) % 2 as integer) as canvas_h from s group by clip_id),
+  v as (select *, cast(floor((canvas_w - 101) / 2) as integer) as origin_x, cast(floor((canvas_h - 100) / 2) as integer) as origin_y from c)"""
+
+
+@_add("jn3_agg14_spine", f"with {_SPINE} select * from s")
+def spine(spark, d):
+    return render.spine(*_shifts(spark, d))
+
+
+@_add("agg4_canvas", f"with {_SPINE}, {_CANVAS} select * from v")
+def canvas(spark, d):
+    return render.canvas(render.spine(*_shifts(spark, d)), 101, 100)
+
+
+@_add("export_plan", f"with {_SPINE}, {_CANVAS} select * from s join v using (clip_id)")
+def plan(spark, d):
+    return export_plan(*_shifts(spark, d), 101, 100)
+
+
+@_add("jn1_preview", f"with {TRACKS} select t.clip_id, t.frame_idx, t.delta_x, u.delta_y from tracks t join tracks u on t.clip_id = u.clip_id and t.frame_idx = u.frame_idx where u.delta_valid")
+def preview(spark, d):
+    t = a.tracks(spark, d)
+    return render.preview(t.select("clip_id", "frame_idx"), t.select("clip_id", "frame_idx", "delta_x"), t.where("delta_valid").select("clip_id", "frame_idx", "delta_y"))
+
+
+@_add("jn1_unmatched", f"with {TRACKS} select clip_id, frame_idx from tracks where not delta_valid")
+def unmatched(spark, d):
+    t = a.tracks(spark, d).select("clip_id", "frame_idx", "delta_valid")
+    return render.unmatched(t.select("clip_id", "frame_idx"), t.where("delta_valid"))
+
+
+@_add("set2_last_wins", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
+def last_wins(spark, d):
+    return render.last_wins(a.table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id")
+
+
+@_add("jn6_lag", f"with {TRACKS} select clip_id, frame_idx, lag(delta_x) over (partition by clip_id order by frame_idx) as before from tracks")
+def lagged(spark, d):
+    from pyspark.sql import Window
+
+    return a.tracks(spark, d).select("clip_id", "frame_idx", F.lag("delta_x").over(Window.partitionBy("clip_id").orderBy("frame_idx")).alias("before"))
+
+
+@_add("win7_srt1_rank", f"with {DETS} select frame_idx, det_id, cast(row_number() over (partition by frame_idx order by score desc, det_id) as integer) as rank from dets")
+def rank(spark, d):
+    from pyspark.sql import Window
+
+    return a.dets(spark, d).select("frame_idx", "det_id", F.row_number().over(Window.partitionBy("frame_idx").orderBy(F.desc("score"), "det_id")).alias("rank"))
+
+
+@_add("str8_set1_interleave", f"with {PACKETS} select clip_id, pkt_id, stream_rank, cast(row_number() over (partition by clip_id order by ts_us, stream_rank, pkt_id) - 1 as integer) as position from packets")
+def interleave(spark, d):
+    p = a.packets(spark, d)
+    both = media.interleaved(p.where("stream_rank = 0").drop("stream_rank"), p.where("stream_rank = 1").drop("stream_rank"))
+    return both.select("clip_id", "pkt_id", "stream_rank", "position")
+
+
+@_add("agg16_str9_shared_start", f"with {PACKETS} select clip_id, pkt_id, ts_us - min(ts_us) over (partition by clip_id) as ts_us from packets")
+def shared_start(spark, d):
+    return media.shared_start(a.packets(spark, d)).select("clip_id", "pkt_id", "ts_us")
+
+
+@_add("win5_monotonic", f"with {PACKETS} select clip_id, pkt_id, max(dts) over (partition by clip_id, stream_rank order by pkt_id rows unbounded preceding) as safe from packets")
+def monotonic(spark, d):
+    return media.monotonic(a.packets(spark, d)).select("clip_id", "pkt_id", "safe")
+
+
+@_add("str10_chunks", "select clip_id, chunk, count(*) as n, 64 - count(*) as padding from (select user_id as clip_id, cast(floor((row_number() over (partition by user_id order by event_id) - 1) / 64) as integer) as chunk from events) group by all")
+def chunked(spark, d):
+    return media.chunks(a.table(spark, d, "events").select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("sample_idx")), 64)
+
+
+@_add("str2_throttle", f"""with recursive {TRACKS}, g as (select clip_id, frame_idx * 7 % 1000 as frame_idx from tracks), f as (select distinct clip_id, cast(frame_idx as integer) as frame_idx from g),
+  w as (select clip_id, min(frame_idx) as frame_idx from f group by clip_id union all
+    select clip_id, frame_idx from (select w.clip_id, (select min(f.frame_idx) from f where f.clip_id = w.clip_id and f.frame_idx >= w.frame_idx + 15) as frame_idx from w) where frame_idx is not null)
+  select clip_id, frame_idx from w""")
+def throttled(spark, d):
+    t = a.tracks(spark, d)
+    return sequence.throttle(t.select("clip_id", (F.col("frame_idx") * 7 % 1000).cast("int").alias("frame_idx")))
+
+
+@_add("str3_delay", f"with {TRACKS} select clip_id, frame_idx, coalesce(lead(frame_idx, 30) over (partition by clip_id order by frame_idx), max(frame_idx) over (partition by clip_id)) as emitted_at from tracks")
+def delay(spark, d):
+    return sequence.delayed(a.tracks(spark, d).select("clip_id", "frame_idx"))
+
+
+@_add("str6_7_keep_latest", f"with {TRACKS} select clip_id, frame_idx from (select *, row_number() over (partition by clip_id order by frame_idx desc) as r from tracks) where r <= 16")
+def keep_latest(spark, d):
+    return sequence.keep_latest(a.tracks(spark, d).select("clip_id", "frame_idx"), 16)
