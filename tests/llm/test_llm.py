@@ -1,0 +1,149 @@
+"""The training-data operators against brute force, with nulls, empty and odd texts, ties, repeats and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import sys
+import tempfile
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from framewright.llm import decontaminate, langid, mixing, pii, sentences, suffixes, topk, urls, warc  # noqa: E402
+from framewright.llm.jaccard import shingle_components  # noqa: E402
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice("Alpha beta gamma, delta. epsilon zeta eta theta. iota kappa lambda mu nü xi! omicron pi rho sigma".split()) + str(rng.randrange(40)) for _ in range(n))
+
+
+def texts() -> list[tuple[int, str | None]]:
+    rng = random.Random(5)
+    base = [prose(rng, n) for n in (3, 4, 5, 30, 120, 400)]
+    shared = prose(rng, 90)
+    out = [*base, base[3], base[4], base[4].replace("kappa", "KAPPA"), base[5] + " more words at the end", prose(rng, 40) + shared, shared + prose(rng, 50), "a" * 900, "é" * 700, "ab " * 500]
+    edited = base[5].split()
+    for i in range(0, 400, 60):
+        edited[i] = "changed"
+    out += [" ".join(edited), None, "", " \t\n", "\x01\x02 odd", prose(rng, 60) + " " + base[3] + ". " + base[3]]
+    return list(enumerate(out, 1))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or "")) for i, t in texts()], DOC)
+
+
+def test_components(docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_components(docs).collect()}
+    assert got == brute.components(texts())
+
+
+def test_components_of_nothing(spark):
+    assert shingle_components(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_repeated_windows(docs):
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove(docs).collect()}
+    assert got == dict(zip([i for i, _ in texts()], brute.repeated_bytes([t for _, t in texts()])))
+
+
+def test_sentence_spans(docs):
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentences.dedup(docs).collect()}
+    assert got == brute.sentence_dedup(texts(), sentences.RUN, sentences.MIN_WORDS)
+
+
+PII = [
+    None, "", "mail a.b@c.de_f@g.hi, x@y", "ip 1.2.3.4.5 and 300.1.1.1 0255.0.0.1", "card 4111 1111-1111 1111 and 4111111111111112", "é+1 (743) 555-3824. +12", "\x01\x02a@b.c\x02",
+    "IBAN DE89 3704 0044 0532 0130 00.", "ssn 123-45-6789, part 123-45-6789", "9" * 5000, "x" * 5000 + "@a.b", "1-2 3-4" * 40,
+]
+
+
+def test_personal_data(spark):
+    df = spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    for i, text in enumerate(PII):
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(text))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), text
+    assert "iban:5:32" in got[7].spans
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] is None and clean[1] == "" and clean[7] == "IBAN [IBAN]."
+
+
+def test_decontamination(spark, docs):
+    items = {"7": " ".join((texts()[4][1] or "").split()[20:45]), "10": "two words", "9": None, "8": "", "odd": "ODD"}
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    for block in (1_000_000, 3):
+        found = decontaminate.scan(docs.select("doc_id", "text"), bench, block_windows=block)
+        got = {r.doc_id: (r._n, len(r._hits), len(r._items), hashlib.sha256(",".join(r._items).encode()).hexdigest()) for r in found.collect()}
+        assert got == {i: brute.decontaminated(t, items) for i, t in texts()}
+    assert decontaminate.digest(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    words = {"xx": "kor bala minu tesa ruk".split(), "yy": "the and with from shall".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=60)), lang) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
+    df = spark.createDataFrame([*rows, (1000, None, "xx"), (1001, "12 34", "yy"), (1002, "", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.digest(df).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert {got[i].lang_pred for i in (1000, 1001, 1002)} == {"und"} and got[1000].score == 0
+    assert langid.digest(df.limit(0)).count() == 0
+
+
+def test_mix(docs):
+    plan = mixing.plan(docs).collect()
+    assert len(plan) == len(texts())
+    for r in plan:
+        assert r.size == len(brute.WORD.findall(dict(texts())[r.doc_id] or "")) and r.taken <= 3 * r.size and r.target <= 3 * r.source_size
+    assert sum({r.source: r.target for r in plan}.values()) == pytest.approx(sum(r.size for r in plan))
+    mixed = mixing.mix(docs, shards=3, blocks_per_shard=4)
+    copies = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert copies == {r.doc_id: r.times for r in plan if r.times}
+    assert mixing.plan(docs.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    long = "<p>" + "x\r\n\r\nWARC/1.1\r\n" * 20
+    rows = [(3, "http://a/%0A", long), (1, "http://b/\n", long), (2, None, long), (4, "http://c", "short"), (5, "http://d", "short"), (6, "e", None), (7, "f", "é" * 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.digest(pages).collect()}
+    for i, _, html in rows:
+        data = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items() if r.refers_to} == {3: ("revisit", 1), 2: ("revisit", 1)}
+    path = tempfile.mkdtemp(prefix="spark-") + "/w"
+    warc.write(pages, path)
+    back = {r.record_id: r for r in warc.read(spark, path).where("record_type = 'response'").collect()}
+    assert len(back) == 5 and back["<urn:page:1>"].payload == long and back["<urn:page:1>"].target_uri == "http://b/\n"
+
+
+def test_top_k(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(500, None), (501, [1.0] * 7 + [float("nan")]), (502, [1.0] * 7 + [None]), (600, [0.5] * 8), (601, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(__import__("math").floor(1024 * x)) for x in v] for i, v in rows if v and all(x is not None and x == x for x in v)}
+    want = set()
+    for q in (i for i in ints if i % 100 == 0):
+        best = sorted(((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q))[:10]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.Example.net/en/x?q"), (2, "https://b.example.net/de/"), (3, "ftp://example.com/de/1#t"), (4, "http://x.org/fr/a"), (5, None), (6, "no scheme"), (7, "http://q?x://y"), (8, "http://other.com/a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(8, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urls.judge(pages, labels).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert (got[2].rule, got[2].verdict) == ("net/", "block")
+    assert (got[3].rule, got[4].rule, got[4].verdict) == ("example.com/de/", "org/fr/", "allow")
+    assert [(got[i].host, got[i].path) for i in (5, 6, 7)] == [("", ""), ("", ""), ("q", "")]
+    assert got[8].verdict == "allow" and got[8].rule is None
