@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-from .storage import shared_dir
+from .storage import saved, shared_dir
 
 MIN_REVISIT_BYTES = 100
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
-#: Payload bytes of one archive file, about; a file is read by one task.
-FILE_BYTES = 64 << 20
+#: Records of one archive file at most; a file is read by one task.
+FILE_RECORDS = 50_000
+#: Repeated payloads that are broadcast, 100 bytes each; more are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload string, content_sha256 string"
 
@@ -42,7 +44,9 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     rows = rows.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    groups = groups.where("n > 1 and least is not null").select("payload_digest", "least")
+    groups = saved(groups.where("n > 1 and least is not null").select("payload_digest", "least"), "repeated-payloads")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)  # then the payloads are not shuffled
     rows = rows.join(groups, "payload_digest", "left")
     revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("least")))
@@ -62,9 +66,9 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Writes the archive of pages to a new folder; about FILE_BYTES of records a file."""
+    """Writes the archive of pages to a new folder, a file for each input partition or FILE_RECORDS records."""
     made = records(pages, min_bytes).select("record")
-    made.hint("rebalance").write.option("lineSep", "\n").text(path)
+    made.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 @dataclass
