@@ -1,14 +1,16 @@
 """Exact set-similarity join on word shingles with PartEnum signatures.
 
 Sets are put into size bands whose ends differ by the similarity bound, so similar
-sets lie in the same or in neighbouring bands. For a pair of bands the bound on the
-Jaccard similarity becomes a bound k on the symmetric difference. The shingle domain
-is cut by hash into n1 > k parts: two similar sets differ in at most k parts and
-agree on all others, so they share the signature of one part at least. A set of which
-so few parts hold anything that the agreement may lie in empty parts alone has one
-signature more, so no pair is lost.
-
-Sets that share a signature are candidates, in three steps: each set against the
+sets lie in the same or in neighbouring bands; a pair is looked for in the instance of the
+smaller set's band. There the bound on the Jaccard similarity becomes a bound k on the
+symmetric difference. The shingle domain is cut by hash into n1 > k parts: two similar sets
+differ in at most k parts and agree on all others, so they share the signature of one part
+at least. A set of which so few parts hold anything that the agreement may lie in empty
+parts alone has one signature more, so no pair is lost.
+
+Similar sets agree on more parts than one, so each set leaves out its most frequent
+signatures, less than half of what they must agree on: a passage that very many documents
+share then seldom makes them candidates. Sets that share a signature are candidates, in three steps: each set against the
 least set of its groups (twice, as links merge components), then every pair of
 different components within a group. Candidates pass a lower bound on the difference
 (of bucket counts) and are then verified by exact intersection, so the links are
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import BLOOM_BITS, bloom, in_bloom, saved, signed
+from .storage import BLOOM_BITS, bloom, in_bloom, release, saved, signed
 from .textarrays import U64, Words, mix, slices
 
 BUCKETS = 128
+#: Bits of the parity sketch: in how many two sets differ is a lower bound of their symmetric difference.
+PARITY_BITS = 512
 _PART_SALT, _BAND_SALT, _SPARSE = U64(0x8CB92BA72F3D8DD7), U64(0xA24BAED4963EE407), U64(0xD6E8FEB86659FD93)
 
 
@@ -48,10 +52,10 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Size bands, and the bound k and part count n1 of the instance that covers a band and the one below."""
+    """Size bands, and the bound k and part count n1 of the instance for pairs whose smaller set is in a band."""
 
     def __init__(self, percent: int):
-        self.percent, self.ends = percent, [0]
+        self.percent, self.ends, self.known = percent, [0], {}
 
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -59,25 +63,47 @@ class Bands:
         return int(np.searchsorted(self.ends, size))
 
     def instance(self, band: int) -> tuple[int, int]:
-        self.of(self.ends[-1] + 1 if len(self.ends) <= band else 0)
-        k = 2 * self.ends[band] * (100 - self.percent) // (100 + self.percent)
-        return k, 1 if k == 0 else k + 2 + (3 * k) // 10
+        """k bounds the symmetric difference; of n1 parts so many hold something, but rarely, that k do not cover them."""
+        if band not in self.known:
+            least, most = self.ends[band - 1] + 1, self.ends[band]
+            k = n1 = (100 - self.percent) * (most + most * 100 // self.percent) // (100 + self.percent)
+            limit = 2 * k + 1
+            while n1 < limit and (not n1 or n1 - (empty := n1 * np.exp(-least / n1)) - 3.5 * np.sqrt(empty) < k + 1):
+                n1 += 1
+            self.known[band] = k, n1
+        return self.known[band]
+
+
+def _parts(s: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(band, k, part numbers, where each part that holds anything begins), as the smaller and the larger set of a pair."""
+    band = bands.of(len(s))
+    for b in (band, band - 1) if band > 1 else (band,):
+        k, n1 = bands.instance(b)
+        part = ((s >> U64(32)) * U64(n1)) >> U64(32)
+        yield b, k, part, np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+
 
+def spares(s: np.ndarray, bands: Bands) -> list[int]:
+    """For both instances, how many signatures of its own a set may leave out.
+
+    Similar sets agree on as many filled parts as either has beyond k, so each may leave out less than half of that.
+    """
+    found = [max(0, (len(first) - k - 1) // 2) for _, k, _, first in _parts(s, bands)]
+    return [*found, 0][:2]
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of one set of sorted hashes, over the two instances that its band takes part in."""
-    out, band = [], bands.of(len(s))
+
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of one set of sorted hashes, and of which of its two instances each is."""
+    out, role = [], []
     spread = mix(s ^ _PART_SALT)
-    for b in (band, band + 1):
-        k, n1 = bands.instance(b)
-        part = ((s >> U64(32)) * U64(n1)) >> U64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for i, (b, k, part, first) in enumerate(_parts(s, bands)):
         sums = np.add.reduceat(spread, first)
         salt = np.array([b], np.uint64) * _BAND_SALT
         out.append(mix(sums + part[first] * _PART_SALT + salt))
         if len(first) <= k:
             out.append(mix(_SPARSE + salt))
-    return np.concatenate(out)
+        role.append(np.full(len(first) + (len(first) <= k), i, np.uint64))
+    return np.concatenate(out), np.concatenate(role)
 
 
 def _fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -89,16 +115,25 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from enumerate(shingle_sets(Words(data, offsets, "space"), k), a)
 
 
-def _describe(k: int):
+def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
-            n, one, two, sketch = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64, f"({BUCKETS},)u1"))
+            n, one, two, sketch, odd, spare = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64, f"({BUCKETS},)u1", f"({PARITY_BITS},)?", "(2,)i4"))
             for i, s in _sets(batch, k):
                 n[i] = len(s)
                 one[i], two[i] = _fingerprint(s)
+                if not len(s):
+                    continue
+                spare[i] = spares(s, bands)
+                odd[i] = np.bincount((s >> U64(20)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
                 sketch[i] = np.minimum(np.bincount((s >> U64(12)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS), 255)
             rows = pa.array([x.tobytes() for x in sketch], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), signed(one), signed(two), rows], ["doc_id", "n", "one", "two", "sketch"])
+            parity = pa.array(list(np.packbits(odd, axis=1).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(n), signed(one), signed(two), rows, parity, pa.array(spare[:, 0]), pa.array(spare[:, 1])],
+                ["doc_id", "n", "one", "two", "sketch", "parity", "spare0", "spare1"],
+            )
 
     return run
 
@@ -115,8 +150,9 @@ def _sign(k: int, percent: int):
                 if (one, two) in seen:  # exact copies within a task are combined before the shuffle
                     continue
                 seen.add((one, two))
-                sigs.append(x := signatures(s, bands))
-                owners.append(np.full(len(x), one))
+                x, role = signatures(s, bands)
+                sigs.append(x)
+                owners.append((one & ~U64(1)) | role)  # the lowest bit tells the instance
                 size += len(x)
                 if size > 200_000:
                     yield pa.record_batch([signed(np.concatenate(sigs)), signed(np.concatenate(owners))], ["sig", "one"])
@@ -154,39 +190,74 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["sig", "one"])
 
 
+#: Bytes of a shingle hash that are compared: a pair of sets of 1000 is miscounted with a chance below 1e-8.
+ITEM_BYTES = 6
+#: Members of a star that one row of its centre serves.
+STAR_ROWS = 500
+
+
+def _owner_key(doc_id: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return mix(one.astype(np.int64).view(np.uint64) ^ mix(doc_id.astype(np.int64).view(np.uint64)))
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([signed(_owner_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
+
+
 def _wanted_sets(k: int, wanted):
+    """The shingle hashes, shortened, of the rows whose id and fingerprint are wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            out = []
-            for _, s in _sets(batch, k):
+            ids, out, size = batch.column("doc_id").to_numpy(), [], 0
+            for i, s in _sets(batch, k):
                 if not len(s):
                     continue
-                key = _fingerprint(s)
-                if key not in seen and in_bloom(wanted.value, mix(np.array([key[0]], np.uint64)))[0]:
-                    seen.add(key)
-                    out.append((key, s))
-                if len(out) >= 1000:
+                one, two = _fingerprint(s)
+                if in_bloom(wanted.value, _owner_key(ids[i : i + 1], np.array([one]).view(np.int64)))[0]:
+                    out.append((ids[i], one, two, s.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM_BYTES :].tobytes()))
+                    size += len(s)
+                if size > 1 << 20:
                     yield _pack(out)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield _pack(out)
-            if len(seen) > 200_000:
-                seen.clear()
 
     return run
 
 
 def _pack(rows: list) -> pa.RecordBatch:
-    values = pa.array(np.concatenate([s for _, s in rows]).view(np.int64))
-    offsets = pa.array(np.cumsum([0] + [len(s) for _, s in rows]), pa.int32())
-    keys = np.array([key for key, _ in rows], np.uint64)
-    return pa.record_batch([signed(keys[:, 0].copy()), signed(keys[:, 1].copy()), pa.ListArray.from_arrays(offsets, values)], ["one", "two", "items"])
+    ids, one, two, items = zip(*rows)
+    return pa.record_batch([pa.array(np.array(ids, np.int64)), signed(np.array(one, np.uint64)), signed(np.array(two, np.uint64)), pa.array(items, pa.binary())], ["least_id", "one", "two", "items"])
 
 
-def _mixed_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([signed(mix(batch.column(0).to_numpy().view(np.uint64)))], ["slot"])
+def _unpack(items: bytes) -> np.ndarray:
+    wide = np.zeros((len(items) // ITEM_BYTES, 8), np.uint8)
+    wide[:, 8 - ITEM_BYTES :] = np.frombuffer(items, np.uint8).reshape(-1, ITEM_BYTES)
+    return wide.view(np.uint64).ravel()
+
+
+def _linked(percent: int):
+    """Of rows (x, part, member, rep, items) by x, part and member, centres first: the pairs similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = items = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            rows = zip(batch.column("x").to_pylist(), batch.column("part").to_pylist(), batch.column("member").to_pylist(), batch.column("rep").to_pylist(), batch.column("items"))
+            for x, part, member, rep, packed in rows:
+                if not member:
+                    if centre != (x, part):
+                        centre, items = (x, part), _unpack(packed.as_py())
+                elif centre == (x, part):
+                    own = _unpack(packed.as_py())
+                    both = len(np.intersect1d(items, own, assume_unique=True))
+                    if 100 * both >= percent * (len(items) + len(own) - both):
+                        found.append((min(x, rep), max(x, rep)))
+            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _near_enough(percent: int):
@@ -194,39 +265,57 @@ def _near_enough(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("sketch_x", "sketch_rep"))
+            total = batch.column("n_x").to_numpy() + batch.column("n_rep").to_numpy()
             keep = np.abs(x - y).sum(1) * (100 + percent) <= total * (100 - percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["x", "rep"]).filter(pa.array(keep))
 
     return run
 
 
-def describe(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, one, two, sketch) per row: size, 128-bit fingerprint and bucket counts of its shingle set."""
-    return docs.select("doc_id", "text").mapInArrow(_describe(k), "doc_id long, n long, one long, two long, sketch binary")
+def describe(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row the size, 128-bit fingerprint, bucket counts, parities and spare signatures of its shingle set."""
+    return docs.select("doc_id", "text").mapInArrow(
+        _describe(k, percent), "doc_id long, n long, one long, two long, sketch binary, parity array<long>, spare0 int, spare1 int"
+    )
 
 
 class _Verifier:
-    """Exact links among candidate pairs (a, b) of set names."""
+    """Exact links among candidate pairs (x, rep) of set names; many may have the same x."""
 
-    def __init__(self, sets: DataFrame, items: DataFrame, percent: int):
-        self.sets, self.items, self.percent = sets, items, percent
+    def __init__(self, docs: DataFrame, sets: DataFrame, k: int, percent: int):
+        self.docs, self.sets, self.k, self.percent = docs, sets, k, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        side = lambda c: self.sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         near = (
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
-            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-            .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-            .mapInArrow(_near_enough(self.percent), "a long, b long")
+            pairs.join(side("x"), "x")
+            .join(side("rep"), "rep")
+            .where(F.least("n_x", "n_rep") * 100 >= F.greatest("n_x", "n_rep") * self.percent)
+            .select("x", "rep", "n_x", "n_rep", "sketch_x", "sketch_rep")
+            .mapInArrow(_near_enough(self.percent), "x long, rep long")
         )
         near = saved(near, "near")
-        side = lambda x: self.items.select(F.col("rep").alias(x), F.col("items").alias(f"items_{x}"))
-        both = F.size(F.array_intersect("items_a", "items_b"))
-        union = F.size("items_a") + F.size("items_b") - both
-        return near.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= union * self.percent).select("a", "b")
+        parts = near.groupBy("x").agg((F.floor(F.count("*") / STAR_ROWS) + 1).alias("parts"))
+        member = near.join(parts, "x").select("x", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(1).alias("member"), "rep")
+        roles = member.union(member.select("x", "part", F.lit(0), F.col("x")).distinct())
+        roles = saved(roles.join(self.sets.select("rep", "least_id", "one", "two"), "rep"), "roles")
+        wanted = bloom(roles.select("least_id", "one").distinct().mapInArrow(_owners, "slot long"), "slot", BLOOM_BITS)
+        items = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wanted_sets(self.k, wanted), "least_id long, one long, two long, items binary")
+        rows = items.join(roles, ["least_id", "one", "two"]).select("x", "part", "member", "rep", "items")
+        return rows.repartition("x", "part").sortWithinPartitions("x", "part", "member").mapInArrow(_linked(self.percent), "a long, b long").distinct()
+
+
+def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, rep, n) of shared signatures, less each set's most frequent ones as far as it can spare them."""
+    role = F.col("one").bitwiseAND(F.lit(1))
+    named = sets.select(F.col("one").bitwiseAND(F.lit(-2)).alias("name"), "rep", "n", "spare0", "spare1")
+    rows = shared.select("sig", F.col("one").bitwiseAND(F.lit(-2)).alias("name"), role.alias("role")).join(named, "name")
+    rows = saved(rows.select("sig", "rep", "n", "role", F.when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1")).alias("spare")), "shared")
+    counted = rows.join(rows.groupBy("sig").agg(F.count("*").alias("many")), "sig")
+    place = F.row_number().over(Window.partitionBy("rep", "role").orderBy(F.desc("many"), "sig"))
+    kept = counted.withColumn("place", place).where("place > spare").select("sig", "rep", "n")
+    return saved(kept, "groups")
 
 
 def _by_component(groups: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -241,13 +330,18 @@ def _star(groups: DataFrame) -> DataFrame:
     pairs = groups.join(least, "sig").where("component <> least.component").select(F.col("least.rep").alias("x"), "rep")
     counted = pairs.groupBy("rep", "x").agg(F.count("*").alias("n"))
     best = counted.groupBy("rep").agg(F.max_by("x", F.struct("n", -F.col("x"))).alias("x"))
-    return best.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+    return best.select("x", "rep")
 
 
-def _across(groups: DataFrame, percent: int) -> DataFrame:
-    x, y = (groups.select("sig", F.col("rep").alias(r), F.col("component").alias(f"c_{r}"), F.col("n").alias(f"n_{r}")) for r in "ab")
+def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a group that are in different components, of sizes and parities that may be similar."""
+    several = groups.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sig")
+    rows = groups.join(several, "sig", "left_semi").join(sets.select("rep", "parity"), "rep")
+    x, y = (rows.select("sig", F.col("rep").alias(r), F.col("component").alias(f"c_{r}"), F.col("n").alias(f"n_{r}"), F.col("parity").alias(f"p_{r}")) for r in "ab")
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & near).select(F.col("a").alias("x"), F.col("b").alias("rep")).distinct()
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 1) -> DataFrame:
@@ -259,27 +353,24 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     Repeated rows stay, one result row each. A row without doc_id names no component: it gets that of its set
     if a row with doc_id has the same set, else null, and gives no links. An empty table gives no rows.
     """
-    rows = saved(describe(docs, k), "sets")
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"))
+    rows = saved(describe(docs, k, percent), "sets")
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("least_id"), *(F.first(c).alias(c) for c in ("sketch", "parity", "spare0", "spare1")))
     # A set is named by its least doc_id; where repeated ids would name two sets alike, the others get a hash.
     nth = F.row_number().over(Window.partitionBy("least_id").orderBy("one", "two"))
     sets = saved(sets.withColumn("rep", F.when(nth == 1, F.col("least_id")).otherwise(F.xxhash64("one", "two"))), "named")
     signed_rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, percent), "sig long, one long")
     shared = signed_rows.repartition("sig").sortWithinPartitions("sig", "one").mapInArrow(shared_rows, "sig long, one long")
-    groups = saved(saved(shared, "shared").join(sets.select("one", "rep", "n"), "one").select("sig", "rep", "n"), "groups")
-    held = groups.select("rep").distinct().join(sets.select("rep", "one", "two"), "rep")
-    held = saved(held, "held")
-    wanted = bloom(held.select("one").mapInArrow(_mixed_key, "slot long"), "slot", BLOOM_BITS)
-    items = docs.select("text").mapInArrow(_wanted_sets(k, wanted), "one long, two long, items array<long>")
-    items = saved(items.join(held, ["one", "two"]).dropDuplicates(["rep"]).select("rep", "items"), "items")
-
-    verify, links, found = _Verifier(sets, items, percent), None, None
+    groups = _rarer(shared, sets)
+    release(docs.sparkSession)
+
+    verify, links, found = _Verifier(docs, sets, k, percent), None, None
     for step in range(star_rounds + 1):
         by = _by_component(groups, found)
-        pairs = _star(by) if step < star_rounds else _across(by, percent)
+        pairs = _star(by) if step < star_rounds else _across(by, sets, percent)
         new = saved(verify.links(pairs), "links")
         if found is None or not new.isEmpty():
             links = new if links is None else links.union(new)
+            release(docs.sparkSession)
             found = saved(components(links), "components")
     linked = found.join(sets.select(F.col("rep").alias("node"), "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
