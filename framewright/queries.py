@@ -392,10 +392,10 @@ def win4(spark, d):
 
 
 @_add("agg5_6_residuals", f"""with {TRACKS}, o as (select clip_id, abs(delta_x) as x, row_number() over (partition by clip_id order by abs(delta_x)) - 1 as pos, count(*) over (partition by clip_id) as n from tracks)
-  select clip_id, count(*) as n, round(avg(x), 6) as mean, round(sqrt(avg(x * x)), 6) as rms, round(max(x), 6) as max, round(max(case when pos = floor(0.95::double * (n - 1)) then x end), 6) as p95 from o group by clip_id""")
+  select clip_id, count(*) as n, round(avg(x), 4) as mean, round(sqrt(avg(x * x)), 4) as rms, round(max(x), 6) as max, round(max(case when pos = floor(0.95::double * (n - 1)) then x end), 6) as p95 from o group by clip_id""")
 def residuals(spark, d):
     rows = a.tracks(spark, d).withColumn("x", F.abs("delta_x"))
-    return _rounded(trajectory.residual_stats(rows, ["clip_id"], "x"), "mean", "rms", "max", "p95")
+    return _rounded(_rounded(trajectory.residual_stats(rows, ["clip_id"], "x"), "max", "p95"), "mean", "rms", places=4)
 
 
 @_add("agg7_8_perf", "select event_type as provider, count(*) as n, round(avg(value), 6) as avg, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99, round(min(value), 6) as min, round(max(value), 6) as max from events group by all")
