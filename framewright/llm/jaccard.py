@@ -36,6 +36,9 @@ BUCKETS = 128
 PARITY_BITS = 512
 _PART_SALT, _BAND_SALT, _SPARSE = U64(0x8CB92BA72F3D8DD7), U64(0xA24BAED4963EE407), U64(0xD6E8FEB86659FD93)
 
+#: Signatures keep 48 bits, for less to shuffle; chance agreements make candidates, which the exact check rejects.
+_CUT = U64(16)
+
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
@@ -99,9 +102,9 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     for i, (b, k, part, first) in enumerate(_parts(s, bands)):
         sums = np.add.reduceat(spread, first)
         salt = np.array([b], np.uint64) * _BAND_SALT
-        out.append(mix(sums + part[first] * _PART_SALT + salt))
+        out.append(mix(sums + part[first] * _PART_SALT + salt) >> _CUT)
         if len(first) <= k:
-            out.append(mix(_SPARSE + salt))
+            out.append(mix(_SPARSE + salt) >> _CUT)
         role.append(np.full(len(first) + (len(first) <= k), i, np.uint64))
     return np.concatenate(out), np.concatenate(role)
 
