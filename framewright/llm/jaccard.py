@@ -168,29 +168,37 @@ def _sign(k: int, percent: int):
     return run
 
 
+def _counted(sig: np.ndarray, one: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(sig), pa.array(one), pa.array(many)], ["sig", "one", "many"])
+
+
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (sig, one) sorted by both: one row per sig and value, for each sig with two values at least.
 
+    `many` counts the sig's values up to the end of the batch, so it is a lower bound where a sig fills several batches.
     Memory is that of one batch, however many rows a sig has.
     """
-    held = None  # the last row: sig, value, whether another value of this sig went out or came before
+    held = None  # the last row: sig, value, how many other values of this sig came before
     for batch in batches:
         sig, one = (batch.column(i).to_numpy() for i in (0, 1))
-        if held:
-            sig, one = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], one))
         if not len(sig):
             continue
-        again = np.concatenate(([False], (sig[1:] == sig[:-1]) & (one[1:] == one[:-1])))
-        before = held[2] if held else False
-        sig, one = sig[~again], one[~again]
-        same = sig[1:] == sig[:-1]
-        keep = np.concatenate(([before], same)) | np.concatenate((same, [False]))
-        held = (sig[-1], one[-1], bool(keep[-1]))
+        if held:
+            sig, one = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], one))
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1])))
+        sig, one = sig[new], one[new]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        length = np.diff(np.append(first, len(sig)))
+        count = length.copy()
+        count[0] += held[2] if held else 0
+        many = np.repeat(count, length)
+        held = (sig[-1], one[-1], int(many[-1]) - 1)
+        keep = many > 1
         keep[-1] = False
         if keep.any():
-            yield pa.record_batch([pa.array(sig[keep]), pa.array(one[keep])], ["sig", "one"])
+            yield _counted(sig[keep], one[keep], many[keep])
     if held and held[2]:
-        yield pa.record_batch([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["sig", "one"])
+        yield _counted(np.array([held[0]]), np.array([held[1]]), np.array([held[2] + 1]))
 
 
 #: Bytes of a shingle hash that are compared: a pair of sets of 1000 is miscounted with a chance below 1e-8.
@@ -310,15 +318,16 @@ class _Verifier:
 
 
 def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, rep, n) of shared signatures, less each set's most frequent ones as far as it can spare them."""
-    role = F.col("one").bitwiseAND(F.lit(1))
-    named = sets.select(F.col("one").bitwiseAND(F.lit(-2)).alias("name"), "rep", "n", "spare0", "spare1")
-    rows = shared.select("sig", F.col("one").bitwiseAND(F.lit(-2)).alias("name"), role.alias("role")).join(named, "name")
-    rows = saved(rows.select("sig", "rep", "n", "role", F.when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1")).alias("spare")), "shared")
-    counted = rows.join(rows.groupBy("sig").agg(F.count("*").alias("many")), "sig")
-    place = F.row_number().over(Window.partitionBy("rep", "role").orderBy(F.desc("many"), "sig"))
-    kept = counted.withColumn("place", place).where("place > spare").select("sig", "rep", "n")
-    return saved(kept, "groups")
+    """(sig, rep, n) of shared signatures, less each set's most frequent ones as far as it can spare them.
+
+    Which ones a set leaves out is free, so the counts need not be exact. The join and the window are both by name: one shuffle.
+    """
+    one = F.col("one")
+    named = sets.select(one.bitwiseAND(F.lit(-2)).alias("name"), "rep", "n", "spare0", "spare1")
+    rows = shared.select("sig", one.bitwiseAND(F.lit(-2)).alias("name"), one.bitwiseAND(F.lit(1)).alias("role"), "many").join(named, "name")
+    place = F.row_number().over(Window.partitionBy("name", "role").orderBy(F.desc("many"), "sig"))
+    spare = F.when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1"))
+    return saved(rows.withColumn("place", place).where(F.col("place") > spare).select("sig", "rep", "n"), "groups")
 
 
 def _by_component(groups: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -362,7 +371,7 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     nth = F.row_number().over(Window.partitionBy("least_id").orderBy("one", "two"))
     sets = saved(sets.withColumn("rep", F.when(nth == 1, F.col("least_id")).otherwise(F.xxhash64("one", "two"))), "named")
     signed_rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, percent), "sig long, one long")
-    shared = signed_rows.repartition("sig").sortWithinPartitions("sig", "one").mapInArrow(shared_rows, "sig long, one long")
+    shared = signed_rows.repartition("sig").sortWithinPartitions("sig", "one").mapInArrow(shared_rows, "sig long, one long, many long")
     groups = _rarer(shared, sets)
     release(docs.sparkSession)
 
