@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,5 +69,28 @@ def in_bloom(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose long `column` is null or not among the ids of gone (one long column); columns as before.
+
+    Rows that a Bloom filter of the ids rules out pass without a shuffle; the others are settled by an exact anti-join. The
+    driver and the broadcast hold 8 MB at most, however many ids there are. Repeated ids and nulls in gone are harmless.
+    """
+    from pyspark.sql import functions as F
+
+    name = gone.columns[0]
+    hashed = F.xxhash64(F.col(column).cast("long"))
+    bitmap = bloom(gone.where(F.col(name).isNotNull()).select(F.xxhash64(F.col(name).cast("long")).alias("slot")), "slot")
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(bitmap.value, h.to_numpy()))
+
+    marked = df.withColumn("_maybe", maybe(hashed))
+    own = [F.col(c) for c in df.columns]
+    ids = gone.select(F.col(name).alias("_gone"))
+    unsure = marked.where("_maybe").join(ids, F.col(column) == F.col("_gone"), "left_anti")
+    return marked.where("not _maybe").select(*own).union(unsure.select(*own))
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))

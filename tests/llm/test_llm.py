@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from framewright.llm import decontaminate, langid, mixing, pii, sentences, suffixes, topk, urls, warc  # noqa: E402
+from framewright.llm import decontaminate, langid, mixing, pii, sentences, storage, suffixes, topk, urls, warc  # noqa: E402
 from framewright.llm.jaccard import shingle_components  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,6 +46,31 @@ def test_components(docs):
     assert got == brute.components(texts())
 
 
+def test_shared_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from framewright.llm.jaccard import shared_rows
+
+    rng = random.Random(3)
+    for size in (1, 2, 7, 100):
+        rows = sorted((rng.randrange(12), rng.randrange(5)) for _ in range(60)) + [(99, 1), (99, 1), (100, 2)]
+        batches = [pa.record_batch([pa.array(np.array([r[i] for r in rows[a : a + size]], np.int64)) for i in (0, 1)], ["sig", "one"]) for a in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in shared_rows(batches) for r in b.to_pylist()]
+        count = {s: len({o for t, o in rows if t == s}) for s, _ in rows}
+        assert [g[:2] for g in got] == sorted({r for r in rows if count[r[0]] > 1})
+        assert all(2 <= many <= count[s] for s, _, many in got) and (size < 100 or all(many == count[s] for s, _, many in got))
+
+
+def test_without(spark):
+    df = spark.createDataFrame([(i % 50, str(i)) for i in range(100)] + [(None, "null")], "doc_id long, text string")
+    gone = spark.createDataFrame([(3,), (3,), (None,), (49,), (77,)], "k long")
+    got = storage.without(df, "doc_id", gone)
+    assert got.columns == df.columns
+    assert sorted(r.text for r in got.collect()) == sorted([str(i) for i in range(100) if i % 50 not in (3, 49)] + ["null"])
+    assert storage.without(df, "doc_id", gone.limit(0)).count() == 101 and storage.without(df.limit(0), "doc_id", gone).count() == 0
+
+
 def test_components_of_nothing(spark):
     assert shingle_components(spark.createDataFrame([], DOC)).count() == 0
 
