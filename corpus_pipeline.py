@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, langid, mixing, pii
 from framewright.llm.jaccard import shingle_components
-from framewright.llm.storage import saved
+from framewright.llm.storage import saved, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones: that with the smallest id."""
     groups = shingle_components(docs).groupBy(F.col("doc_id").alias("k_id")).agg(F.min("component_id").alias("k_group"))
-    keep = groups.where("k_id = k_group").select("k_id")
-    found = docs.join(keep, docs["doc_id"] == keep["k_id"], "left_semi")
-    return found.union(docs.where("doc_id is null"))
+    copies = saved(groups.where("k_id <> k_group").select("k_id"), "copies")
+    return without(docs, "doc_id", copies)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
