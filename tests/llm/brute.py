@@ -126,3 +126,38 @@ def sentence_dedup(docs: list[tuple[int, str | None]], k: int, min_words: int) -
             kept = text[: edges[0]] + "".join(text[edges[j] : edges[j + 1]] for j in range(len(parts)) if j not in gone)
         out[i] = (len(parts), len(gone), kept)
     return out
+
+
+CLOSED = re.compile(r"[.!?。！？｡…‼⁇⁈⁉।॥؟۔։][)\]}\"'’”“‘»«›‹）」』】》]*$")
+
+
+def whole_sentences(text: str | None) -> list[tuple]:
+    """Words of every sentence; it ends in a stop with or without closing quotes and brackets, or with its line"""
+    out, words = [], []
+    for line in (text or "").split("\n"):
+        for w in WORD.findall(line):
+            words.append(w.translate(FOLD))
+            if CLOSED.search(w):
+                out.append(tuple(words))
+                words = []
+        if words:
+            out.append(tuple(words))
+            words = []
+    return out
+
+
+def repeated_stretches(docs: list[tuple[int, str | None]], min_words: int) -> dict[int, list[tuple]]:
+    """doc_id -> sentences outside of any stretch of whole sentences of min_words that occurred before; ids are unique"""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        parts = whole_sentences(text)
+        gone = set()
+        for j in range(len(parts)):
+            for e in range(j + 1, len(parts) + 1):
+                run = tuple(w for p in parts[j:e] for w in p)
+                if len(run) >= min_words:
+                    if run in seen:
+                        gone.update(range(j, e))
+                    seen.add(run)
+        out[i] = [p for j, p in enumerate(parts) if j not in gone]
+    return out

@@ -85,6 +85,52 @@ def test_sentence_spans(docs):
     assert got == brute.sentence_dedup(texts(), sentences.RUN, sentences.MIN_WORDS)
 
 
+def test_sentence_passages_short(spark):
+    rng = random.Random(8)
+    stock = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.choice((1, 1, 2, 4, 7, 13)))) + rng.choice((".", "?", '."', ".)", "。", "؟", ".“")) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        n, at = rng.choice((1, 2, 3, 6)), rng.randrange(34)
+        rows.append((i, f"own{i}a own{i}b. " + " ".join(stock[at : at + n]).upper() + rng.choice((" ", "\n")) + f"own{i}c."))
+    rows += [(60, None), (61, ""), (62, stock[0]), (63, " \t\n")]
+    got = {r.doc_id: r for r in sentences.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.repeated_stretches(rows, sentences.MIN_WORDS)
+    assert {i: [w for s in want[i] for w in s] for i, _ in rows} == {i: brute.WORD.findall((got[i].text or "").translate(brute.FOLD)) for i, _ in rows}
+    assert {i: r.n_removed for i, r in got.items()} == {i: len(brute.whole_sentences(t)) - len(want[i]) for i, t in rows}
+    assert got[60].text is None and got[63].text == " \t\n" and sum(r.n_removed for r in got.values()) > 20
+
+
+def test_sentence_passages(spark):
+    """Any passage of 51 words is found wherever it is cut, and its margins of WINDOW words at most stay."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows, passages = [], []
+    for i in range(80):
+        passages.append([word() + (rng.choice(("", "", "", ".")) if i % 2 else "") for _ in range(51)])
+    passages += [["of."] * 51, ["of"] * 51, ["é."] * 51]
+    for turn in range(2):
+        for i, p in enumerate(passages):
+            own = [word() for _ in range(40)]
+            cut = rng.randrange(41)
+            rows.append((turn * 100 + i, " ".join([*own[:cut], *p, *own[cut:]])))
+    df = spark.createDataFrame([*rows, (300, None), (301, "short"), (302, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentences.passages(df).collect()}
+    for i, p in enumerate(passages):
+        words = rows[len(passages) + i][1].split()
+        assert got[100 + i].n_removed > 0 and got[100 + i].n_words_removed >= 52 - 2 * sentences.WINDOW
+        left = got[100 + i].text.split()
+        assert len(left) + got[100 + i].n_words_removed == 91 and [w for w in words if w not in p] == [w for w in left if w not in p]
+    assert all(got[i].n_removed == 0 and got[i].text == t for i, t in rows[:80])
+    assert got[300].text is None and got[301].n_removed == got[302].n_removed == 0
+    assert sentences.passages(df.limit(0)).count() == 0
+
+
+def test_sentence_passages_hold_runs(docs):
+    once = {r.doc_id: r.n_words_removed for r in sentences.dedup(docs).collect()}
+    more = {r.doc_id: r.n_words_removed for r in sentences.passages(docs).collect()}
+    assert once.keys() == more.keys() and all(more[i] >= n for i, n in once.items())
+
+
 PII = [
     None, "", "mail a.b@c.de_f@g.hi, x@y", "ip 1.2.3.4.5 and 300.1.1.1 0255.0.0.1", "card 4111 1111-1111 1111 and 4111111111111112", "é+1 (743) 555-3824. +12", "\x01\x02a@b.c\x02",
     "IBAN DE89 3704 0044 0532 0130 00.", "ssn 123-45-6789, part 123-45-6789", "9" * 5000, "x" * 5000 + "@a.b", "1-2 3-4" * 40,
