@@ -60,7 +60,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, bucket_rows
     """One row per document (doc_id, source, key columns): size, source_size, target, taken, and its place in the order.
 
     docs: doc_id, text, source; other columns are ignored. Null or wordless text: size 0, taken 0. A null source is a
-    source of its own, last in order. Repeated rows are separate rows of equal place. An empty table gives no rows.
+    source of its own, last in order. Rows of equal (doc_id, source, size) stand one behind
+    the other, numbered from 1 by `nth`. An empty table gives no rows.
     The order is that of md5(doc_id), then doc_id; running words come from bucket sums, then within a bucket, so no
     task holds a source.
     """
@@ -78,7 +79,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, bucket_rows
     ahead = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
     starts = buckets.select("source", "bucket", ahead.alias("ahead")).join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(within))
+    equal = Window.partitionBy("source", "bucket", "order", "doc_id", "size").orderBy("upto")
+    rows = rows.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.row_number().over(equal))
     s = starts.alias("s")
     joined = rows.alias("r").join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
     place = F.col("s.ahead") + F.col("r.upto") - F.col("r.size")
@@ -87,10 +89,14 @@ def plan(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, bucket_rows
     more = F.when((turns < passes) & (F.col("r.size") > 0) & (place + F.col("r.size") / 2 <= part), 1).otherwise(0)
     times = F.when(F.col("r.size") > 0, turns + more).otherwise(0).cast("long")
     return joined.select(
-        "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", (times * F.col("r.size")).alias("taken"), times.alias("times"), place.alias("place"), F.col("r.order").alias("order")
+        "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", (times * F.col("r.size")).alias("taken"), times.alias("times"), place.alias("place"), F.col("r.order").alias("order"), F.col("r.nth").alias("nth")
     )
 
 
+def _quota(blocks: int) -> Column:
+    return F.ceil(F.when(F.col("all_target") > 0, F.col("target") * blocks / F.col("all_target")).otherwise(0)).cast("int")
+
+
 def splitting_tree(targets: DataFrame, shards: int, blocks_per_shard: int, seed: int) -> DataFrame:
     """(source, block) -> shard: the blocks of every source's mix, split among shards by a tree of exact draws.
 
@@ -99,7 +105,7 @@ def splitting_tree(targets: DataFrame, shards: int, blocks_per_shard: int, seed:
     """
     total = targets.agg(F.sum("target").alias("all_target"))
     quota = targets.crossJoin(F.broadcast(total)).select(  # one row against one row per source
-        "source", F.ceil(F.when(F.col("all_target") > 0, F.col("target") * (shards * blocks_per_shard) / F.col("all_target")).otherwise(0)).cast("int").alias("quota")
+        "source", _quota(shards * blocks_per_shard).alias("quota")
     )
     blocks = quota.where("quota > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("block"))
     blocks = blocks.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
@@ -115,28 +121,54 @@ def splitting_tree(targets: DataFrame, shards: int, blocks_per_shard: int, seed:
     return blocks.select("source", "block", F.col("low").alias("shard"))
 
 
-def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, weights=WEIGHTS, passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
-    """The mixed rows: docs' own columns, one row per taken copy, with `shard` and `shard_order`; sort by both to read.
+def draw(planned: DataFrame, shards: int, blocks_per_shard: int, seed: int) -> DataFrame:
+    """A row for each copy that plan takes: doc_id, source, size, nth, pass, block, and by the splitting tree shard and shard_order.
 
-    Rows of equal (doc_id, source, size) are taken alike. Columns of docs named shard or shard_order are replaced.
+    planned: the rows of plan, saved. A copy's block is where its place falls in its source's mix; the tree holds every such
+    block, so each copy has one shard.
     """
-    docs = docs.drop("shard", "shard_order")
-    planned = plan(docs, weights, passes)
-    keyed = saved(planned.where("times > 0").dropDuplicates(["doc_id", "source", "size"]), "planned")
-    targets = keyed.groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-    tree = saved(splitting_tree(targets.select("source", "target"), shards, blocks_per_shard, seed), "tree")
+    blocks = shards * blocks_per_shard
+    taken = planned.where("times > 0")
+    targets = taken.groupBy("source").agg(F.first("target").alias("target"))
+    tree = saved(splitting_tree(targets, shards, blocks_per_shard, seed), "tree")
     total = targets.agg(F.sum("target").alias("all_target"))
-    copies = keyed.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).crossJoin(F.broadcast(total))  # one row
+    copies = taken.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).crossJoin(F.broadcast(total))  # one row
     at = F.col("place") + (F.col("pass") - 1) * F.col("source_size")
-    copies = copies.withColumn("block", F.floor(at * (shards * blocks_per_shard) / F.col("all_target")).cast("int"))
+    copies = copies.withColumn("block", F.least(F.floor(at * blocks / F.col("all_target")).cast("int"), _quota(blocks) - 1))
     lookup = tree.select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), "shard")
-    if tree.count() <= BROADCAST_SOURCES + shards * blocks_per_shard:
+    if tree.count() <= BROADCAST_SOURCES + blocks:
         lookup = F.broadcast(lookup)
     hit = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block"))
-    placed = copies.join(lookup, hit, "left").select(
-        F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("size").alias("k_size"),
-        F.coalesce("shard", F.lit(shards - 1)).alias("shard"), F.xxhash64(F.lit(seed), "order", "pass").alias("shard_order"),
+    order = F.xxhash64(F.lit(seed), "order", "pass", "nth").alias("shard_order")
+    return copies.join(lookup, hit).select("doc_id", "source", "size", "nth", "pass", "block", "shard", order)
+
+
+def digest(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, seed: int = 7) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, and taken, the words of its drawn copies."""
+    planned = saved(plan(docs), "planned")
+    copies = saved(draw(planned, shards, blocks_per_shard, seed), "copies")
+    keys = ["doc_id", "source", "size", "nth"]
+    drawn = copies.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(c).alias(f"k_{c}") for c in keys), "n")
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    return planned.join(drawn, same, "left").select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, weights=WEIGHTS, passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
+    """The mixed rows: docs' own columns, one row per taken copy, with `shard` and `shard_order`; sort by both to read.
+
+    Rows of equal (doc_id, source, size) are taken one by one, in the order of their texts. Columns of docs named shard or
+    shard_order are replaced.
+    """
+    docs = docs.drop("shard", "shard_order")
+    planned = saved(plan(docs, weights, passes), "planned")
+    placed = draw(planned, shards, blocks_per_shard, seed).select(
+        F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("nth").alias("k_nth"), "shard", "shard_order",
     )
     sized = docs.withColumn("k_words", word_count(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
+    if not planned.where("nth > 1 and size > 0").isEmpty():  # else texts need no order
+        sized = sized.withColumn("k_row", F.row_number().over(Window.partitionBy("doc_id", "source", "k_words").orderBy("text")))
+        same &= F.col("k_row") == F.col("k_nth")
     return sized.join(placed, same).select(*docs.columns, "shard", "shard_order")

@@ -181,6 +181,37 @@ def test_mix(docs):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mix_query_draws(spark, monkeypatch):
+    from framewright.llm import queries
+
+    drawn = []
+    tree = mixing.splitting_tree
+
+    def record(*args):
+        drawn.append(args)
+        return tree(*args)
+
+    monkeypatch.setattr(mixing, "splitting_tree", record)
+    got = queries.op10_mix(spark, "/root/testdata/sf0.001")
+    want = mixing.plan(queries.table(spark, "/root/testdata/sf0.001", "documents"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.select(*got.columns).collect()) and len(drawn) == 1
+
+
+def test_mix_repeats(spark):
+    rows = [(1, f"a b c {'xyz'[i % 3]}", "s0") for i in range(10)] + [(None, "d e", "s1")] * 12 + [(3, "f g h", None)] * 30 + [(4, None, "s0"), (4, "", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(df).collect()
+    times = {k: sorted(r.times for r in plan if r.doc_id == k and r.times) for k in (1, None, 3)}
+    assert any(len(set(t)) > 1 for t in times.values())
+    copies = mixing.draw(storage.saved(mixing.plan(df), "plan"), 3, 4, 7).collect()
+    assert len(copies) == sum(r.times for r in plan) and len({(c.source, c.block): c.shard for c in copies}) == len({(c.source, c.block, c.shard) for c in copies})
+    mixed = mixing.mix(df, shards=3, blocks_per_shard=4).collect()
+    assert {k: sum(r.doc_id == k for r in mixed) for k in times} == {k: sum(t) for k, t in times.items()}
+    got = mixing.digest(df).collect()
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in plan) and len(got) == len(rows)
+    assert mixing.digest(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
 def test_warc(spark):
     long = "<p>" + "x\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(3, "http://a/%0A", long), (1, "http://b/\n", long), (2, None, long), (4, "http://c", "short"), (5, "http://d", "short"), (6, "e", None), (7, "f", "é" * 60)]
