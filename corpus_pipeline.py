@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, langid, mixing, pii
@@ -16,10 +16,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones: that with the smallest id."""
-    groups = shingle_components(docs).groupBy(F.col("doc_id").alias("k_id")).agg(F.min("component_id").alias("k_group"))
-    copies = saved(groups.where("k_id <> k_group").select("k_id"), "copies")
-    return without(docs, "doc_id", copies)
+    """Keeps one document of each group of similar ones: that with the smallest id, null ids last.
+
+    Where ids repeat or are null, rows are told apart by id and text. Rows alike in both are copies, and one stays; rows of
+    one id with two texts are two documents. Texts without words are similar to none.
+    """
+    counted = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if counted.where("n > 1 or doc_id is null").isEmpty():
+        groups = shingle_components(docs).select(F.col("doc_id").alias("k_id"), F.col("component_id").alias("k_group"))
+        return without(docs, "doc_id", saved(groups.where("k_id <> k_group").select("k_id"), "copies"))
+    names = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keys = saved(keyed.groupBy("_key").agg(F.first("doc_id").alias("k_id"), F.count("*").alias("n")), "keys")
+    groups = shingle_components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("k_group")).distinct()
+    groups = saved(groups.join(keys, "_key"), "groups")
+    least = groups.groupBy("k_group").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "_key")).alias("least"))
+    copies = saved(groups.join(least, "k_group").where("_key <> least._key").select("_key"), "copies")
+    kept = without(keyed, "_key", copies)
+    repeated = saved(keys.where("n > 1").select("_key"), "repeated")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*(F.col(c) for c in names)))
+    once = kept.join(repeated, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return without(kept, "_key", repeated).select(*names).union(once.select(*names))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
