@@ -64,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Compression and the redaction's folds have no SQL form; tests/llm holds the stages against brute force.
+#: Compression and the redaction's folds have no SQL form; tests/llm/test_pipeline.py holds near copies, benchmark and personal data
+#: against brute force on small tables. The language stage and the whole run are not.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 SQL: dict[str, str] = {}

@@ -32,3 +32,19 @@ def test_near_copies(spark):
         assert got.columns == df.columns
         assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in got.collect())
     assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_benchmark_and_personal_data(spark, tmp_path):
+    rng = random.Random(7)
+    item = prose(rng, 30)
+    spark.createDataFrame([("1", item), ("2", None), ("3", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    part = " ".join(item.split()[5:17])
+    rows = [(1, prose(rng, 20)), (1, prose(rng, 9) + " " + part), (None, part), (None, prose(rng, 5)), (2, None), (3, ""), (4, "mail a.b@c.de or +1 (743) 555-3824"), (4, "mail a.b@c.de or +1 (743) 555-3824")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.benchmark(spark, df, str(tmp_path))
+    want = [(i, t) for i, t in rows if not brute.decontaminated(t, {"1": item})[1]]
+    assert kept.columns == df.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in kept.collect())
+    clean = corpus_pipeline.personal_data(spark, df, "").collect()
+    assert len(clean) == len(rows)
+    assert sorted(str(r.text) for r in clean if r.doc_id != 4) == sorted(str(t) for i, t in rows if i != 4)
+    assert not any(brute.base_spans(r.text) for r in clean) and sum("[EMAIL]" in (r.text or "") for r in clean) == 2
