@@ -10,12 +10,16 @@ parts alone has one signature more, so no pair is lost.
 
 Similar sets agree on more parts than one, so each set leaves out its most frequent
 signatures, less than half of what they must agree on: a passage that very many documents
-share then seldom makes them candidates. Sets that share a signature are candidates, in three steps: each set against the
-least set of its groups (twice, as links merge components), then every pair of
-different components within a group. Candidates pass a lower bound on the difference
+share then seldom makes them candidates. Sets that share a signature are candidates, in steps: each set against the
+least set of its groups, then the pairs of different components within a group. Candidates pass a lower bound on the difference
 (of bucket counts) and are then verified by exact intersection, so the links are
 exact. Pairs inside one component are never listed: large groups of near copies cost
 a star, not a square. Exact copies are one set from the start.
+
+Only groups of up to GROUP_ROWS members are paired. A larger group takes a centre, and each
+member is replaced by its symmetric difference from it, which cancels what the group has in common;
+similar members' differences overlap, so prefixes of them (elements that the centre lacks come first)
+are the signatures of finer groups, exactly. So it goes on, level by level.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import BLOOM_BITS, bloom, in_bloom, release, saved, signed
+from .storage import BLOOM_BITS, bloom, discard, in_bloom, release, saved, signed
 from .textarrays import U64, Words, mix, slices
 
 BUCKETS = 128
@@ -38,6 +42,10 @@ _PART_SALT, _BAND_SALT, _SPARSE = U64(0x8CB92BA72F3D8DD7), U64(0xA24BAED4963EE40
 
 #: Signatures keep 48 bits, for less to shuffle; chance agreements make candidates, which the exact check rejects.
 _CUT = U64(16)
+_SIGNATURE = (1 << 48) - 1
+#: Of one text in SAMPLED the signatures are counted first; those with a HOT_SHARE-th of all, and twice SAMPLE_LEAST sets at
+#: least in the sample, are dealt over HOT_LOTS partitions by set. So at most HOT_SHARE signatures are known to all tasks.
+SAMPLED, HOT_SHARE, SAMPLE_LEAST, HOT_LOTS = 16, 10_000, 4, 128
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -141,7 +149,9 @@ def _describe(k: int, percent: int):
     return run
 
 
-def _sign(k: int, percent: int):
+def _sign(k: int, percent: int, hot=None):
+    """(sig, one) of every set; those of hot signatures carry a lot in the bits above the signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
@@ -154,6 +164,9 @@ def _sign(k: int, percent: int):
                     continue
                 seen.add((one, two))
                 x, role = signatures(s, bands)
+                if hot is not None and len(hot.value):
+                    lot = ((one >> U64(8)) % U64(HOT_LOTS) + U64(1)) << U64(48)
+                    x = np.where(hot.value[np.minimum(np.searchsorted(hot.value, x), len(hot.value) - 1)] == x, x | lot, x)
                 sigs.append(x)
                 owners.append((one & ~U64(1)) | role)  # the lowest bit tells the instance
                 size += len(x)
@@ -168,12 +181,23 @@ def _sign(k: int, percent: int):
     return run
 
 
+def _hot(docs: DataFrame, k: int, percent: int):
+    """Broadcasts the sorted signatures that the sample shows to be frequent, HOT_SHARE at most; this only steers who counts them."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    sampled = some.mapInArrow(_sign(k, percent), "sig long, one long").distinct().groupBy("sig").agg(F.count("*").alias("n"))
+    sampled = saved(sampled.where(F.col("n") >= SAMPLE_LEAST), "sampled")
+    total = sampled.agg(F.sum("n")).first()[0] or 0
+    rows = sampled.where(F.col("n") >= max(2 * SAMPLE_LEAST, total // HOT_SHARE)).orderBy(F.desc("n"), "sig").limit(HOT_SHARE).collect()
+    discard(sampled)
+    return docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.sig for r in rows], np.uint64)))
+
+
 def _counted(sig: np.ndarray, one: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(sig), pa.array(one), pa.array(many)], ["sig", "one", "many"])
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, one) sorted by both: one row per sig and value, for each sig with two values at least.
+    """Of rows (sig, one) sorted by both: one row per sig and value, for each sig with two values at least or with a lot.
 
     `many` counts the sig's values up to the end of the batch, so it is a lower bound where a sig fills several batches.
     Memory is that of one batch, however many rows a sig has.
@@ -193,18 +217,22 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count[0] += held[2] if held else 0
         many = np.repeat(count, length)
         held = (sig[-1], one[-1], int(many[-1]) - 1)
+        many = np.where(sig >> 48 > 0, many * HOT_LOTS, many)
         keep = many > 1
         keep[-1] = False
         if keep.any():
             yield _counted(sig[keep], one[keep], many[keep])
-    if held and held[2]:
+    if held and (held[2] or held[0] >> 48 > 0):
         yield _counted(np.array([held[0]]), np.array([held[1]]), np.array([held[2] + 1]))
 
 
 #: Bytes of a shingle hash that are compared: a pair of sets of 1000 is miscounted with a chance below 1e-8.
 ITEM_BYTES = 6
 #: Members of a star that one row of its centre serves.
-STAR_ROWS = 500
+STAR_ROWS = 100
+#: Members of a group that are paired directly, so a row meets half as many others on average at most; larger groups are split by
+#: differences from a centre, on so many levels; what is larger still on the last one is paired all the same.
+GROUP_ROWS, LEVELS = 64, 4
 
 
 def _owner_key(doc_id: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -220,13 +248,15 @@ def _wanted_sets(k: int, wanted):
     """The shingle hashes, shortened, of the rows whose id and fingerprint are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows within a task go once
         for batch in batches:
             ids, out, size = batch.column("doc_id").to_numpy(), [], 0
             for i, s in _sets(batch, k):
                 if not len(s):
                     continue
                 one, two = _fingerprint(s)
-                if in_bloom(wanted.value, _owner_key(ids[i : i + 1], np.array([one]).view(np.int64)))[0]:
+                if (ids[i], one) not in seen and in_bloom(wanted.value, _owner_key(ids[i : i + 1], np.array([one]).view(np.int64)))[0]:
+                    seen.add((ids[i], one))
                     out.append((ids[i], one, two, s.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM_BYTES :].tobytes()))
                     size += len(s)
                 if size > 1 << 20:
@@ -234,6 +264,8 @@ def _wanted_sets(k: int, wanted):
                     out, size = [], 0
             if out:
                 yield _pack(out)
+            if len(seen) > 200_000:
+                seen.clear()
 
     return run
 
@@ -249,24 +281,44 @@ def _unpack(items: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _linked(percent: int):
-    """Of rows (x, part, member, rep, items) by x, part and member, centres first: the pairs similar enough."""
+def _compared(percent: int, deeper: bool):
+    """Of rows (x, part, member, rep, items) by x, part and member, centres first: (a, b) of the pairs similar enough.
+
+    Deeper: also (sig, b, n, role) of each member's signatures relative to x. With d the difference from x and k the most
+    that similar sets differ in, the member whose d is smaller has one of its first k / 2 + 1 elements (role 3) among the first k + 1 of
+    the other (role 2 or 3): their differences share (d + d' - k) / 2 elements, one at least as x is dissimilar to either.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = items = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            a, b, sigs, size, role = [], [], [], [], []
             rows = zip(batch.column("x").to_pylist(), batch.column("part").to_pylist(), batch.column("member").to_pylist(), batch.column("rep").to_pylist(), batch.column("items"))
             for x, part, member, rep, packed in rows:
                 if not member:
                     if centre != (x, part):
                         centre, items = (x, part), _unpack(packed.as_py())
-                elif centre == (x, part):
-                    own = _unpack(packed.as_py())
-                    both = len(np.intersect1d(items, own, assume_unique=True))
-                    if 100 * both >= percent * (len(items) + len(own) - both):
-                        found.append((min(x, rep), max(x, rep)))
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+                    continue
+                if centre != (x, part):
+                    continue
+                own = _unpack(packed.as_py())
+                known = items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own
+                both = int(known.sum())
+                if 100 * both >= percent * (len(items) + len(own) - both):
+                    for column, value in ((a, x), (b, rep), (sigs, 0), (size, 0), (role, 0)):
+                        column.append(np.array([value]))
+                if deeper:
+                    lacks = items[own[np.minimum(np.searchsorted(own, items), len(own) - 1)] != items]
+                    most = (100 - percent) * len(own) // percent
+                    first = np.concatenate((own[~known], lacks))[: most + 1]
+                    n = len(first)
+                    sigs.append((mix(first ^ mix(np.array([x], np.int64).view(np.uint64))) >> _CUT).view(np.int64))
+                    role.append(np.where(np.arange(n) <= (100 - percent) * len(own) // (2 * percent), 3, 2).astype(np.int32))
+                    a.append(np.full(n, x))
+                    b.append(np.full(n, rep))
+                    size.append(np.full(n, len(own)))
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(c).astype(t)) for c, t in ((a, np.int64), (b, np.int64), (sigs, np.int64), (size, np.int64), (role, np.int32))], ["a", "b", "sig", "n", "role"])
 
     return run
 
@@ -307,14 +359,29 @@ class _Verifier:
             .mapInArrow(_near_enough(self.percent), "x long, rep long")
         )
         near = saved(near, "near")
-        parts = near.groupBy("x").agg((F.floor(F.count("*") / STAR_ROWS) + 1).alias("parts"))
-        member = near.join(parts, "x").select("x", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(1).alias("member"), "rep")
+        found = self._met(near, False)
+        discard(near)
+        return found
+
+    def finer(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of saved pairs (centre x, rep): the links among them, and groups (sig, rep, n, role) by differences from the centres."""
+        found = self._met(pairs, True)
+        return saved(found.where("role = 0").select("a", "b"), "links"), found.where("role > 0").select("sig", F.col("b").alias("rep"), "n", "role")
+
+    def _met(self, pairs: DataFrame, deeper: bool) -> DataFrame:
+        parts = pairs.groupBy("x").agg((F.floor(F.count("*") / STAR_ROWS) + 1).alias("parts"))
+        member = pairs.join(parts, "x").select("x", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(1).alias("member"), "rep")
         roles = member.union(member.select("x", "part", F.lit(0), F.col("x")).distinct())
         roles = saved(roles.join(self.sets.select("rep", "least_id", "one", "two"), "rep"), "roles")
         wanted = bloom(roles.select("least_id", "one").distinct().mapInArrow(_owners, "slot long"), "slot", BLOOM_BITS)
         items = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wanted_sets(self.k, wanted), "least_id long, one long, two long, items binary")
         rows = items.join(roles, ["least_id", "one", "two"]).select("x", "part", "member", "rep", "items")
-        return rows.repartition("x", "part").sortWithinPartitions("x", "part", "member").mapInArrow(_linked(self.percent), "a long, b long").distinct()
+        # A part has about STAR_ROWS members, however many its centre has.
+        met = rows.repartition("x", "part").sortWithinPartitions("x", "part", "member").mapInArrow(_compared(self.percent, deeper), "a long, b long, sig long, n long, role int")
+        out = saved(met if deeper else met.select("a", "b").distinct(), "met")
+        wanted.unpersist()
+        discard(roles)
+        return out
 
 
 def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -324,10 +391,10 @@ def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """
     one = F.col("one")
     named = sets.select(one.bitwiseAND(F.lit(-2)).alias("name"), "rep", "n", "spare0", "spare1")
-    rows = shared.select("sig", one.bitwiseAND(F.lit(-2)).alias("name"), one.bitwiseAND(F.lit(1)).alias("role"), "many").join(named, "name")
+    rows = shared.select(F.col("sig").bitwiseAND(F.lit(_SIGNATURE)).alias("sig"), one.bitwiseAND(F.lit(-2)).alias("name"), one.bitwiseAND(F.lit(1)).alias("role"), "many").join(named, "name")
     place = F.row_number().over(Window.partitionBy("name", "role").orderBy(F.desc("many"), "sig"))
     spare = F.when(F.col("role") == 0, F.col("spare0")).otherwise(F.col("spare1"))
-    return saved(rows.withColumn("place", place).where(F.col("place") > spare).select("sig", "rep", "n"), "groups")
+    return saved(rows.withColumn("place", place).where(F.col("place") > spare).select("sig", "rep", "n", F.lit(3).alias("role")), "groups")
 
 
 def _by_component(groups: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -345,18 +412,36 @@ def _star(groups: DataFrame) -> DataFrame:
     return best.select("x", "rep")
 
 
-def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a group that are in different components, of sizes and parities that may be similar."""
-    several = groups.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("sig")
-    rows = groups.join(several, "sig", "left_semi").join(sets.select("rep", "parity"), "rep")
-    x, y = (rows.select("sig", F.col("rep").alias(r), F.col("component").alias(f"c_{r}"), F.col("n").alias(f"n_{r}"), F.col("parity").alias(f"p_{r}")) for r in "ab")
+def _split(by: DataFrame, level: int) -> DataFrame:
+    """(sig, large, centre) of the groups that hold several components; large where its pairs are many for its members."""
+    has = lambda bit: F.sum(F.col("role").bitwiseAND(F.lit(bit)) / bit)
+    kinds = by.groupBy("sig").agg(
+        F.min("component").alias("p"), F.max("component").alias("q"), has(1).alias("probes"), has(2).alias("others"), F.min(F.struct(F.xxhash64(F.lit(level), "rep").alias("h"), "rep")).alias("least")
+    )
+    large = (F.lit(level) < LEVELS) & (2 * F.col("probes") * F.col("others") > GROUP_ROWS * (F.col("probes") + F.col("others")))
+    return saved(kinds.where("p <> q and probes > 0 and others > 0").select("sig", large.alias("large"), F.col("least.rep").alias("centre")), "kinds")
+
+
+def _across(by: DataFrame, kinds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs within the groups that are not large, of different components, of sizes and parities that may be similar."""
+    rows = by.join(kinds.where("not large").select("sig"), "sig", "left_semi").join(sets.select("rep", "parity"), "rep")
+    x, y = (rows.select("sig", *(F.col(c).alias(f"{c}_{r}") for c in ("rep", "component", "n", "parity", "role"))) for r in "ab")
+    bit = lambda c, b: F.col(c).bitwiseAND(F.lit(b)) > 0
+    once = (F.col("rep_a") < F.col("rep_b")) | ((F.col("rep_a") > F.col("rep_b")) & ~(bit("role_b", 1) & bit("role_a", 2)))
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    apart = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
     near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & near).select(F.col("a").alias("x"), F.col("b").alias("rep")).distinct()
+    pairs = x.where(bit("role_a", 1)).join(y.where(bit("role_b", 2)), "sig").where(once & (F.col("component_a") != F.col("component_b")) & fits & near)
+    return pairs.select(F.least("rep_a", "rep_b").alias("x"), F.greatest("rep_a", "rep_b").alias("rep")).distinct()
+
+
+def _centred(by: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(centre x, rep) of the members of large groups."""
+    large = kinds.where("large").select("sig", F.col("centre").alias("x"))
+    return saved(by.select("sig", "rep").join(large, "sig").where("x <> rep").select("x", "rep").distinct(), "centred")
 
 
-def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 1) -> DataFrame:
+def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id long, text string, other columns ignored).
 
     A row's set: the distinct k-word shingles of its text, words being `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased;
@@ -370,26 +455,42 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     # A set is named by its least doc_id; where repeated ids would name two sets alike, the others get a hash.
     nth = F.row_number().over(Window.partitionBy("least_id").orderBy("one", "two"))
     sets = saved(sets.withColumn("rep", F.when(nth == 1, F.col("least_id")).otherwise(F.xxhash64("one", "two"))), "named")
-    signed_rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, percent), "sig long, one long")
+    named = docs.where("doc_id is not null")
+    hot = _hot(named, k, percent)
+    signed_rows = named.select("text").mapInArrow(_sign(k, percent, hot), "sig long, one long")
     shared = signed_rows.repartition("sig").sortWithinPartitions("sig", "one").mapInArrow(shared_rows, "sig long, one long, many long")
     groups = _rarer(shared, sets)
+    hot.unpersist()
     release(docs.sparkSession)
 
-    verify, links, found = _Verifier(docs, sets, k, percent), None, None
-    for step in range(star_rounds + 1):
+    verify = _Verifier(docs, sets, k, percent)
+    links = verify.links(_star(_by_component(groups, None)))
+    found = saved(components(links), "components")
+    for level in range(LEVELS + 1):
         by = _by_component(groups, found)
-        pairs = _star(by) if step < star_rounds else _across(by, sets, percent)
-        new = saved(verify.links(pairs), "links")
-        if found is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            release(docs.sparkSession)
+        kinds = _split(by, level)
+        new = verify.links(_across(by, kinds, sets, percent))
+        release(docs.sparkSession)
+        centred = _centred(by, kinds)
+        last = centred.isEmpty()
+        if not last:
+            near, finer = verify.finer(centred)
+            new = new.union(near)
+        if not last or not new.isEmpty():
+            links = links.union(new)
             found = saved(components(links), "components")
+        discard(kinds, centred)
+        if last:
+            break
+        discard(groups)
+        groups = finer
+        release(docs.sparkSession)
     linked = found.join(sets.select(F.col("rep").alias("node"), "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = (
+    out = (
         rows.join(sets.select("one", "two", "n", "rep", "least_id"), ["one", "two", "n"], "left")
         .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .join(least, "component", "left")
     )
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least_id", alone).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least_id", alone).alias("component_id"))

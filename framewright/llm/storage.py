@@ -32,6 +32,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote, once nothing is going to read them again; other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = shared_dir(spark).partition(":")[2].rstrip("/") + "/"
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.partition(":")[2].replace("//", "").startswith(own.replace("//", "")):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage, on which Spark deletes the shuffle files that nothing refers to any more."""
     gc.collect()

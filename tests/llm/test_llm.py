@@ -46,6 +46,30 @@ def test_components(docs):
     assert got == brute.components(texts())
 
 
+@pytest.mark.parametrize("levels", [2])
+def test_components_of_large_groups(spark, monkeypatch, levels):
+    """Documents around common passages, alike or not, through groups that are split by differences from centres."""
+    from framewright.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 1)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "SAMPLE_LEAST", 2)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 500)
+    rng = random.Random(8)
+    common, second = prose(rng, 150), prose(rng, 40)
+    rows = [common + " " + prose(rng, rng.choice((18, 20, 24, 28, 40))) for _ in range(40)]
+    rows += [f"{common} {second} {prose(rng, rng.choice((15, 25, 35)))}" for _ in range(25)]
+    chain = (common + " " + second).split()
+    for i in range(12):
+        chain = [*chain[6:], *prose(rng, 6).split()]
+        rows.append(" ".join(chain))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows) and 10 < len({c for _, c in got.values()}) < 70
+
+
 def test_shared_rows():
     import numpy as np
     import pyarrow as pa
