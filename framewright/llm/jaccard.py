@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import BLOOM_BITS, bloom, discard, in_bloom, release, saved, signed
+from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, release, saved, signed
 from .textarrays import U64, Words, mix, slices
 
 BUCKETS = 128
@@ -230,36 +230,30 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ITEM_BYTES = 6
 #: Members of a star that one row of its centre serves.
 STAR_ROWS = 100
+#: Rows of a comparison: its centre, a member, a member whose differences from the centre are wanted.
+CENTRE, PLAIN, DEEPER = 0, 1, 2
 #: Members of a group that are paired directly, so a row meets half as many others on average at most; larger groups are split by
 #: differences from a centre, on so many levels; what is larger still on the last one is paired all the same.
-GROUP_ROWS, LEVELS = 64, 4
-
-
-def _owner_key(doc_id: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return mix(one.astype(np.int64).view(np.uint64) ^ mix(doc_id.astype(np.int64).view(np.uint64)))
-
-
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([signed(_owner_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["slot"])
+GROUP_ROWS, LEVELS = 256, 4
 
 
 def _wanted_sets(k: int, wanted):
-    """The shingle hashes, shortened, of the rows whose id and fingerprint are wanted."""
+    """The shingle hashes, shortened, of the rows whose id is wanted; other texts are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # repeated rows within a task go once
         for batch in batches:
+            batch = batch.filter(pa.array(in_bloom(wanted.value, batch.column("slot").to_numpy())))
             ids, out, size = batch.column("doc_id").to_numpy(), [], 0
             for i, s in _sets(batch, k):
                 if not len(s):
                     continue
                 one, two = _fingerprint(s)
-                if (ids[i], one) not in seen and in_bloom(wanted.value, _owner_key(ids[i : i + 1], np.array([one]).view(np.int64)))[0]:
+                if (ids[i], one) not in seen:
                     seen.add((ids[i], one))
                     out.append((ids[i], one, two, s.view(np.uint8).reshape(-1, 8)[:, 8 - ITEM_BYTES :].tobytes()))
                     size += len(s)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield _pack(out)
                     out, size = [], 0
             if out:
@@ -281,10 +275,10 @@ def _unpack(items: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _compared(percent: int, deeper: bool):
-    """Of rows (x, part, member, rep, items) by x, part and member, centres first: (a, b) of the pairs similar enough.
+def _compared(percent: int):
+    """Of rows (x, part, member, rep, items) by x, part and member, centres first: (a, b) of the pairs similar enough, with role 0.
 
-    Deeper: also (sig, b, n, role) of each member's signatures relative to x. With d the difference from x and k the most
+    For members of kind DEEPER also (sig, b, n, role) of their signatures relative to x. With d the difference from x and k the most
     that similar sets differ in, the member whose d is smaller has one of its first k / 2 + 1 elements (role 3) among the first k + 1 of
     the other (role 2 or 3): their differences share (d + d' - k) / 2 elements, one at least as x is dissimilar to either.
     """
@@ -292,10 +286,10 @@ def _compared(percent: int, deeper: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = items = None
         for batch in batches:
-            a, b, sigs, size, role = [], [], [], [], []
+            out, size = [], 0
             rows = zip(batch.column("x").to_pylist(), batch.column("part").to_pylist(), batch.column("member").to_pylist(), batch.column("rep").to_pylist(), batch.column("items"))
             for x, part, member, rep, packed in rows:
-                if not member:
+                if member == CENTRE:
                     if centre != (x, part):
                         centre, items = (x, part), _unpack(packed.as_py())
                     continue
@@ -305,24 +299,29 @@ def _compared(percent: int, deeper: bool):
                 known = items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own
                 both = int(known.sum())
                 if 100 * both >= percent * (len(items) + len(own) - both):
-                    for column, value in ((a, x), (b, rep), (sigs, 0), (size, 0), (role, 0)):
-                        column.append(np.array([value]))
-                if deeper:
+                    out.append((x, rep, np.zeros(1, np.int64), 0, np.zeros(1, np.int32)))
+                if member == DEEPER:
                     lacks = items[own[np.minimum(np.searchsorted(own, items), len(own) - 1)] != items]
-                    most = (100 - percent) * len(own) // percent
-                    first = np.concatenate((own[~known], lacks))[: most + 1]
-                    n = len(first)
-                    sigs.append((mix(first ^ mix(np.array([x], np.int64).view(np.uint64))) >> _CUT).view(np.int64))
-                    role.append(np.where(np.arange(n) <= (100 - percent) * len(own) // (2 * percent), 3, 2).astype(np.int32))
-                    a.append(np.full(n, x))
-                    b.append(np.full(n, rep))
-                    size.append(np.full(n, len(own)))
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(c).astype(t)) for c, t in ((a, np.int64), (b, np.int64), (sigs, np.int64), (size, np.int64), (role, np.int32))], ["a", "b", "sig", "n", "role"])
+                    first = np.concatenate((own[~known], lacks))[: (100 - percent) * len(own) // percent + 1]
+                    sigs = mix(first ^ mix(np.array([x], np.int64).view(np.uint64))) >> _CUT
+                    out.append((x, rep, sigs.view(np.int64), len(own), np.where(np.arange(len(first)) <= (100 - percent) * len(own) // (2 * percent), 3, 2).astype(np.int32)))
+                    size += len(first)
+                if size > 200_000:
+                    yield _met_rows(out)
+                    out, size = [], 0
+            if out:
+                yield _met_rows(out)
 
     return run
 
 
+def _met_rows(out: list) -> pa.RecordBatch:
+    x, rep, sigs, n, roles = zip(*out)
+    times = [len(s) for s in sigs]
+    spread = lambda v: pa.array(np.repeat(np.array(v, np.int64), times))
+    return pa.record_batch([spread(x), spread(rep), pa.array(np.concatenate(sigs)), spread(n), pa.array(np.concatenate(roles))], ["a", "b", "sig", "n", "role"])
+
+
 def _near_enough(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +348,8 @@ class _Verifier:
     def __init__(self, docs: DataFrame, sets: DataFrame, k: int, percent: int):
         self.docs, self.sets, self.k, self.percent = docs, sets, k, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def met(self, pairs: DataFrame, centred: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The links (a, b) among both kinds of pairs, and groups (sig, rep, n, role) by differences from the centres of the second."""
         side = lambda c: self.sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         near = (
             pairs.join(side("x"), "x")
@@ -358,30 +358,25 @@ class _Verifier:
             .select("x", "rep", "n_x", "n_rep", "sketch_x", "sketch_rep")
             .mapInArrow(_near_enough(self.percent), "x long, rep long")
         )
+        if centred is not None:
+            near = near.select("x", "rep", F.lit(PLAIN).alias("member")).union(centred.select("x", "rep", F.lit(DEEPER)))
+        else:
+            near = near.withColumn("member", F.lit(PLAIN))
         near = saved(near, "near")
-        found = self._met(near, False)
-        discard(near)
-        return found
-
-    def finer(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of saved pairs (centre x, rep): the links among them, and groups (sig, rep, n, role) by differences from the centres."""
-        found = self._met(pairs, True)
-        return saved(found.where("role = 0").select("a", "b"), "links"), found.where("role > 0").select("sig", F.col("b").alias("rep"), "n", "role")
-
-    def _met(self, pairs: DataFrame, deeper: bool) -> DataFrame:
-        parts = pairs.groupBy("x").agg((F.floor(F.count("*") / STAR_ROWS) + 1).alias("parts"))
-        member = pairs.join(parts, "x").select("x", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.lit(1).alias("member"), "rep")
-        roles = member.union(member.select("x", "part", F.lit(0), F.col("x")).distinct())
+        parts = near.groupBy("x").agg((F.floor(F.count("*") / STAR_ROWS) + 1).alias("parts"))
+        member = near.join(parts, "x").select("x", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "member", "rep")
+        roles = member.union(member.select("x", "part", F.lit(CENTRE), F.col("x")).distinct())
         roles = saved(roles.join(self.sets.select("rep", "least_id", "one", "two"), "rep"), "roles")
-        wanted = bloom(roles.select("least_id", "one").distinct().mapInArrow(_owners, "slot long"), "slot", BLOOM_BITS)
-        items = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wanted_sets(self.k, wanted), "least_id long, one long, two long, items binary")
+        wanted = bloom(roles.select(F.xxhash64("least_id").alias("slot")).distinct(), "slot", BLOOM_BITS)
+        texts = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("slot"))
+        items = texts.mapInArrow(_wanted_sets(self.k, wanted), "least_id long, one long, two long, items binary")
         rows = items.join(roles, ["least_id", "one", "two"]).select("x", "part", "member", "rep", "items")
         # A part has about STAR_ROWS members, however many its centre has.
-        met = rows.repartition("x", "part").sortWithinPartitions("x", "part", "member").mapInArrow(_compared(self.percent, deeper), "a long, b long, sig long, n long, role int")
-        out = saved(met if deeper else met.select("a", "b").distinct(), "met")
+        rows = rows.repartition("x", "part").sortWithinPartitions("x", "part", "member")
+        found = saved(rows.mapInArrow(_compared(self.percent), "a long, b long, sig long, n long, role int"), "met")
         wanted.unpersist()
-        discard(roles)
-        return out
+        discard(near, roles)
+        return found.where("role = 0").select("a", "b"), found.where("role > 0").select("sig", F.col("b").alias("rep"), "n", "role")
 
 
 def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -438,7 +433,7 @@ def _across(by: DataFrame, kinds: DataFrame, sets: DataFrame, percent: int) -> D
 def _centred(by: DataFrame, kinds: DataFrame) -> DataFrame:
     """(centre x, rep) of the members of large groups."""
     large = kinds.where("large").select("sig", F.col("centre").alias("x"))
-    return saved(by.select("sig", "rep").join(large, "sig").where("x <> rep").select("x", "rep").distinct(), "centred")
+    return by.select("sig", "rep").join(large, "sig").where("x <> rep").select("x", "rep").distinct()
 
 
 def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -450,6 +445,7 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Repeated rows stay, one result row each. A row without doc_id names no component: it gets that of its set
     if a row with doc_id has the same set, else null, and gives no links. An empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     rows = saved(describe(docs, k, percent), "sets")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("least_id"), *(F.first(c).alias(c) for c in ("sketch", "parity", "spare0", "spare1")))
     # A set is named by its least doc_id; where repeated ids would name two sets alike, the others get a hash.
@@ -464,27 +460,21 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     release(docs.sparkSession)
 
     verify = _Verifier(docs, sets, k, percent)
-    links = verify.links(_star(_by_component(groups, None)))
+    links, _ = verify.met(_star(_by_component(groups, None)))
     found = saved(components(links), "components")
     for level in range(LEVELS + 1):
         by = _by_component(groups, found)
         kinds = _split(by, level)
-        new = verify.links(_across(by, kinds, sets, percent))
-        release(docs.sparkSession)
-        centred = _centred(by, kinds)
-        last = centred.isEmpty()
-        if not last:
-            near, finer = verify.finer(centred)
-            new = new.union(near)
+        last = kinds.where("large").isEmpty()
+        new, finer = verify.met(_across(by, kinds, sets, percent), None if last else _centred(by, kinds))
         if not last or not new.isEmpty():
             links = links.union(new)
             found = saved(components(links), "components")
-        discard(kinds, centred)
+        discard(kinds)
+        release(docs.sparkSession)
         if last:
             break
-        discard(groups)
         groups = finer
-        release(docs.sparkSession)
     linked = found.join(sets.select(F.col("rep").alias("node"), "least_id"), "node")
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     out = (

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; Spark's own limit is in rows, however long their texts.
+BATCH_BYTES = "4m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Has the session cut Arrow batches at BATCH_BYTES, where it sets no limit of its own: this bounds the memory of JVM and workers."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once nothing is going to read them again; other tables are left alone."""
     for df in tables:
