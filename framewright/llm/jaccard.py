@@ -8,8 +8,8 @@ differ in at most k parts and agree on all others, so they share the signature o
 at least. A set of which so few parts hold anything that the agreement may lie in empty
 parts alone has one signature more, so no pair is lost.
 
-Similar sets agree on more parts than one, so each set leaves out its most frequent
-signatures, less than half of what they must agree on: a passage that very many documents
+Similar sets agree on more parts than one, so each set keeps only its rarest
+signatures, one more than the parts in which they may differ: a passage that very many documents
 share then seldom makes them candidates. Sets that share a signature are candidates, in steps: each set against the
 least set of its groups, then the pairs of different components within a group. Candidates pass a lower bound on the difference
 (of bucket counts) and are then verified by exact intersection, so the links are
@@ -25,6 +25,7 @@ are the signatures of finer groups, exactly. So it goes on, level by level.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +96,11 @@ def _parts(s: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def spares(s: np.ndarray, bands: Bands) -> list[int]:
-    """For both instances, how many signatures of its own a set may leave out.
+    """For both instances, how many signatures of its own a set may leave out: all but its k + 1 rarest.
 
-    Similar sets agree on as many filled parts as either has beyond k, so each may leave out less than half of that.
+    Similar sets with f and g filled parts agree on max(f, g) - k at least, so in any order common to all sets their k + 1 rarest share one.
     """
-    found = [max(0, (len(first) - k - 1) // 2) for _, k, _, first in _parts(s, bands)]
+    found = [max(0, len(first) - k - 1) for _, k, _, first in _parts(s, bands)]
     return [*found, 0][:2]
 
 
@@ -192,38 +193,41 @@ def _hot(docs: DataFrame, k: int, percent: int):
     return docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.sig for r in rows], np.uint64)))
 
 
-def _counted(sig: np.ndarray, one: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(sig), pa.array(one), pa.array(many)], ["sig", "one", "many"])
+#: Counts stop here, which bounds what is held of one signature; more frequent ones rank alike.
+MANY = 20_000
+
+
+def _counted(sig: np.ndarray, one: np.ndarray, gone: int) -> pa.RecordBatch:
+    """Rows of whole signatures that have two values or a lot; `gone` values of the first one went before."""
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    length = np.diff(np.append(first, len(sig)))
+    count = length.copy()
+    count[0] += gone
+    many = np.where(sig >> 48 > 0, MANY, np.minimum(np.repeat(count, length), MANY))
+    pick = np.flatnonzero(many > 1)
+    return pa.record_batch([pa.array(sig[pick]), pa.array(one[pick]), pa.array(many[pick])], ["sig", "one", "many"])
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, one) sorted by both: one row per sig and value, for each sig with two values at least or with a lot.
+    """Of rows (sig, one) sorted by both: (sig, one, many), a row per sig and value, for each sig with two values at least or with a lot.
 
-    `many` counts the sig's values up to the end of the batch, so it is a lower bound where a sig fills several batches.
-    Memory is that of one batch, however many rows a sig has.
+    many is the number of the sig's values, MANY at most, and MANY where the sig has a lot. Of a sig up to MANY rows and a batch are held.
     """
-    held = None  # the last row: sig, value, how many other values of this sig came before
-    for batch in batches:
-        sig, one = (batch.column(i).to_numpy() for i in (0, 1))
+    sig, one, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            sig, one = (np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate((sig, one)))
         if not len(sig):
             continue
-        if held:
-            sig, one = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], one))
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1])))
         sig, one = sig[new], one[new]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(first, len(sig)))
-        count = length.copy()
-        count[0] += held[2] if held else 0
-        many = np.repeat(count, length)
-        held = (sig[-1], one[-1], int(many[-1]) - 1)
-        many = np.where(sig >> 48 > 0, many * HOT_LOTS, many)
-        keep = many > 1
-        keep[-1] = False
-        if keep.any():
-            yield _counted(sig[keep], one[keep], many[keep])
-    if held and (held[2] or held[0] >> 48 > 0):
-        yield _counted(np.array([held[0]]), np.array([held[1]]), np.array([held[2] + 1]))
+        last = int(np.searchsorted(sig, sig[-1]))  # where the signature begins that may go on in the next batch
+        held = gone if last == 0 else 0
+        done = len(sig) if batch is None else len(sig) - 1 if len(sig) - last + held > MANY else last
+        if done:
+            yield _counted(sig[:done], one[:done], gone)
+        gone = held + max(0, done - last)
+        sig, one = sig[done:], one[done:]
 
 
 #: Bytes of a shingle hash that are compared: a pair of sets of 1000 is miscounted with a chance below 1e-8.
@@ -234,7 +238,7 @@ STAR_ROWS = 100
 CENTRE, PLAIN, DEEPER = 0, 1, 2
 #: Members of a group that are paired directly, so a row meets half as many others on average at most; larger groups are split by
 #: differences from a centre, on so many levels; what is larger still on the last one is paired all the same.
-GROUP_ROWS, LEVELS = 256, 4
+GROUP_ROWS, LEVELS = 4096, 4
 
 
 def _wanted_sets(k: int, wanted):
@@ -382,7 +386,8 @@ class _Verifier:
 def _rarer(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """(sig, rep, n) of shared signatures, less each set's most frequent ones as far as it can spare them.
 
-    Which ones a set leaves out is free, so the counts need not be exact. The join and the window are both by name: one shuffle.
+    The order by `many`, then sig, is the same for all sets; those that no other set has come last in it. The join and the window are
+    both by name: one shuffle.
     """
     one = F.col("one")
     named = sets.select(one.bitwiseAND(F.lit(-2)).alias("name"), "rep", "n", "spare0", "spare1")

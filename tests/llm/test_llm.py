@@ -70,20 +70,20 @@ def test_components_of_large_groups(spark, monkeypatch, levels):
     assert got == brute.components(rows) and 10 < len({c for _, c in got.values()}) < 70
 
 
-def test_shared_rows():
+def test_shared_rows(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    from framewright.llm.jaccard import shared_rows
+    from framewright.llm import jaccard
 
-    rng = random.Random(3)
+    monkeypatch.setattr(jaccard, "MANY", 4)
+    rng, lot = random.Random(3), 5 << 48
     for size in (1, 2, 7, 100):
-        rows = sorted((rng.randrange(12), rng.randrange(5)) for _ in range(60)) + [(99, 1), (99, 1), (100, 2)]
+        rows = sorted((rng.randrange(12), rng.randrange(9)) for _ in range(60)) + [(99, 1), (99, 1), (100, 2), (lot, 7), (lot + 1, 7)]
         batches = [pa.record_batch([pa.array(np.array([r[i] for r in rows[a : a + size]], np.int64)) for i in (0, 1)], ["sig", "one"]) for a in range(0, len(rows), size)]
-        got = [tuple(r.values()) for b in shared_rows(batches) for r in b.to_pylist()]
-        count = {s: len({o for t, o in rows if t == s}) for s, _ in rows}
-        assert [g[:2] for g in got] == sorted({r for r in rows if count[r[0]] > 1})
-        assert all(2 <= many <= count[s] for s, _, many in got) and (size < 100 or all(many == count[s] for s, _, many in got))
+        got = [tuple(r.values()) for b in jaccard.shared_rows(batches) for r in b.to_pylist()]
+        count = {s: 4 if s >= lot else min(4, len({o for t, o in rows if t == s})) for s, _ in rows}
+        assert got == sorted({(s, o, count[s]) for s, o in rows if count[s] > 1})
 
 
 def test_without(spark):
