@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import bounded, saved, unused
 from .textarrays import U64, Words, mix, slices
 
 WINDOW, SHINGLE = 10, 5
@@ -102,8 +102,12 @@ def _frequencies(members, lengths: list[int]):
     return run
 
 
-def _scan(blocks):
-    """Adds to each row's state (_n words, _hits word places, _items) what the block's windows hit."""
+#: Columns that scan adds.
+NAMES = ("_n", "_hits", "_items")
+
+
+def _scan(blocks, own: tuple[str, ...]):
+    """Adds to each row's state (words, places of hit words, items; named as in own) what the block's windows hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = blocks.value
@@ -116,7 +120,7 @@ def _scan(blocks):
                 n_words[a:b] = words.count()
                 row_of = np.repeat(np.arange(b - a), words.count())
                 runs = {n: _run_hash(words, n) for n in block["sizes"]}
-                rows_hit: dict[int, tuple[list, set]] = {}
+                found = []  # row, first word, size and window of each occurrence
                 for k in sorted(set(block["sizes"].values())):
                     h = runs.get(k)
                     h = _run_hash(words, k) if h is None else h
@@ -131,25 +135,27 @@ def _scan(blocks):
                         for size in np.unique(n[fits]).tolist():
                             pick = np.flatnonzero(fits & (n == size))
                             pick = pick[runs[size][start[pick]] == block["whole"][w[pick]]]
-                            for s, r, x in zip(start[pick].tolist(), row[pick].tolist(), w[pick].tolist()):
-                                places, found = rows_hit.setdefault(r, ([], set()))
-                                first = s - int(words.row_at[r])
-                                places.append((first, first + size))
-                                if block["item"][x] is not None:
-                                    found.add(block["item"][x])
+                            found.append((row[pick], start[pick], np.full(len(pick), size), block["code"][w[pick]]))
                         where[todo] += 1
                         todo = todo[where[todo] < ends[w]]
+                row, start, size, code = (np.concatenate(c) for c in zip(*found)) if found else np.zeros((4, 0), np.int64)
+                step = np.zeros(len(words.start) + 1, np.int64)
+                np.add.at(step, start, 1)
+                np.add.at(step, start + size, -1)
+                word = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+                first = np.searchsorted(word, words.row_at)
+                pairs = np.unique(np.stack((row, code), 1)[code >= 0], axis=0)
+                cut = np.searchsorted(pairs[:, 0], np.arange(b - a + 1))
                 for r in range(b - a):
-                    places, found = rows_hit.get(r, ((), ()))
-                    hits.append(sorted({p for x, y in places for p in range(x, y)}))
-                    items.append(sorted(found))
-            if "_hits" in batch.schema.names:
-                hits = [sorted({*x, *(y or ())}) for x, y in zip(hits, batch.column("_hits").to_pylist())]
-                items = [sorted({*x, *(y or ())}) for x, y in zip(items, batch.column("_items").to_pylist())]
-            names = [c for c in batch.schema.names if c not in ("_n", "_hits", "_items")]
+                    hits.append((word[first[r] : first[r + 1]] - words.row_at[r]).tolist())
+                    items.append([block["names"][c] for c in pairs[cut[r] : cut[r + 1], 1]])
+            if own[1] in batch.schema.names:
+                hits = [sorted({*x, *(y or ())}) for x, y in zip(hits, batch.column(own[1]).to_pylist())]
+                items = [sorted({*x, *(y or ())}) for x, y in zip(items, batch.column(own[2]).to_pylist())]
+            names = [c for c in batch.schema.names if c not in own]
             yield pa.record_batch(
                 [*(batch.column(c) for c in names), pa.array(n_words), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=[*names, "_n", "_hits", "_items"],
+                names=[*names, *own],
             )
 
     return run
@@ -159,14 +165,16 @@ def _arrow_rows(df: DataFrame) -> pa.Table:
     return df.toArrow()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, names: tuple[str, ...] = NAMES) -> DataFrame:
     """docs with _n (words), _hits (places of words inside any occurrence of a window) and _items (ids of items that occur).
 
     benchmark: item_id, text. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased. An item with fewer words
     than `window`, but not none, is one window; items without words, and null texts, have none. A null item_id takes part
-    in hits but is not listed. Repeated items and rows count like one another. An empty benchmark hits nothing.
+    in hits but is not listed. Repeated items and rows count like one another. An empty benchmark hits nothing. Null text has
+    no words. Columns of docs named like the added ones (`names`) are replaced.
     """
-    docs = docs.drop("_n", "_hits", "_items")
+    bounded(docs.sparkSession)
+    docs = docs.drop(*names)
     parts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_windows(window, shingle), "item string, n int, place int, shingle long, whole long")
     parts = saved(parts.distinct(), "item-windows")
     context = docs.sparkSession.sparkContext
@@ -185,7 +193,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
         got = docs.select("text").mapInArrow(_frequencies(context.broadcast(values), ks), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("seen"))
         counted = got if counted is None else counted.union(got)
     if counted is None:
-        return docs.mapInArrow(_scan(context.broadcast(_block([]))), _schema(docs))
+        return docs.mapInArrow(_scan(context.broadcast(_block([], shingle)), names), _schema(docs, names))
     ranked = parts.join(saved(counted, "shingle-counts"), "shingle")  # a shingle that the corpus lacks rules its windows out
     needed = parts.groupBy("item", "n", "whole").agg(F.count_distinct("shingle").alias("all"))
     prefixes = ranked.groupBy("item", "n", "whole").agg(F.min(F.struct("seen", "shingle", "place")).alias("p"), F.count_distinct("shingle").alias("there"))
@@ -195,26 +203,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     blocks = max(1, -(-prefixes.count() // block_windows))
     for b in range(blocks):
         rows = _arrow_rows(prefixes.where(F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == b)).to_pylist()
-        out = out.mapInArrow(_scan(context.broadcast(_block(rows))), _schema(docs))
+        out = out.mapInArrow(_scan(context.broadcast(_block(rows, shingle)), names), _schema(docs, names))
     return out
 
 
-def _schema(docs: DataFrame) -> str:
+def _schema(docs: DataFrame, names: tuple[str, ...]) -> str:
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return own + "_n long, _hits array<int>, _items array<string>"
+    return own + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "array<int>", "array<string>")))
 
 
-def _block(rows: list[dict]) -> dict:
+def _block(rows: list[dict], shingle: int) -> dict:
     rows = sorted(rows, key=lambda r: (r["prefix"] & (2**64 - 1), r["n"], r["whole"], r["item"] or ""))
     column = lambda c, t: np.array([r[c] for r in rows], t)
     n = column("n", np.int64)
+    items = sorted({r["item"] for r in rows if r["item"] is not None})
+    codes = {x: i for i, x in enumerate(items)}
     return {
         "prefix": column("prefix", np.int64).view(np.uint64) if rows else np.array([0], np.uint64)[:0].copy(),
         "whole": column("whole", np.int64).view(np.uint64),
         "place": column("place", np.int64),
         "n": n,
-        "item": [r["item"] for r in rows],
-        "sizes": _sizes_of(n, SHINGLE),
+        "names": items,
+        "code": np.array([codes.get(r["item"], -1) for r in rows], np.int64),
+        "sizes": _sizes_of(n, shingle),
     }
 
 
@@ -228,7 +239,11 @@ def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs; columns as before."""
-    return scan(docs, benchmark).where(F.size("_hits") == 0).select(*docs.columns)
+    """The rows of docs in which no window of the benchmark occurs; columns as before, whatever their names.
+
+    Null and wordless texts stay; repeated rows go or stay together; an empty table or benchmark drops nothing.
+    """
+    names = tuple(unused(docs, "n", "hits", "items"))
+    return scan(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*docs.columns)
 
 

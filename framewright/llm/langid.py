@@ -17,8 +17,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded, unused
+
 #: Training documents sampled for each language, and characters taken from each: the bound of what is fitted.
 SAMPLE_DOCS, PIECE_CHARS = 240, 800
+#: Languages learned at most, those with most training documents: bounds the dictionaries that every task holds.
+MAX_LANGS = 256
 CHUNK_BYTES = 4096
 LEVEL = 3
 #: Texts whose margin is below this are rejected; measured on training data, see README.
@@ -43,14 +47,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(training: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIECE_CHARS) -> Model:
-    """training (doc_id, text, lang) -> dictionary content and count of training documents per language.
+    """training (doc_id, text, lang) -> dictionary content and count of training documents per language, of the MAX_LANGS most frequent.
 
     About twice `sample_docs` documents of each language, by a hash of the id, reach the driver with one piece each, cut
     at a hashed place; the first `sample_docs` different pieces in hash order make the dictionary. Rows with null text
     or lang are ignored; no rows give no languages.
     """
     rows = training.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.lit(17), "doc_id", F.length("text")).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return Model({}, {})
     keep = F.lit(False)
@@ -77,10 +81,11 @@ def _predict(model, chunk_bytes: int, keep_text: bool):
         for batch in batches:
             out, score = [], np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text")):
-                data = _letters(text.as_py() or "").strip().encode()
-                if not data or not langs:
+                data = _letters(text.as_py() or "").strip()
+                if not langs or not any(map(str.isalpha, data)):  # signs such as a half or a superscript two are no letters
                     out.append(UNKNOWN)
                     continue
+                data = data.encode()
                 chunks = [data[a : a + chunk_bytes] for a in range(0, len(data), chunk_bytes)]
                 sizes = [sum(len(c(x)) for x in chunks) for c in coders]
                 best = min(range(len(langs)), key=lambda k: sizes[k])
@@ -100,6 +105,7 @@ def identify(docs: DataFrame, model: Model, chunk_bytes: int = CHUNK_BYTES, keep
     with most training documents, then to the first in code point order, score 0.
     With one learned language the score is 1, with none everything is "und". Columns lang_pred and score are replaced.
     """
+    bounded(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     spread = docs.sparkSession.sparkContext.broadcast(model)  # languages * sample_docs * piece_chars at most
     kept = docs if keep_text else docs.drop("text")
@@ -115,7 +121,14 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs whose language is told with a margin; columns as before."""
+    """The rows of docs whose language is told with a margin; columns as before, also those named lang_pred or score.
+
+    Texts that are null or have no letter go, and so do very short ones whose two best languages tie. Repeated rows are judged
+    alike; an empty table stays empty; without labelled rows everything goes.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin)).select(*docs.columns)
+    names, clash = docs.columns, [c for c in docs.columns if c in ("lang_pred", "score")]
+    other = unused(docs, *clash)
+    renamed = docs.withColumnsRenamed(dict(zip(clash, other)))
+    found = identify(renamed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin))
+    return found.select(*renamed.columns).withColumnsRenamed(dict(zip(other, clash))).select(*names)

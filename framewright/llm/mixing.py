@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import saved, unused
 
 #: Weights of the sources in code point order, repeating; fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -163,12 +163,13 @@ def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, weights=W
     """
     docs = docs.drop("shard", "shard_order")
     planned = saved(plan(docs, weights, passes), "planned")
-    placed = draw(planned, shards, blocks_per_shard, seed).select(
-        F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("nth").alias("k_nth"), "shard", "shard_order",
-    )
-    sized = docs.withColumn("k_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("k_words") == F.col("k_size"))
+    keys = ["doc_id", "source", "size", "nth"]
+    *theirs, words, row = unused(docs, *(f"k_{c}" for c in keys), "words", "row")
+    placed = draw(planned, shards, blocks_per_shard, seed).select(*(F.col(c).alias(k) for c, k in zip(keys, theirs)), "shard", "shard_order")
+    k_doc, k_source, k_size, k_nth = map(F.col, theirs)
+    sized = docs.withColumn(words, word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(k_doc) & F.col("source").eqNullSafe(k_source) & (F.col(words) == k_size)
     if not planned.where("nth > 1 and size > 0").isEmpty():  # else texts need no order
-        sized = sized.withColumn("k_row", F.row_number().over(Window.partitionBy("doc_id", "source", "k_words").orderBy("text")))
-        same &= F.col("k_row") == F.col("k_nth")
+        sized = sized.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")))
+        same &= F.col(row) == k_nth
     return sized.join(placed, same).select(*docs.columns, "shard", "shard_order")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BLOOM_BITS, bloom, in_bloom, release, saved, signed
+from .storage import BLOOM_BITS, bloom, bounded, in_bloom, release, saved, signed, unused
 from .textarrays import U64, Words, mix, slices
 
 #: Sentences in a run, and the words a run must have: shorter ones are stock phrases, not passages.
@@ -23,7 +23,7 @@ RUN, MIN_WORDS = 3, 12
 #: Every WINDOW consecutive words hold the end of a piece, so a passage of 51 words holds whole pieces of 52 - 2 * WINDOW words.
 WINDOW, MIN_PIECES = 14, 24
 _SENTENCE_SALT = U64(0x9AE16A3B2F90404F)
-_STEP = 0xD6E8FEB86659FD93 | 1
+_STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _CLOSERS = ")]}\"'’”“‘»«›‹）」』】》"
 _STOPS = ".!?。！？｡…‼⁇⁈⁉।॥؟۔։"
 #: By length in bytes, the characters of either kind as big-endian numbers.
@@ -131,14 +131,15 @@ class Sentences:
         both = np.unique(a.astype(np.uint64) << U64(32) | b.astype(np.uint64))
         return (both >> U64(32)).astype(np.int64), (both & U64(0xFFFFFFFF)).astype(np.int64)
 
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the words a..b-1."""
-        h = mix(self.words.hash + _SENTENCE_SALT)
+    def hashes(self, a: np.ndarray, b: np.ndarray, second: bool = False) -> np.ndarray:
+        """Hashes of the words a..b-1, by either of two bases."""
+        base = _STEPS[second]
+        h = mix(self.words.hash + _SENTENCE_SALT * U64(1 + second))
         n = len(h)
-        steps = np.full(n + 1, U64(_STEP))
+        steps = np.full(n + 1, U64(base))
         steps[0] = 1
         up = np.multiply.accumulate(steps)
-        steps[1:] = U64(pow(_STEP, -1, 1 << 64))
+        steps[1:] = U64(pow(base, -1, 1 << 64))
         down = np.multiply.accumulate(steps)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(h * up[:n], out=total[1:])
@@ -155,21 +156,22 @@ def _hashes(find):
     return run
 
 
-def _places(find, wanted):
+def _places(find, wanted, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("row_key").to_numpy()
+            ids, keys = batch.column("doc_id"), batch.column(key).to_numpy()
             for a, _, data, offsets in slices(batch.column("text")):
                 s = Sentences(data, offsets)
                 at, to = find(s)
                 h = s.hashes(at, to)
                 pick = in_bloom(wanted.value, h)
                 at, to, h = at[pick], to[pick], h[pick]
+                check = s.hashes(at, to, second=True)
                 row = np.searchsorted(s.words.row_at, at, "right") - 1
                 base = s.words.row_at[row]
                 yield pa.record_batch(
-                    [signed(h), ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array((at - base).astype(np.int32)), pa.array((to - base).astype(np.int32))],
-                    names=["run", "doc_id", "row_key", "place", "until"],
+                    [signed(h), signed(check), ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array((at - base).astype(np.int32)), pa.array((to - base).astype(np.int32))],
+                    names=["run", "check", "doc_id", "row_key", "place", "until"],
                 )
 
     return run
@@ -177,7 +179,7 @@ def _places(find, wanted):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, places = batch.column("text"), batch.column("_places")
+        texts, places = batch.column("text"), batch.column(batch.num_columns - 1)
         n_sentences, n_removed, n_words = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         kept = []
         for a, b, data, offsets in slices(texts):
@@ -201,7 +203,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 turns = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True]))))
                 head = raw[offsets[i] : edges[0]]
                 kept.append((head + b"".join(raw[edges[x] : edges[y]] for x, y in zip(turns[::2], turns[1::2]))).decode())
-        names = [c for c in batch.schema.names if c not in ("text", "_places", "row_key")]
+        names = [c for c in batch.schema.names[:-1] if c != "text"]
         yield pa.record_batch(
             [*(batch.column(c) for c in names), pa.array(kept, pa.string()), pa.array(n_sentences), pa.array(n_removed), pa.array(n_words)],
             names=[*names, "text", "n_sentences", "n_removed", "n_words_removed"],
@@ -209,22 +211,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without_repeats(docs: DataFrame, find) -> DataFrame:
-    docs = docs.drop("_places", "row_key", "n_sentences", "n_removed", "n_words_removed")
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    bounded(docs.sparkSession)
+    docs = docs.drop("n_sentences", "n_removed", "n_words_removed")
+    key, gone_places = unused(docs, "row_key", "places")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     runs = docs.select("text").mapInArrow(_hashes(find), "run long")
     repeated = saved(runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "runs")
     release(docs.sparkSession)
     wanted = bloom(repeated, "run", BLOOM_BITS)
-    places = keyed.select("doc_id", "text", "row_key").mapInArrow(_places(find, wanted), "run long, doc_id long, row_key long, place int, until int")
+    places = keyed.select("doc_id", "text", key).mapInArrow(_places(find, wanted, key), "run long, check long, doc_id long, row_key long, place int, until int")
     places = saved(places.join(repeated, "run"), "places")
     release(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
-    first = places.groupBy("run").agg(F.min(order).alias("first"))
-    again = places.join(first, "run").where(order > F.col("first"))
-    gone = again.groupBy("row_key").agg(F.collect_set(F.struct("place", "until")).alias("_places"))
+    wanted.unpersist()
+    # From here on a span is known by 128 bits: those that only agree in `run` are first occurrences of their own.
+    first = places.groupBy("run", "check").agg(F.min(order).alias("first"))
+    again = places.join(first, ["run", "check"]).where(order > F.col("first"))
+    gone = again.groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("place", "until")).alias(gone_places))
     names = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    cut = keyed.join(gone, "row_key", "left").mapInArrow(_cut, schema + "text string, n_sentences long, n_removed long, n_words_removed long")
+    cut = keyed.join(gone, key, "left").select(*docs.columns, gone_places).mapInArrow(_cut, schema + "text string, n_sentences long, n_removed long, n_words_removed long")
     return cut.select(*docs.columns, "n_sentences", "n_removed", "n_words_removed")
 
 
@@ -235,7 +241,7 @@ def dedup(docs: DataFrame, k: int = RUN, min_words: int = MIN_WORDS) -> DataFram
     space does not count. Sentences covered by any run that occurred before, by (doc_id, place), nulls last, are removed.
     Runs do not cross documents; a run repeated within its document counts. Null stays null; texts without words and those
     of fewer than k sentences stay. Rows alike in doc_id and text are treated alike: each stands for the same occurrence.
-    Columns of docs named as the results or starting as ours (_places, row_key) are replaced.
+    Columns of docs named as the results are replaced; others stay.
     """
     return _without_repeats(docs, lambda s: s.runs(k, min_words))
 

@@ -43,6 +43,14 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns that no column of df has, whatever its case."""
+    taken, own = {c.lower() for c in df.columns}, "_"
+    while any((own + n).lower() in taken for n in names):
+        own += "_"
+    return [own + n for n in names]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once nothing is going to read them again; other tables are left alone."""
     for df in tables:
@@ -107,11 +115,12 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(in_bloom(bitmap.value, h.to_numpy()))
 
-    marked = df.withColumn("_maybe", maybe(hashed))
+    mark, other = unused(df, "maybe", "gone")
+    marked = df.withColumn(mark, maybe(hashed))
     own = [F.col(c) for c in df.columns]
-    ids = gone.select(F.col(name).alias("_gone"))
-    unsure = marked.where("_maybe").join(ids, F.col(column) == F.col("_gone"), "left_anti")
-    return marked.where("not _maybe").select(*own).union(unsure.select(*own))
+    ids = gone.select(F.col(name).alias(other))
+    unsure = marked.where(F.col(mark)).join(ids, F.col(column) == F.col(other), "left_anti")
+    return marked.where(~F.col(mark)).select(*own).union(unsure.select(*own))
 
 
 def signed(h: np.ndarray) -> pa.Array:

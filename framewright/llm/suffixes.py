@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import release, saved, signed
+from .storage import bounded, release, saved, signed
 from .textarrays import U64, mix, powers, prefix_hash, range_hash, slices
 
 WINDOW, GRAM, DIGITS, BLOCK = 400, 64, 2, 16
@@ -165,6 +165,7 @@ def _removal(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK) -> DataFrame:
     """(k1, k2, spans array of (a, b)): for each text, named by two hashes, the starts a..b of its repeated windows."""
     spark = docs.sparkSession
+    bounded(spark)
     named = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text").where("text is not null")
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("bytes"))
     copied = copies.where(f"n > 1 and bytes >= {window}").select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
@@ -173,8 +174,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digi
     # By anchor, then by stretch: a stretch occurs again if it does so at another place, or in another text.
     several = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     place = F.xxhash64("k1", "k2", "a")
-    kinds = anchors.join(several, "anchor").groupBy("anchor", "whole").agg((F.min(place) != F.max(place)).alias("again"), *(F.first(c).alias(c) for c in ("mixed", "k1", "k2", "a", "b", "s")))
-    kinds = saved(kinds.where("again or mixed"), "stretches")
+    # Grouped by a struct, which the join's partitioning does not serve: so the join of a very frequent anchor can be split.
+    groups = anchors.join(several, "anchor").groupBy(F.struct("anchor", "whole").alias("key"))
+    kinds = groups.agg((F.min(place) != F.max(place)).alias("again"), *(F.first(c).alias(c) for c in ("mixed", "k1", "k2", "a", "b", "s")))
+    kinds = saved(kinds.where("again or mixed").select("key.anchor", "key.whole", "again", "mixed", "k1", "k2", "a", "b", "s"), "stretches")
     release(spark)
 
     def of_texts(rows: DataFrame, columns: list[str]) -> DataFrame:

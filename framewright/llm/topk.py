@@ -34,7 +34,7 @@ def _floored(scale: int):
             good = np.array([v.is_valid for v in vectors], bool) & np.array(ids.is_valid())
             bad = ~np.isfinite(values)  # nulls are NaN here
             counts = np.concatenate(([0], np.cumsum(bad)))
-            good &= counts[offsets[1:]] == counts[offsets[:-1]]
+            good &= (counts[offsets[1:]] == counts[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
             ints = np.floor(scale * np.where(bad, 0, values))
             if ints.size and np.abs(ints).max() >= 2.0**62:
                 raise OverflowError("a component's integer is beyond 62 bits")
@@ -156,7 +156,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, scale: int = SCALE)
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`, against all rows.
 
     vectors: vec_id, embedding (array of numbers); other columns are ignored. Components become floor(scale * x). Rows
-    with a null id, vector or component, or one that is not finite, take no part. Partners have the query's number of
+    with a null id, a null or empty vector, a null component, or one that is not finite, take no part. Partners have the query's number of
     dimensions and another vec_id; rows of one vec_id count once, the repeated ones being dropped if they are equal.
     Ties go to the smaller vec_id; fewer than k partners give fewer rows. Products beyond 64 bits raise an error.
     """
@@ -185,7 +185,7 @@ SQL = """
 with parts as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
   from embeddings
-  where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
+  where vec_id is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
     and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id,

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 #: (host, path, verdict): fixed rules; the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Suffixes of two labels that registered domains stand below; fixed values, others are the last label.
@@ -90,6 +92,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, share: float = SHARE
     outcomes = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("long").alias("good"))
     counted = rows.join(outcomes, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
     suffix, domain = suffix_and_domain(F.col("host"))
-    known = reputations(counted.select("host", suffix.alias("suffix"), domain.alias("domain"), "good", "n"))
+    counted = saved(counted.select("host", suffix.alias("suffix"), domain.alias("domain"), "good", "n"), "outcomes")
+    known = reputations(counted)
     verdict = F.coalesce("listed", F.when(F.col("bound") >= share * F.col("overall"), "allow").otherwise("block"))
     return rows.join(known, "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("bound", 6).alias("bound"))

@@ -11,6 +11,7 @@ the filters or the options leave out.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -66,7 +67,11 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Writes the archive of pages to a new folder, a file for each input partition or FILE_RECORDS records."""
+    """Writes the archive of pages to a new folder, a file for each input partition or FILE_RECORDS records.
+
+    Nulls, short payloads and repeats are as in records; repeated rows give repeated records, an empty table a folder without records.
+    Other columns of pages are ignored.
+    """
     made = records(pages, min_bytes).select("record")
     made.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -92,7 +97,7 @@ def _headers(stream) -> dict[str, str] | None:
     out = {}
     while (line := stream.readline().rstrip(b"\r\n")) :
         key, _, value = line.partition(b":")
-        out[key.strip().lower().decode()] = value.strip().decode()
+        out[key.strip().lower().decode(errors="replace")] = value.strip().decode(errors="replace")
     return out
 
 
@@ -157,7 +162,7 @@ class WarcReader(DataSourceReader):
         fs, inner = _open(partition.path)
         rows, held = [], 0
         with fs.open_input_file(inner) as handle:
-            stream = _Buffered(handle)
+            stream = _Buffered(gzip.GzipFile(fileobj=handle) if inner.endswith(".gz") else handle)  # GzipFile reads member after member
             while (head := _headers(stream)) is not None:
                 n = int(head.get("content-length", "0"))
                 row = self._described(head)
@@ -220,7 +225,10 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, digest: bool = False) -> DataFrame:
-    """The records of an archive folder or file: see SCHEMA. Filters on record type and headers are pushed down."""
+    """The records of an archive folder or file (.gz: gzip members): see SCHEMA. Filters on record type and headers are pushed down.
+
+    Headers and payloads that aren't UTF-8 are decoded with replacement characters. A folder without files gives no rows.
+    """
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).option("digest", str(digest).lower()).load(path)
