@@ -67,6 +67,12 @@ def binarise(mask: Column, threshold: float = 0.5) -> Column:
     return F.transform(mask, lambda v: F.when(v >= threshold, 255).otherwise(0))
 
 
+def crop(mask: Column, width: int, x: int, y: int, w: int, h: int) -> Column:
+    """The cells of a mask (rows of `width` cells, one array) that lie in a box."""
+    inside = lambda i: (i % width >= x) & (i % width < x + w) & (F.floor(i / width) >= y) & (F.floor(i / width) < y + h)
+    return F.filter(mask, lambda v, i: inside(i))
+
+
 def sigma_weight(sigma: Column) -> Column:
     """1 / sigma^2, where sigma is 1e-3 if it is not positive and finite."""
     usable = F.when((sigma > 0) & ~F.isnan(sigma) & (sigma < float("inf")), sigma).otherwise(1e-3)

@@ -13,10 +13,15 @@ def frame_rate(average: Column, real: Column, frames: Column, seconds: Column) -
 
 
 def time_ns(best: Column, pts: Column, num: Column, den: Column, index: Column, fps: Column) -> Column:
-    """Best-effort timestamp, else pts, in units of num / den seconds, else index / fps; as whole nanoseconds."""
+    """Best-effort timestamp, else pts, in units of num / den seconds, else index / fps; as whole nanoseconds.
+
+    Ticks are rounded to the nearest nanosecond, halves away from zero; index / fps is truncated.
+    """
     ticks = F.coalesce(best, pts)
-    exact = F.floor(ticks.cast("decimal(20,0)") * num * F.lit(1_000_000_000).cast("decimal(20,0)") / den).cast("long")
-    return F.coalesce(exact, F.floor(index / fps * 1e9).cast("long"))
+    twice = F.abs(ticks).cast("decimal(18,0)") * num.cast("decimal(9,0)") * F.lit(2_000_000_000).cast("decimal(10,0)") + den.cast("decimal(9,0)")
+    half = (twice - twice % (den * 2).cast("decimal(10,0)")) / (den * 2).cast("decimal(10,0)")
+    exact = (F.signum(ticks).cast("long") * half.cast("long")).cast("long")
+    return F.coalesce(exact, (index / fps * 1e9).cast("long"))
 
 
 def stem(path: Column) -> Column:
@@ -70,6 +75,11 @@ def realtime_factor(total_ms: Column, fps: Column) -> Column:
     return F.try_divide(F.lit(1000.0), total_ms * fps)
 
 
+def bandwidth_gbs(frame_bytes: Column, total_ms: Column) -> Column:
+    """Estimated memory traffic in GB a second: five passes over a frame in its time; 0 without a time."""
+    return F.when(total_ms > 1e-9, F.try_divide(frame_bytes * 5.0, total_ms / 1000.0) / 1e9).otherwise(0.0)
+
+
 def sample_offset(first_us: Column, start_us: Column, rate: int = 48_000) -> Column:
     """Samples of silence to put before (> 0) or to drop (< 0), truncated toward zero."""
     x = (first_us - start_us) * rate

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou
+from ..functions.geometry import copy_rectangle, iou
 
 CONFIDENCE, OVERLAP, TOP_K = 0.25, 0.45, 100
 
@@ -36,6 +36,13 @@ def suppress(dets: DataFrame, keys: list[str], overlap: float = OVERLAP, top_k:
     return kept.select(*keys, "b.det_id", "b.class_id", "b.score", *(f"b.{f}" for f in fields))
 
 
+def usable_rois(dets: DataFrame, width: int, height: int) -> DataFrame:
+    """The detections (box_x, box_y, box_w, box_h, has_mask) whose box meets the image and that have a mask, with the cut box (roi_x, ...)."""
+    cut = copy_rectangle(F.col("box_x"), F.col("box_y"), F.col("box_w"), F.col("box_h"), F.lit(width), F.lit(height))
+    rois = dets.withColumns({"roi_x": cut["left"], "roi_y": cut["top"], "roi_w": cut["w"], "roi_h": cut["h"]})
+    return rois.where(F.col("has_mask") & (F.col("roi_w") > 0) & (F.col("roi_h") > 0))
+
+
 def only_candidate(dets: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of the groups that have exactly one."""
     return dets.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
@@ -58,12 +65,11 @@ def spaced_corners(points: DataFrame, keys: list[str], quality: float = 0.001, s
 
 
 def match_within(left: DataFrame, right: DataFrame, keys: list[str], score_eps: float = 1e-6, box_eps: float = 1e-3) -> DataFrame:
-    """left with det_id of the first right row (by its det_id) of the same class, score and box up to the tolerances."""
-    fields = ("x1", "y1", "x2", "y2")
+    """left with det_id of the first right row (by its det_id) of the same class, and of score, corner and size up to the tolerances."""
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
     near = F.abs(F.col("l.score") - F.col("r.score")) < score_eps
-    for f in fields:
-        near = near & (F.abs(F.col(f"l.{f}") - F.col(f"r.{f}")) < box_eps)
+    for f in ("x1", "y1", "x2 - {0}.x1", "y2 - {0}.y1"):
+        near = near & (F.abs(F.expr(f"l.{f.format('l')}") - F.expr(f"r.{f.format('r')}")) < box_eps)
     for k in [*keys, "class_id"]:
         near = near & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     found = l.join(r, near).groupBy(*(F.col(f"l.{k}").alias(k) for k in keys), F.col("l.det_id").alias("det_id")).agg(F.min("r.det_id").alias("match_id"))

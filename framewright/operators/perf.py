@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.media import bandwidth_gbs
 
-def summary(timings: DataFrame, by: str = "provider", value: str = "total_ms") -> DataFrame:
-    """Per group n, avg, interpolated p50, p90 and p99, min, max."""
+
+def summary(timings: DataFrame, by: str = "provider", value: str = "total_ms", stages: tuple[str, ...] = ()) -> DataFrame:
+    """Per group n, the averages of the stages (avg_<stage>), and of the value avg, interpolated p50, p90 and p99, min, max."""
     x = F.col(value)
     return timings.groupBy(by).agg(
-        F.count("*").alias("n"), F.avg(x).alias("avg"), *(F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)), F.min(x).alias("min"), F.max(x).alias("max")
+        F.count("*").alias("n"), *(F.avg(s).alias(f"avg_{s}") for s in stages), F.avg(x).alias("avg"),
+        *(F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)), F.min(x).alias("min"), F.max(x).alias("max"),
     )
 
 
-def cumulative(timings: DataFrame, every: int = 30, by: str = "provider", order: str = "run_id", value: str = "total_ms") -> DataFrame:
-    """Per group, at every `every`-th run, n, avg, min and max of all runs so far."""
+def cumulative(timings: DataFrame, every: int = 30, by: str = "provider", order: str = "run_id", value: str = "total_ms", stages: tuple[str, ...] = ()) -> DataFrame:
+    """Per group, at every `every`-th run, of all runs so far: n, avg, min and max of the value, and the averages of the stages."""
     w = Window.partitionBy(by).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col(value).cast("decimal(18,6)")
-    rows = timings.select(by, order, F.row_number().over(w).alias("n"), F.avg(x).over(upto).cast("double").alias("avg"), F.min(value).over(upto).alias("min"), F.max(value).over(upto).alias("max"))
+    mean = lambda c: F.avg(F.col(c).cast("decimal(18,6)")).over(upto).cast("double")
+    rows = timings.select(
+        by, order, F.row_number().over(w).alias("n"), mean(value).alias("avg"), F.min(value).over(upto).alias("min"), F.max(value).over(upto).alias("max"), *(mean(s).alias(f"avg_{s}") for s in stages)
+    )
     return rows.where(F.col("n") % every == 0)
+
+
+def export_report(timings: DataFrame, stages: tuple[str, ...], frame_bytes: int, every: int = 60, by: str = "provider", order: str = "run_id", value: str = "total_ms") -> DataFrame:
+    """cumulative for an export: the averages of its stages, frames a second of the time spent so far, and the estimated memory traffic."""
+    rows = cumulative(timings, every, by, order, value, stages)
+    return rows.withColumn("fps", F.when(F.col("avg") > 1e-6, 1000.0 / F.col("avg")).otherwise(0.0)).withColumn("bandwidth_gbs", bandwidth_gbs(F.lit(frame_bytes), F.col("avg"))).drop("min", "max")

@@ -18,8 +18,13 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def spine(counts: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Every index 0 .. n - 1 of every clip with its shift (dx, dy), 0 where there is none."""
+def spine(counts: DataFrame, shifts: DataFrame, order: str | None = None) -> DataFrame:
+    """Every index 0 .. n - 1 of every clip with its shift (dx, dy), 0 where there is none.
+
+    Of several shifts of a frame the last by `order` counts; without an order a frame has one.
+    """
+    if order:
+        shifts = shifts.groupBy("clip_id", "frame_idx").agg(F.max_by(F.struct("dx", "dy"), order).alias("s")).select("clip_id", "frame_idx", "s.dx", "s.dy")
     every = counts.where("n > 0").select("clip_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame_idx"))
     joined = every.join(shifts.select("clip_id", "frame_idx", "dx", "dy"), ["clip_id", "frame_idx"], "left")
     return joined.select("clip_id", "frame_idx", F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy"))
@@ -35,9 +40,11 @@ def canvas(spined: DataFrame, width: int, height: int) -> DataFrame:
     return sized.select("*", middle("canvas_w", width).alias("origin_x"), middle("canvas_h", height).alias("origin_y"))
 
 
-def preview(frames: DataFrame, tracks: DataFrame, stable: DataFrame) -> DataFrame:
-    """frames with their track and shift, by inner joins on (clip_id, frame_idx)."""
+def preview(frames: DataFrame, tracks: DataFrame, stable: DataFrame, order: str | None = None) -> DataFrame:
+    """frames with their track and shift, by inner joins on (clip_id, frame_idx); of several rows of a frame the last by `order` counts."""
     keys = ["clip_id", "frame_idx"]
+    if order:
+        tracks, stable = (last_wins(t, keys, order).drop(order) for t in (tracks, stable))
     return frames.join(tracks, keys).join(stable, keys)
 
 

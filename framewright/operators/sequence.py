@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def throttle(frames: DataFrame, gap: int = 15) -> DataFrame:
-    """(clip_id, frame_idx) of the frames that run: the first, then each at least `gap` after the last that ran.
+def ran(index: np.ndarray, ok: np.ndarray, gap: int, last: int | None = None) -> tuple[np.ndarray, int | None]:
+    """Which of the rising indices run, and the last success: a frame runs without an earlier success, or `gap` or more after it."""
+    out, good, at = np.zeros(len(index), bool), index[ok], 0
+    while at < len(index):
+        at = at if last is None else max(at, int(np.searchsorted(index, last + gap)))  # frames too soon after the success don't run
+        next_good = int(np.searchsorted(good, index[at])) if at < len(index) else len(good)
+        end = int(np.searchsorted(index, good[next_good])) + 1 if next_good < len(good) else len(index)
+        out[at:end] = True
+        last, at = (int(good[next_good]), end) if next_good < len(good) else (last, len(index))
+    return out, last
 
-    A clip's indices are folded in one row.
+
+def throttle(frames: DataFrame, gap: int = 15, success: str | None = None) -> DataFrame:
+    """(clip_id, frame_idx) of the frames that run: the first, then each at least `gap` after the last that succeeded.
+
+    `success` names a boolean column; without it every run succeeds. A repeated index counts once, as a success if one of its rows
+    is. With a gap of 0 or less every frame runs. A clip's indices and flags are one group, jumped through from success to success.
+    """
+    ok = F.max(F.coalesce(F.col(success), F.lit(False))) if success else F.lit(True)
+    rows = frames.groupBy("clip_id", "frame_idx").agg(ok.alias("ok"))
+    if gap <= 0:
+        return rows.select("clip_id", "frame_idx")
+
+    def pick(clip: pd.DataFrame) -> pd.DataFrame:
+        clip = clip.sort_values("frame_idx")
+        return clip.loc[ran(clip["frame_idx"].to_numpy(), clip["ok"].to_numpy(bool), gap)[0], ["clip_id", "frame_idx"]]
+
+    return rows.groupBy("clip_id").applyInPandas(pick, "clip_id long, frame_idx int")
+
+
+def barrier(frames: DataFrame, processed: DataFrame) -> DataFrame:
+    """frames (clip_id, frame_idx) with `passed_at`: the first event (clip_id, frame_idx, seq) that shows the frame as processed.
+
+    A frame waits until an index as high as its own is processed; null where none ever is.
+    """
+    both = frames.select("clip_id", "frame_idx", F.lit(None).cast("long").alias("seq"), F.lit(True).alias("_own")).union(
+        processed.select("clip_id", "frame_idx", F.col("seq").cast("long"), F.lit(False))
+    )
+    ahead = Window.partitionBy("clip_id").orderBy("frame_idx").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("passed_at", F.min("seq").over(ahead)).where("_own").select("clip_id", "frame_idx", "passed_at")
+
+
+def in_time(waited: DataFrame, results: DataFrame) -> DataFrame:
+    """barrier's rows with `used`: whether the frame's result (clip_id, frame_idx, done_at) is there when the frame passes.
+
+    The index is published before the result, so a later result is lost and never looked at again; null passed_at uses none.
     """
-    lists = frames.groupBy("clip_id").agg(F.array_sort(F.collect_set("frame_idx")).alias("idx"))
-    none = F.array().cast("array<int>")
-    ran = F.aggregate("idx", none, lambda kept, i: F.when((F.size(kept) == 0) | (i - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(i))).otherwise(kept))
-    return lists.select("clip_id", F.explode(ran).alias("frame_idx"))
+    done = results.groupBy("clip_id", "frame_idx").agg(F.min("done_at").alias("done_at"))
+    return waited.join(done, ["clip_id", "frame_idx"], "left").withColumn("used", F.coalesce(F.col("done_at") <= F.col("passed_at"), F.lit(False))).drop("done_at")
 
 
 def delayed(frames: DataFrame, by: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import media as m
 from .operators import detect, media, motion, perf, render, sequence, trajectory
-from .plans.stabilise import export_plan, stabilise
+from .plans.stabilise import export_plan, stabilise, stabilise_xy
 from .sources import adapters as a
 
 QUERIES: dict = {}
@@ -15,7 +15,7 @@ SQL: dict = {}
 
 TRACKS = """tracks as (select user_id as clip_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as frame_idx,
   event_type <> 'error' as delta_valid, value - 50.0 as delta_x, cast(regexp_extract(props, '([0-9]+)', 1) as double) - 50.0 as delta_y,
-  event_type = 'signup' as center_valid, value as center_x from events)"""
+  event_type = 'signup' as center_valid, value as center_x, cast(regexp_extract(props, '([0-9]+)', 1) as double) as center_y from events)"""
 FLOWS = "flows as (select label as frame_idx, vec_id as pt_id, cast(embedding[1] as double) * 10.0 as dx, cast(embedding[2] as double) * 10.0 as dy from embeddings)"
 DETS = """dets as (select l_orderkey as frame_idx, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as integer) as det_id,
   l_linenumber % 2 as class_id, l_extendedprice as score, cast(l_partkey % 40 as double) as x1, cast(l_suppkey % 40 as double) as y1,
@@ -91,6 +91,7 @@ _SCALARS["prj9_13_14_weights"] = ("events", ('event_id',), {
 _SCALARS["prj10_11_masks"] = ("embeddings", ('vec_id',), {
     "logit": 'round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: cast(p[1] as double) * cast(p[2] as double))), 5) + 0.0::double',
     "bright": 'cast(len(list_filter(embedding, lambda v: v >= 0.1)) as integer)',
+    "boxed": 'cast(len(list_filter(embedding[11:14] || embedding[19:22] || embedding[27:30], lambda v: v >= 0.1)) as integer)',
 })
 _SCALARS["prj12_clamps"] = ("events", ('event_id',), {
     "unit": 'round(least(greatest(value / 60, 0.0::double), 1.0::double), 6)',
@@ -114,14 +115,14 @@ _SCALARS["prj20_31_formats"] = ("part", ('p_partkey',), {
     "fit_x": f'round((800 - {_SW} * {_fs}) / 2, 6) + 0.0::double',
     "fit_h": f'round({_SH} * {_fs}, 6)',
     "rate": 'round(case when p_size = 0 or p_partkey % 7 = 0 then 0.0::double else p_size * 1000.0::double / (p_partkey % 7) end, 6)',
-    "edge": 'cast(case when p_partkey % 2 = 0 and p_size > 0 then p_size else p_size end as integer)',
+    "edge": 'cast(case when p_partkey % 2 = 0 and p_size > 0 then p_size when p_partkey % 3 > 0 then p_size end as integer)',
     "encoder": "case p_partkey % 3 when 0 then 'h264' when 1 then 'hevc' end",
     "copy_w": f'cast(greatest(0, least(p_size - 20 + {_SW}, 1280) - greatest(p_size - 20, 0)) as integer)',
     "copy_h": f'cast(greatest(0, least(p_size - 25 + {_SH}, 720) - greatest(p_size - 25, 0)) as integer)',
 })
 _SCALARS["src7_8_clip_times"] = ("part", ('p_partkey',), {
     "fps": 'round(cast(coalesce(case when p_partkey % 3 = 0 and p_size > 0 then p_size end, case when p_partkey % 5 = 0 then 25.0 end, case when p_size > 1 and (p_partkey - 1) > 0 then (p_partkey - 1)::double / (p_size - 1) end, 30.0) as double), 6)',
-    "time_ns": 'cast(coalesce(case when p_partkey % 2 = 0 then p_partkey::hugeint * 1001 * 1000000000 // 30000 when p_partkey % 3 = 0 then (p_partkey + 1)::hugeint * 1001 * 1000000000 // 30000 end, floor(p_partkey / 25.0::double * 1e9::double)) as bigint)',
+    "time_ns": 'cast(coalesce(case when p_partkey % 2 = 0 then (p_partkey::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 when p_partkey % 3 = 0 then ((p_partkey + 1)::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 end, trunc(p_partkey / 25.0::double * 1e9::double)) as bigint)',
 })
 _sp = "('/media/' || p_brand || case p_partkey % 3 when 0 then '/clip.MP4' when 1 then '/take.one.mov' else '/raw' end)"
 _SCALARS["strf1_6_names"] = ("part", ('p_partkey',), {
@@ -189,6 +190,7 @@ def _scalar_columns() -> dict:
     out["prj10_11_masks"] = {
         "logit": F.round(g.dot(F.slice('embedding', 1, 32), F.slice('embedding', 33, 32)), 5) + F.lit(0.0),
         "bright": F.size(F.filter(g.binarise(F.col('embedding'), 0.1), lambda v: v == 255)),
+        "boxed": F.size(F.filter(g.crop(g.binarise(F.col('embedding'), 0.1), 8, 2, 1, 4, 3), lambda v: v == 255)),
     }
     _d = F.col('value') - 50.0
     out["prj12_clamps"] = {
@@ -216,7 +218,7 @@ def _scalar_columns() -> dict:
         "fit_x": _r(_fit['x']),
         "fit_h": _r(_fit['h']),
         "rate": _r(g.rational(S * 1000, P % 7)),
-        "edge": g.input_edge(F.when(P % 2 == 0, S), S * S * 3),
+        "edge": g.input_edge(F.when(P % 2 == 0, S), S * S * 3 + F.when(P % 3 == 0, 1).otherwise(0)),
         "encoder": g.first_supported(['av1', 'hevc', 'h264'], F.when(P % 3 == 0, F.array(F.lit('h264'))).when(P % 3 == 1, F.array(F.lit('h264'), F.lit('hevc'))).otherwise(F.array(F.lit('vp8')))),
         "copy_w": _cr['w'],
         "copy_h": _cr['h'],
@@ -290,9 +292,18 @@ def flt3(spark, d):
     return motion.valid_flows(f, 2, 2).select("frame_idx", "pt_id")
 
 
-@_add("flt2_flt4_only_candidate", f"with {DETS} select frame_idx, det_id, score from (select *, count(*) over (partition by frame_idx) as n from dets where class_id = 1) where n = 1")
+@_add("flt2_flt4_only_candidate", f"with {DETS} select frame_idx, det_id, score from (select dets.*, count(*) over (partition by frame_idx) as n from dets join nation on n_nationkey = class_id where n_name = (select n_name from nation where n_nationkey = 1)) where n = 1")
 def flt4(spark, d):
-    return detect.only_candidate(a.dets(spark, d).where("class_id = 1"), ["frame_idx"]).select("frame_idx", "det_id", "score")
+    names = a.table(spark, d, "nation").select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("class_name"))  # 25 rows
+    wanted = names.where("class_id = 1").select("class_name")
+    ids = names.join(wanted, "class_name").select("class_id")
+    return detect.only_candidate(a.dets(spark, d).join(F.broadcast(ids), "class_id"), ["frame_idx"]).select("frame_idx", "det_id", "score")
+
+
+@_add("flt6_usable_rois", f"with {DETS} select frame_idx, det_id, cast(greatest(x1 - 20, 0) as integer) as roi_x, cast(greatest(y1 - 20, 0) as integer) as roi_y, cast(least(x1 - 20 + 12, 15) - greatest(x1 - 20, 0) as integer) as roi_w, cast(least(y1 - 20 + 9, 15) - greatest(y1 - 20, 0) as integer) as roi_h from dets where det_id % 3 <> 0 and least(x1 - 20 + 12, 15) > greatest(x1 - 20, 0) and least(y1 - 20 + 9, 15) > greatest(y1 - 20, 0)")
+def flt6(spark, d):
+    boxes = a.dets(spark, d).select("frame_idx", "det_id", (F.col("x1") - 20).cast("int").alias("box_x"), (F.col("y1") - 20).cast("int").alias("box_y"), F.lit(12).alias("box_w"), F.lit(9).alias("box_h"), (F.col("det_id") % 3 != 0).alias("has_mask"))
+    return detect.usable_rois(boxes, 15, 15).select("frame_idx", "det_id", "roi_x", "roi_y", "roi_w", "roi_h")
 
 
 @_add("flt7_11_frame_filters", f"with {TRACKS} select clip_id, frame_idx from tracks where frame_idx >= 0 and frame_idx < 50 and frame_idx % 5 = 0 and center_valid")
@@ -302,7 +313,7 @@ def flt7(spark, d):
 
 @_add("src5_seek", f"with {TRACKS} select clip_id, frame_idx, delta_x from tracks where clip_id = 7 and frame_idx = 3")
 def seek(spark, d):
-    return a.tracks(spark, d).where("clip_id = 7 and frame_idx = 3").select("clip_id", "frame_idx", "delta_x")
+    return a.tracks(spark, d, clip_id=7).where("frame_idx = 3").select("clip_id", "frame_idx", "delta_x")
 
 
 @_add("agg3_jn5_nms", f"""with recursive {DETS}, o as (select *, row_number() over (partition by frame_idx order by score desc, det_id) as r from dets), walk as (
@@ -317,16 +328,28 @@ def nms(spark, d):
     return detect.suppress(a.dets(spark, d), ["frame_idx"]).select("frame_idx", "det_id")
 
 
-@_add("srt3_corners")
+@_add("srt2_nms_top_k", SQL["agg3_jn5_nms"].replace("len(w.kept) < 100", "len(w.kept) < 2"))
+def nms_top(spark, d):
+    return detect.suppress(a.dets(spark, d), ["frame_idx"], top_k=2).select("frame_idx", "det_id")
+
+
+@_add("srt3_corners", f"""with recursive {FLOWS}, p as (select frame_idx, pt_id, dx * 5 as x, dy * 5 as y, cast(pt_id % 97 + 1 as double) as response, max(pt_id % 97 + 1) over (partition by frame_idx) as top from flows),
+  o as (select *, row_number() over (partition by frame_idx order by response desc, pt_id) as r from p where response >= top * 0.001), walk as (
+  select frame_idx, r, [pt_id] as kept, [{{'x': x, 'y': y}}] as pts from o where r = 1
+  union all select frame_idx, r, case when k then list_append(kept, pt_id) else kept end, case when k then list_append(pts, {{'x': x, 'y': y}}) else pts end
+  from (select w.frame_idx, w.kept, w.pts, o.r, o.pt_id, o.x, o.y, len(w.kept) < 1000 and len(list_filter(w.pts, lambda q: (q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y) < 4)) = 0 as k
+    from walk w join o on o.frame_idx = w.frame_idx and o.r = w.r + 1))
+  select frame_idx, unnest(kept) as pt_id from walk w where r = (select max(r) from o where o.frame_idx = w.frame_idx)""")
 def corners(spark, d):
     pts = a.flows(spark, d).select("frame_idx", "pt_id", (F.col("dx") * 5).alias("x"), (F.col("dy") * 5).alias("y"), (F.col("pt_id") % 97 + 1).cast("double").alias("response"))
     return detect.spaced_corners(pts, ["frame_idx"]).select("frame_idx", "pt_id")
 
 
-@_add("jn7_match", f"with {DETS} select l.frame_idx, l.det_id, min(r.det_id) as match_id from dets l left join dets r on l.frame_idx = r.frame_idx and l.class_id = r.class_id and abs(l.score - r.score) < 1e-6 and abs(l.x1 - r.x1) < 1e-3 and abs(l.y1 - r.y1) < 1e-3 and abs(l.x2 - r.x2) < 1e-3 and abs(l.y2 - r.y2) < 1e-3 group by all")
+@_add("jn7_match", f"with {DETS}, again as (select frame_idx, det_id + 100 as det_id, class_id, score, x1 + 0.0006 as x1, y1, x2 + 0.0012 as x2, y2 + case when det_id % 4 = 0 then 1 else 0 end as y2 from dets where det_id % 3 > 0) select l.frame_idx, l.det_id, min(r.det_id) as match_id from dets l left join again r on l.frame_idx = r.frame_idx and l.class_id = r.class_id and abs(l.score - r.score) < 1e-6 and abs(l.x1 - r.x1) < 1e-3 and abs(l.y1 - r.y1) < 1e-3 and abs((l.x2 - l.x1) - (r.x2 - r.x1)) < 1e-3 and abs((l.y2 - l.y1) - (r.y2 - r.y1)) < 1e-3 group by all")
 def match(spark, d):
     x = a.dets(spark, d)
-    return detect.match_within(x, x, ["frame_idx"]).select("frame_idx", "det_id", "match_id")
+    again = x.where("det_id % 3 > 0").withColumns({"x1": F.col("x1") + 0.0006, "x2": F.col("x2") + 0.0012, "y2": F.col("y2") + F.when(F.col("det_id") % 4 == 0, 1).otherwise(0), "det_id": F.col("det_id") + 100})
+    return detect.match_within(x, again, ["frame_idx"]).select("frame_idx", "det_id", "match_id")
 
 
 @_add("jn4_agg2_consensus", f"""with {FLOWS}, s as (select h.frame_idx, h.pt_id as hyp, count(*) as inliers, avg(v.dx) as ax, avg(v.dy) as ay, var_pop(v.dx) + var_pop(v.dy) as noise
@@ -365,14 +388,26 @@ def total_rms(spark, d):
     return _rounded(trajectory.total_rms(stabilise(a.tracks(spark, d)), ["clip_id"], "delta"), "total_rms", places=3)
 
 
+_ANCHOR_Y = _ANCHOR.replace("delta_x", "delta_y").replace("center_x", "center_y").replace("480.0", "270.0").replace("c as (", "cy as (").replace("from c)", "from cy)").replace("p as (", "py as (")
+
+
+@_add("step1_trajectory_xy", f"with {TRACKS}, {_ANCHOR}, {_ANCHOR_Y} select clip_id, frame_idx, round(p.position, 3) + 0.0 as x, round(py.position, 3) + 0.0 as y, round(least(greatest(p.position - 480.0, -10000.0::double), 10000.0::double), 3) + 0.0 as delta_x, round(least(greatest(py.position - 270.0, -10000.0::double), 10000.0::double), 3) + 0.0 as delta_y from p join py using (clip_id, frame_idx)")
+def step1_xy(spark, d):
+    return _rounded(stabilise_xy(a.tracks(spark, d)), "x", "y", "delta_x", "delta_y", places=3)
+
+
+def _positions(spark, d):
+    return trajectory.anchored(trajectory.anchored(a.tracks(spark, d), 480.0, to="x"), 270.0, "delta_y", "center_y", "y")
+
+
 @_add("step2_smoothed")
 def step2(spark, d):
-    return trajectory.smoothed(trajectory.anchored(a.tracks(spark, d), 480.0))
+    return trajectory.smoothed(_positions(spark, d), of=("x", "y"))
 
 
 @_add("step2_robust")
 def robust(spark, d):
-    return trajectory.smoothed(trajectory.anchored(a.tracks(spark, d), 480.0), robust=True)
+    return trajectory.smoothed(_positions(spark, d), of=("x", "y"), robust=True)
 
 
 @_add("win2_running_sum", f"with {TRACKS} select clip_id, frame_idx, cast(sum(case when delta_valid then cast(delta_x as decimal(18,6)) else 0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as double) as path from tracks")
@@ -398,9 +433,10 @@ def residuals(spark, d):
     return _rounded(_rounded(trajectory.residual_stats(rows, ["clip_id"], "x"), "max", "p95"), "mean", "rms", places=4)
 
 
-@_add("agg7_8_perf", "select event_type as provider, count(*) as n, round(avg(value), 6) as avg, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99, round(min(value), 6) as min, round(max(value), 6) as max from events group by all")
+@_add("agg7_8_perf", "select event_type as provider, count(*) as n, round(avg(value * 0.25::double), 6) as avg_pre_ms, round(avg(value * 0.5::double), 6) as avg_infer_ms, round(avg(value * 0.25::double), 6) as avg_post_ms, round(avg(value), 6) as avg, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99, round(min(value), 6) as min, round(max(value), 6) as max from events group by all")
 def perf_summary(spark, d):
-    return _rounded(perf.summary(a.timings(spark, d)), "avg", "p50", "p90", "p99", "min", "max")
+    stages = a.DETECT_STAGES
+    return _rounded(perf.summary(a.staged_timings(spark, d, stages), stages=tuple(stages)), *(f"avg_{s}" for s in stages), "avg", "p50", "p90", "p99", "min", "max")
 
 
 def _cumulative(every: int) -> str:
@@ -413,17 +449,24 @@ def win6(spark, d):
     return _rounded(_rounded(perf.cumulative(a.timings(spark, d)), "min", "max"), "avg", places=4)
 
 
-@_add("agg9_export_perf", _cumulative(60))
+_MEANS = ", ".join(f"avg(cast(value * {share}::double as decimal(18,6))) over u as avg_{s}" for s, share in a.EXPORT_STAGES.items())
+
+
+@_add("agg9_export_perf", f"""with t as (select event_type as provider, event_id as run_id, cast(row_number() over w as integer) as n, avg(cast(value as decimal(18,6))) over u as avg, {_MEANS}
+  from events window w as (partition by event_type order by event_id), u as (partition by event_type order by event_id rows unbounded preceding))
+  select provider, run_id, n, round(avg, 4) as avg, {', '.join(f"round(avg_{s}, 4) as avg_{s}" for s in a.EXPORT_STAGES)}, round(case when avg > 1e-6 then 1000.0::double / avg else 0.0::double end, 4) as fps,
+  round(case when avg > 1e-9 then 3110400 * 5.0::double / (avg / 1000.0::double) / 1e9::double else 0.0::double end, 4) as bandwidth_gbs from t where n % 60 = 0""")
 def agg9(spark, d):
-    return _rounded(_rounded(perf.cumulative(a.timings(spark, d), every=60), "min", "max"), "avg", places=4)
+    stages = a.EXPORT_STAGES
+    report = perf.export_report(a.staged_timings(spark, d, stages), tuple(stages), 1920 * 1080 * 3 // 2)
+    return _rounded(report, "avg", *(f"avg_{s}" for s in stages), "fps", "bandwidth_gbs", places=4)
 
 
-@_add("agg11_plot_scale", f"with {TRACKS}, r as (select clip_id, min(delta_x) as lo, max(delta_x) as hi from tracks group by all) select clip_id, frame_idx, round(case when hi > lo then (delta_x - lo) / (hi - lo) else 0.0::double end, 6) as y from tracks join r using (clip_id)")
+@_add("agg11_plot_scale", f"with {TRACKS}, v as (select clip_id, frame_idx, delta_x as v from tracks where frame_idx % 10 not in (3, 4)), r as (select clip_id, min(v) as lo, max(v) as hi from v group by all), s as (select clip_id, case when hi > lo then lo else 0.0::double end as lo, case when hi > lo then hi else 1.0::double end as hi from r) select clip_id, frame_idx, round((v - lo) / (hi - lo), 6) + 0.0 as y from v join s using (clip_id)")
 def plot_scale(spark, d):
-    t = a.tracks(spark, d)
-    r = t.groupBy("clip_id").agg(F.min("delta_x").alias("lo"), F.max("delta_x").alias("hi"))
-    y = F.when(F.col("hi") > F.col("lo"), F.try_divide(F.col("delta_x") - F.col("lo"), F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return t.join(r, "clip_id").select("clip_id", "frame_idx", _r(y).alias("y"))
+    odd = F.when(F.col("frame_idx") % 10 == 3, float("nan")).when(F.col("frame_idx") % 10 == 4, float("inf")).otherwise(F.col("delta_x"))
+    scaled = trajectory.plot_scaled(a.tracks(spark, d).select("clip_id", "frame_idx", odd.alias("v")), ["clip_id"], "v")
+    return scaled.where("frame_idx % 10 not in (3, 4)").select("clip_id", "frame_idx", _r(F.col("y")).alias("y"))
 
 
 @_add("agg12_13_counts", f"with {TRACKS} select clip_id, count(*) as n, count(*) filter (center_valid) as detector, count(*) filter (not center_valid) as weak_center, count(*) filter (delta_valid) as delta, count(*) filter (not delta_valid) as weak_odometry from tracks group by clip_id")
@@ -436,8 +479,9 @@ def counts(spark, d):
 def _shifts(spark, d):
     t = a.tracks(spark, d)
     clips = t.select("clip_id").distinct().withColumn("num_frames", F.when(F.col("clip_id") % 2 == 0, 120).otherwise(0))
-    s = t.where("frame_idx % 3 <> 0").select("clip_id", "frame_idx", F.col("delta_x").alias("dx"), F.col("delta_y").alias("dy"))
-    return render.frame_count(clips, t), s
+    s = t.where("frame_idx % 3 <> 0").select("clip_id", "frame_idx", F.col("delta_x").alias("dx"), F.col("delta_y").alias("dy"), F.lit(1).alias("nth"))
+    earlier = s.where("frame_idx % 3 = 1").select("clip_id", "frame_idx", F.col("dx") - 900, F.col("dy") + 900, F.lit(0))  # overridden by the later ones
+    return render.frame_count(clips, t), s.union(earlier)
 
 
 _SPINE = f"""{TRACKS}, n as (select clip_id, cast(case when clip_id % 2 = 0 then 120 else max(frame_idx) + 1 end as integer) as n from tracks group by clip_id),
@@ -450,23 +494,24 @@ _CANVAS = f"""c as (select clip_id, cast(2 * {_REACH.format('dx')} + 101 + (2 *
 
 @_add("jn3_agg14_spine", f"with {_SPINE} select * from s")
 def spine(spark, d):
-    return render.spine(*_shifts(spark, d))
+    return render.spine(*_shifts(spark, d), order="nth")
 
 
 @_add("agg4_canvas", f"with {_SPINE}, {_CANVAS} select * from v")
 def canvas(spark, d):
-    return render.canvas(render.spine(*_shifts(spark, d)), 101, 100)
+    return render.canvas(render.spine(*_shifts(spark, d), order="nth"), 101, 100)
 
 
 @_add("export_plan", f"with {_SPINE}, {_CANVAS} select * from s join v using (clip_id)")
 def plan(spark, d):
-    return export_plan(*_shifts(spark, d), 101, 100)
+    return export_plan(*_shifts(spark, d), 101, 100, order="nth")
 
 
 @_add("jn1_preview", f"with {TRACKS} select t.clip_id, t.frame_idx, t.delta_x, u.delta_y from tracks t join tracks u on t.clip_id = u.clip_id and t.frame_idx = u.frame_idx where u.delta_valid")
 def preview(spark, d):
     t = a.tracks(spark, d)
-    return render.preview(t.select("clip_id", "frame_idx"), t.select("clip_id", "frame_idx", "delta_x"), t.where("delta_valid").select("clip_id", "frame_idx", "delta_y"))
+    twice = lambda rows, c: rows.select("clip_id", "frame_idx", c, F.lit(1).alias("nth")).union(rows.where("frame_idx % 2 = 0").select("clip_id", "frame_idx", F.col(c) + 900, F.lit(0)))
+    return render.preview(t.select("clip_id", "frame_idx"), twice(t, "delta_x"), twice(t.where("delta_valid"), "delta_y"), order="nth")
 
 
 @_add("jn1_unmatched", f"with {TRACKS} select clip_id, frame_idx from tracks where not delta_valid")
@@ -517,12 +562,23 @@ def chunked(spark, d):
 
 
 @_add("str2_throttle", f"""with recursive {TRACKS}, g as (select clip_id, frame_idx * 7 % 1000 as frame_idx from tracks), f as (select distinct clip_id, cast(frame_idx as integer) as frame_idx from g),
-  w as (select clip_id, min(frame_idx) as frame_idx from f group by clip_id union all
-    select clip_id, frame_idx from (select w.clip_id, (select min(f.frame_idx) from f where f.clip_id = w.clip_id and f.frame_idx >= w.frame_idx + 15) as frame_idx from w) where frame_idx is not null)
-  select clip_id, frame_idx from w""")
+  ok as (select * from f where frame_idx % 3 <> 1),
+  w as (select clip_id, min(frame_idx) as frame_idx from ok group by clip_id union all
+    select clip_id, frame_idx from (select w.clip_id, (select min(ok.frame_idx) from ok where ok.clip_id = w.clip_id and ok.frame_idx >= w.frame_idx + 15) as frame_idx from w) where frame_idx is not null),
+  l as (select f.clip_id, f.frame_idx, max(w.frame_idx) as last from f left join w on w.clip_id = f.clip_id and w.frame_idx < f.frame_idx group by all)
+  select clip_id, frame_idx from l where last is null or frame_idx - last >= 15""")
 def throttled(spark, d):
+    index = (F.col("frame_idx") * 7 % 1000).cast("int")
+    return sequence.throttle(a.tracks(spark, d).select("clip_id", index.alias("frame_idx"), (index % 3 != 1).alias("ok")), success="ok")
+
+
+@_add("str4_5_barrier", f"""with {TRACKS}, p as (select clip_id, frame_idx, frame_idx * 2 as seq from tracks where delta_valid)
+  select t.clip_id, t.frame_idx, cast(min(p.seq) as bigint) as passed_at, coalesce(t.frame_idx % 5 > 0 and t.frame_idx * 2 + t.frame_idx % 4 <= min(p.seq), false) as used
+  from tracks t left join p on p.clip_id = t.clip_id and p.frame_idx >= t.frame_idx group by t.clip_id, t.frame_idx""")
+def barrier(spark, d):
     t = a.tracks(spark, d)
-    return sequence.throttle(t.select("clip_id", (F.col("frame_idx") * 7 % 1000).cast("int").alias("frame_idx")))
+    waited = sequence.barrier(t, t.where("delta_valid").select("clip_id", "frame_idx", (F.col("frame_idx") * 2).alias("seq")))
+    return sequence.in_time(waited, t.where("frame_idx % 5 > 0").select("clip_id", "frame_idx", (F.col("frame_idx") * 2 + F.col("frame_idx") % 4).alias("done_at")))
 
 
 @_add("str3_delay", f"with {TRACKS} select clip_id, frame_idx, coalesce(lead(frame_idx, 30) over (partition by clip_id order by frame_idx), max(frame_idx) over (partition by clip_id)) as emitted_at from tracks")

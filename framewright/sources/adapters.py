@@ -10,13 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id, frame_idx, delta_valid, delta_x, delta_y, center_valid, center_x from events."""
+def tracks(spark: SparkSession, sf_dir: str, clip_id: int | None = None) -> DataFrame:
+    """clip_id, frame_idx, delta_valid, delta_x, delta_y, center_valid, center_x, center_y from events; of one clip, filtered in the scan."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    events = events if clip_id is None else events.where(F.col("user_id") == clip_id)
+    return events.select(
         F.col("user_id").alias("clip_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), (F.col("event_type") != "error").alias("delta_valid"),
         (F.col("value") - 50.0).alias("delta_x"), (F.regexp_extract("props", "([0-9]+)", 1).cast("double") - 50.0).alias("delta_y"),
         (F.col("event_type") == "signup").alias("center_valid"), F.col("value").alias("center_x"),
+        F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("center_y"),
     )
 
 
@@ -40,6 +43,16 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("provider"), F.col("value").alias("total_ms"))
 
 
+#: Shares of a run's time by stage, in the detector and in an export; made up, fixed.
+DETECT_STAGES = {"pre_ms": 0.25, "infer_ms": 0.5, "post_ms": 0.25}
+EXPORT_STAGES = {"decode_ms": 0.125, "convert_ms": 0.125, "clear_ms": 0.0625, "copy_ms": 0.1875, "encode_ms": 0.25, "callback_ms": 0.25}
+
+
+def staged_timings(spark: SparkSession, sf_dir: str, shares: dict[str, float]) -> DataFrame:
+    """timings with a column for each stage."""
+    return timings(spark, sf_dir).withColumns({s: F.col("total_ms") * share for s, share in shares.items()})
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     video = F.col("event_type").isin("click", "view")
     return table(spark, sf_dir, "events").select(

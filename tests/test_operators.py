@@ -12,7 +12,7 @@ from framewright.functions import geometry as g
 from framewright.functions import media as m
 from framewright.operators import detect, motion, render, sequence, trajectory
 from framewright.sources import files
-from framewright.streaming import stateful
+from framewright.streaming import fanout, stateful
 
 
 def one(spark, **columns):
@@ -64,7 +64,63 @@ def test_smoothing_matches_a_dense_solve():
         x, w = rng.normal(size=n), np.full(n, 0.3)
         d1, d2 = np.diff(np.eye(n), axis=0), np.diff(np.eye(n), n=2, axis=0)
         dense = np.linalg.solve(np.diag(w) + 0.2 * d1.T @ d1 + 0.7 * d2.T @ d2, w * x)
-        assert trajectory._banded_solve(x, w, 0.2, 0.7) == pytest.approx(dense, abs=1e-10)
+        assert trajectory._banded_solve(x[:, None], w, 0.2, 0.7)[:, 0] == pytest.approx(dense, abs=1e-10)
+
+
+def test_robust_smoothing_shares_its_weights_over_both_axes(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 47, 48, 49, 50, 97, 130):
+        m = np.cumsum(rng.normal(size=(n, 2)), axis=0) + 40 * (rng.random((n, 2)) > 0.9)
+        d1, d2 = np.diff(np.eye(n), axis=0), np.diff(np.eye(n), n=2, axis=0)
+        data, motion = trajectory.smoothing_sigmas(0.5)
+        x = m
+        for _ in range(100):
+            r = np.hypot(*(x - m).T)
+            w = data**-2 * np.where(r <= 6, 1, 6 / np.maximum(r, 6))
+            new = np.linalg.solve(np.diag(w) + motion**-2 * (d1.T @ d1 + d2.T @ d2), w[:, None] * m)
+            moved, x = np.hypot(*(new - x).T).mean(), new
+            if moved < 1e-8:
+                break
+        assert trajectory.smooth_path(m, 0.5, True) == pytest.approx(x, abs=1e-6)
+    rows = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(m)], "clip_id long, frame_idx int, x double, y double")
+    got = trajectory.smoothed(rows, 0.5, ("x", "y"), robust=True).orderBy("frame_idx").collect()
+    assert [(r.smooth_x, r.smooth_y) for r in got] == [pytest.approx(tuple(v), abs=1e-6) for v in x]
+
+
+def test_ticks_are_rounded_to_the_nearest_nanosecond(spark):
+    lit, no = F.lit, F.lit(None).cast("long")
+    got = one(spark, up=m.time_ns(lit(1), no, lit(1001), lit(30000), lit(0), lit(25.0)), half=m.time_ns(lit(-1), no, lit(1), lit(2_000_000_000 // 4), lit(0), lit(25.0)), none=m.time_ns(no, no, lit(1), lit(90000), lit(1), lit(30.0)))
+    assert got == {"up": 33366667, "half": -2, "none": 33333333}
+
+
+def test_throttle_waits_for_a_success(spark):
+    rows = spark.createDataFrame([(0, i, i not in (0, 3, 20)) for i in (0, 3, 5, 12, 20, 24, 30, 39)], "clip_id long, frame_idx int, ok boolean")
+    assert sorted(r.frame_idx for r in sequence.throttle(rows, 15, "ok").collect()) == [0, 3, 5, 20, 24, 39]
+    assert sequence.throttle(rows, 0, "ok").count() == 8 and sequence.throttle(rows.limit(0), 15, "ok").count() == 0
+
+
+def test_last_shift_wins(spark):
+    counts = spark.createDataFrame([(0, 3)], "clip_id long, n int")
+    shifts = spark.createDataFrame([(0, 1, 5.0, 5.0, 1), (0, 1, 7.0, 8.0, 2), (0, 9, 1.0, 1.0, 3)], "clip_id long, frame_idx int, dx double, dy double, nth int")
+    assert sorted(map(tuple, render.spine(counts, shifts, "nth").collect())) == [(0, 0, 0.0, 0.0), (0, 1, 7.0, 8.0), (0, 2, 0.0, 0.0)]
+
+
+def test_fan_out(spark):
+    folder, got = tempfile.mkdtemp(prefix="spark-"), {"a": 0, "b": 0, "end": 0}
+    spark.range(20).withColumnRenamed("id", "frame_idx").write.parquet(f"{folder}/in")
+    count = lambda name: lambda batch, batch_id: got.__setitem__(name, got[name] + batch.count())
+    stream = spark.readStream.schema("frame_idx long").parquet(f"{folder}/in")
+    fanout.fan_out(stream, {"a": count("a"), "b": count("b")}, f"{folder}/cp", lambda: got.__setitem__("end", 1))
+    assert got == {"a": 20, "b": 20, "end": 1}
+
+
+def test_media_files(spark):
+    from pathlib import Path
+
+    folder = Path(tempfile.mkdtemp(prefix="spark-"))
+    for name in ("a.mp4", "b.txt", "c.MKV", "d.mkv"):
+        (folder / name).write_bytes(b"12345")
+    assert sorted(r.path.rpartition("/")[2] for r in files.media_files(spark, str(folder)).collect()) == ["a.mp4", "d.mkv"]
 
 
 def test_canvas(spark):
