@@ -37,7 +37,7 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove(table(spark, sf_dir, "documents"))
+    return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ further digits until the depth is reached; equal groups are the repeated windows
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, release, saved, signed
-from .textarrays import U64, mix, powers, prefix_hash, range_hash, slices
+from .storage import bounded, discard, release, saved, signed
+from .textarrays import U64, Words, mix, powers, prefix_hash, range_hash, slices
 
 WINDOW, GRAM, DIGITS, BLOCK = 400, 64, 2, 16
 _LOW = U64(0xFFFFFFFF)
@@ -134,39 +133,80 @@ def _suffixes(window: int, size: int, digits: int):
     return run
 
 
+#: Characters that stand for one word where repeats are looked for by words.
+WORD_CHARS = 8
+_SIGNS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
+
+
+def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with WORD_CHARS characters of its hash for each word, so that windows of words are windows of bytes."""
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column("text")):
+            words = Words(data, offsets, "space")
+            shifts = (np.arange(WORD_CHARS) * 6 + 16).astype(np.uint64)
+            signs = _SIGNS[((words.hash[:, None] >> shifts) & U64(63)).astype(np.int64)]
+            text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer((words.row_at * WORD_CHARS).astype(np.int64)), pa.py_buffer(signs.tobytes()))
+            yield pa.record_batch([batch.column("k1")[a:b], batch.column("k2")[a:b], text.cast(pa.string())], ["k1", "k2", "text"])
+
+
+def _gone(spans, size: int, window: int) -> np.ndarray:
+    """Which of `size` places any window that starts at a..b of the spans covers."""
+    change = np.zeros(size + 1, np.int64)
+    if spans.is_valid:
+        np.add.at(change, spans.values.field("a").to_numpy(), 1)
+        np.add.at(change, spans.values.field("b").to_numpy() + window, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _removal(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column("doc_id"), batch.column("spans")
+            spans = batch.column("spans")
             size, removed, runs = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            digests = []
+            kept = []
             for a, b, data, offsets in slices(batch.column("text")):
-                raw = data.tobytes()
                 for i in range(b - a):
-                    x, y = int(offsets[i]), int(offsets[i + 1])
-                    size[a + i] = y - x
-                    own = spans[a + i]
-                    if not own.is_valid or not len(own):
-                        digests.append(hashlib.sha256(raw[x:y]).hexdigest())
-                        continue
-                    own = own.values
-                    change = np.zeros(y - x + 1, np.int64)
-                    np.add.at(change, own.field("a").to_numpy(), 1)
-                    np.add.at(change, own.field("b").to_numpy() + window, -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    removed[a + i] = gone.sum()
-                    runs[a + i] = gone[0] + (gone[1:] & ~gone[:-1]).sum()
-                    digests.append(hashlib.sha256(data[x:y][~gone].tobytes()).hexdigest())
-            yield pa.record_batch([ids, pa.array(size), pa.array(removed), pa.array(runs), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    own = data[offsets[i] : offsets[i + 1]]
+                    size[a + i] = len(own)
+                    if spans[a + i].is_valid:
+                        gone = _gone(spans[a + i], len(own), window)
+                        removed[a + i] = gone.sum()
+                        runs[a + i] = gone[0] + (gone[1:] & ~gone[:-1]).sum()
+                        own = own[~gone]
+                    kept.append(own.tobytes())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary()), batch.column("n_words_removed")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_words_removed"])
+
+    return run
+
+
+def _words_covered(words: int):
+    """Adds to each row's key how many words the spans of windows of `words` words cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for spans in batch.column("spans"):
+                a, b = (spans.values.field(c).to_numpy() for c in "ab")
+                a, b = -(-a // WORD_CHARS), b // WORD_CHARS  # whole words only
+                step = np.zeros(int(b.max()) + words + 2, np.int64)
+                whole = a <= b
+                np.add.at(step, a[whole], 1)
+                np.add.at(step, b[whole] + words, -1)
+                n.append(int((np.cumsum(step) > 0).sum()))
+            yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64())], ["k1", "k2", "n_words_removed"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK) -> DataFrame:
-    """(k1, k2, spans array of (a, b)): for each text, named by two hashes, the starts a..b of its repeated windows."""
-    spark = docs.sparkSession
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, text): the texts that aren't null, each named by two hashes."""
+    return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text").where("text is not null")
+
+
+def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK) -> DataFrame:
+    """(k1, k2, spans array of (a, b)): for each text of named_texts the starts a..b of its repeated windows, if any."""
+    spark = named.sparkSession
     bounded(spark)
-    named = docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text").where("text is not null")
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("bytes"))
     copied = copies.where(f"n > 1 and bytes >= {window}").select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
     anchors = named.where(F.octet_length("text") >= window).mapInArrow(_anchors(window, gram), "anchor long, whole long, k1 long, k2 long, a int, b int, s int")
@@ -199,25 +239,43 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digi
     for depth in range(1, digits + 1):
         keys = [f"d{i}" for i in range(depth)]
         groups = left.groupBy(*keys).agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select(*keys)
-        left = saved(left.join(groups, keys, "left_semi"), "suffixes")
+        before, left = left, saved(left.join(groups, keys, "left_semi"), "suffixes")
+        discard(before)
     same = blocks.where("full is not null").groupBy("j", "full").agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select("j", "full")
     settled = blocks.join(same, ["j", "full"], "left_semi").select("whole", (-F.col("j") * size - (size - 1)).alias("x"), (-F.col("j") * size).alias("y"))
     found = settled.union(left.select("whole", F.col("place").alias("x"), F.col("place").alias("y")))
     single = found.join(kinds.where("not again").select("whole", "k1", "k2", (F.col("a") + F.col("s")).alias("at")), "whole")
     single = single.select("k1", "k2", (F.col("at") + F.col("x")).alias("a"), (F.col("at") + F.col("y")).alias("b"))
     full = anchors.join(kinds.where("again").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("k1", "k2", "a", "b").distinct()
-    return full.union(single).union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = saved(full.union(single).union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    discard(anchors, kinds, blocks, left)
+    release(spark)
+    return spans
+
+
+#: Words in a row that are removed as a passage, where repeats are counted by words.
+WORDS = 50
 
 
-def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs (doc_id, text; other columns are ignored).
+def remove(docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_words_removed) per row of docs (doc_id, text; other columns are ignored).
 
     A byte goes if a string of `window` bytes over it also starts anywhere else in the rows' texts, repeated rows
-    included; overlaps count. Null or short text: nothing goes. Every row gives one row; an empty table none. Memory of
-    a task grows with its longest text, by about 100 bytes for each of its bytes.
+    included; overlaps count; `kept` are the other bytes. n_words_removed counts the words that lie in a run of `words` words, A-Z
+    lower-cased and white space ignored, that also starts anywhere else. Null or short text: nothing goes. Every row
+    gives one row; an empty table none. Memory of a task grows with its longest text, by about 100 bytes for each of its bytes.
+    Digits are 64-bit hashes: windows count as equal if their anchors' and their stretches' or parts' hashes agree.
     """
-    spans = saved(repeated_spans(docs, window), "spans")
-    release(docs.sparkSession)
+    named = named_texts(docs)
+    by_words = repeated_spans(named.mapInArrow(_as_words, "k1 long, k2 long, text string"), words * WORD_CHARS)
+    covered = saved(by_words.mapInArrow(_words_covered(words), "k1 long, k2 long, n_words_removed long"), "words")
+    discard(by_words)
+    found = repeated_spans(named, window).join(covered, ["k1", "k2"], "full")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"))
-    joined = rows.join(spans, ["k1", "k2"], "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
-    return joined.mapInArrow(_removal(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(found, ["k1", "k2"], "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans", F.coalesce("n_words_removed", F.lit(0)).alias("n_words_removed"))
+    return joined.mapInArrow(_removal(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_words_removed long")
+
+
+def digest(documents: DataFrame) -> DataFrame:
+    """remove's rows with the kept bytes as their SHA-256."""
+    return remove(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_words_removed")

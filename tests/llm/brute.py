@@ -44,6 +44,13 @@ def components(docs: list[tuple[int, str | None]], percent: int = 80) -> dict[in
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def repeated_words(texts: list[str | None], n: int = 50) -> list[int]:
+    """How many words of each text lie in a run of n words that also starts elsewhere"""
+    words = [WORD.findall((t or "").translate(FOLD)) for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    return [len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}) for w in words]
+
+
 def repeated_bytes(texts: list[str | None], window: int = 400) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept sha256) of each text"""
     data = [(t or "").encode() for t in texts]

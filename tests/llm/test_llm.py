@@ -100,8 +100,10 @@ def test_components_of_nothing(spark):
 
 
 def test_repeated_windows(docs):
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.remove(docs).collect()}
-    assert got == dict(zip([i for i, _ in texts()], brute.repeated_bytes([t for _, t in texts()])))
+    rows = suffixes.digest(docs).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(zip([i for i, _ in texts()], brute.repeated_bytes([t for _, t in texts()])))
+    assert {r.doc_id: r.n_words_removed for r in rows} == dict(zip([i for i, _ in texts()], brute.repeated_words([t for _, t in texts()])))
+    assert any(r.n_words_removed and not r.n_removed for r in rows) and any(not r.n_words_removed for r in rows)
 
 
 def test_sentence_spans(docs):
