@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded, discard, release, saved, signed
-from .textarrays import U64, Words, mix, powers, prefix_hash, range_hash, slices
+from .textarrays import SLICE_BYTES, U64, Words, mix, powers, prefix_hash, range_hash, slices
 
 WINDOW, GRAM, DIGITS, BLOCK = 400, 64, 2, 16
 _LOW = U64(0xFFFFFFFF)
@@ -39,15 +39,31 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
+def _bytes_of(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, prefix hashes, offsets) of the bytes of consecutive rows."""
+    for a, b, data, offsets in slices(texts, limit):
+        yield a, b, prefix_hash(data), offsets
+
+
+def _words_of(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, prefix hashes, offsets) of the words of consecutive rows."""
+    for a, b, data, offsets in slices(texts, limit):
+        words = Words(data, offsets, "space")
+        n = len(words.hash)
+        h = np.zeros(n + 1, np.uint64)
+        np.cumsum(words.hash * powers(n)[0][:n], out=h[1:])
+        yield a, b, h, words.row_at
+
+
+def stretches(h: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     """(row, anchor hash, hash of all its bytes, first and last window start within the row, anchor less first) of every stretch."""
     empty = np.zeros(0, np.int64)
-    n = len(data) - window + 1
+    size = len(h) - 1
+    n = size - window + 1
     if n <= 0:
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
-    h = prefix_hash(data)
     _, down = powers(len(h))
-    m = len(data) - gram + 1
+    m = size - gram + 1
     grams = mix((h[gram : gram + m] - h[:m]) * down[:m])
     at = _sliding_least((grams & ~_LOW) | np.arange(m, dtype=np.uint64), window - gram + 1) & _LOW
     at = at.astype(np.int64)
@@ -61,12 +77,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     return row, grams[at[first]], range_hash(h, first, stops + window), first - offsets[row], stops - offsets[row], at[first] - first
 
 
-def _anchors(window: int, gram: int):
+def _anchors(view, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for a, _, data, offsets in slices(batch.column("text")):
-                row, anchor, whole, first, last, ahead = stretches(data, offsets, window, gram)
+            for a, _, h, offsets in view(batch.column("text")):
+                row, anchor, whole, first, last, ahead = stretches(h, offsets, window, gram)
                 yield pa.record_batch(
                     [signed(anchor), signed(whole), pa.array(k1[row + a]), pa.array(k2[row + a]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(ahead.astype(np.int32))],
                     names=["anchor", "whole", "k1", "k2", "a", "b", "s"],
@@ -75,14 +91,14 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _lots(batch: pa.RecordBatch, lot: int) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
-    """(bytes, prefix hashes, columns) of the listed rows of each text, `lot` of them at a time."""
+def _lots(view, batch: pa.RecordBatch, lot: int) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
+    """(length, prefix hashes, columns) of the listed rows of each text, `lot` of them at a time."""
     listed = batch.column("todo")
-    for r, _, data, _ in slices(batch.column("text"), 1):  # text by text
-        h, todo = prefix_hash(data), listed[r].values
+    for r, _, h, _ in view(batch.column("text"), 1):  # text by text
+        todo = listed[r].values
         for i in range(0, len(todo), lot):
             part = todo.slice(i, lot)
-            yield len(data), h, {f.name: part.field(f.name).to_numpy() for f in todo.type}
+            yield len(h) - 1, h, {f.name: part.field(f.name).to_numpy() for f in todo.type}
 
 
 def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +106,7 @@ def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _blocks(window: int, size: int):
+def _blocks(view, window: int, size: int):
     """Rows (whole, anchor, j, core, full) of the listed stretches: hashes of the bytes that all and that any suffix of a block has.
 
     Block j has the suffixes that start j * size to j * size + size - 1 bytes before the anchor; one that leaves its text has nulls.
@@ -98,7 +114,7 @@ def _blocks(window: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for length, h, c in _lots(batch, 2000):
+            for length, h, c in _lots(view, batch, 2000):
                 at = c["a"] + c["s"]
                 low = (at - c["b"]) // size
                 i, j = _repeat(c["s"] // size - low + 1)
@@ -114,13 +130,13 @@ def _blocks(window: int, size: int):
     return run
 
 
-def _suffixes(window: int, size: int, digits: int):
+def _suffixes(view, window: int, size: int, digits: int):
     """Rows (whole, place, d0, d1, ...) of the suffixes of the listed blocks; digits are hashes of equal parts, place is from the anchor."""
     cuts = [window * i // digits for i in range(digits + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, h, c in _lots(batch, 5000):
+            for _, h, c in _lots(view, batch, 5000):
                 last = np.minimum(c["at"] - c["j"] * size, c["b"])  # others belong to another stretch
                 first = np.maximum(c["at"] - c["j"] * size - size + 1, c["a"])
                 i, place = _repeat(np.maximum(last - first + 1, 0))
@@ -133,22 +149,6 @@ def _suffixes(window: int, size: int, digits: int):
     return run
 
 
-#: Characters that stand for one word where repeats are looked for by words.
-WORD_CHARS = 8
-_SIGNS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", np.uint8)
-
-
-def _as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with WORD_CHARS characters of its hash for each word, so that windows of words are windows of bytes."""
-    for batch in batches:
-        for a, b, data, offsets in slices(batch.column("text")):
-            words = Words(data, offsets, "space")
-            shifts = (np.arange(WORD_CHARS) * 6 + 16).astype(np.uint64)
-            signs = _SIGNS[((words.hash[:, None] >> shifts) & U64(63)).astype(np.int64)]
-            text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer((words.row_at * WORD_CHARS).astype(np.int64)), pa.py_buffer(signs.tobytes()))
-            yield pa.record_batch([batch.column("k1")[a:b], batch.column("k2")[a:b], text.cast(pa.string())], ["k1", "k2", "text"])
-
-
 def _gone(spans, size: int, window: int) -> np.ndarray:
     """Which of `size` places any window that starts at a..b of the spans covers."""
     change = np.zeros(size + 1, np.int64)
@@ -187,11 +187,9 @@ def _words_covered(words: int):
             n = []
             for spans in batch.column("spans"):
                 a, b = (spans.values.field(c).to_numpy() for c in "ab")
-                a, b = -(-a // WORD_CHARS), b // WORD_CHARS  # whole words only
-                step = np.zeros(int(b.max()) + words + 2, np.int64)
-                whole = a <= b
-                np.add.at(step, a[whole], 1)
-                np.add.at(step, b[whole] + words, -1)
+                step = np.zeros(int(b.max()) + words + 1, np.int64)
+                np.add.at(step, a, 1)
+                np.add.at(step, b + words, -1)
                 n.append(int((np.cumsum(step) > 0).sum()))
             yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64())], ["k1", "k2", "n_words_removed"])
 
@@ -203,14 +201,22 @@ def named_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text").where("text is not null")
 
 
-def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK) -> DataFrame:
-    """(k1, k2, spans array of (a, b)): for each text of named_texts the starts a..b of its repeated windows, if any."""
+def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, digits: int = DIGITS, size: int = BLOCK, by_words: bool = False) -> DataFrame:
+    """(k1, k2, spans array of (a, b)): for each text of named_texts the starts a..b of its repeated windows, if any.
+
+    Windows and places count bytes, or words; stretches of words are short, so their suffixes go to the digit passes without blocks.
+    """
+    view = _words_of if by_words else _bytes_of
     spark = named.sparkSession
     bounded(spark)
     copies = named.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).alias("bytes"))
-    copied = copies.where(f"n > 1 and bytes >= {window}").select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
-    anchors = named.where(F.octet_length("text") >= window).mapInArrow(_anchors(window, gram), "anchor long, whole long, k1 long, k2 long, a int, b int, s int")
+    anchors = named.where(F.octet_length("text") >= window).mapInArrow(_anchors(view, window, gram), "anchor long, whole long, k1 long, k2 long, a int, b int, s int")
     anchors = saved(anchors, "anchors")
+    copied = copies.where(f"n > 1 and bytes >= {window}")
+    if by_words:
+        copied = anchors.join(copied, ["k1", "k2"], "left_semi").select("k1", "k2", "a", "b").distinct()
+    else:
+        copied = copied.select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
     # By anchor, then by stretch: a stretch occurs again if it does so at another place, or in another text.
     several = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     place = F.xxhash64("k1", "k2", "a")
@@ -224,16 +230,22 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
         todo = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("todo"))
         return named.join(todo, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "todo")
 
-    blocks = of_texts(kinds.where("mixed"), ["whole", "anchor", "a", "b", "s"]).mapInArrow(_blocks(window, size), "whole long, anchor long, j int, core long, full long")
-    blocks = saved(blocks, "blocks")
-    release(spark)
-    cores = blocks.groupBy("j", "core").agg(F.min("full").alias("p"), F.max("full").alias("q")).where("p <> q").select("j", "core")
-    edges = blocks.where("core is null").select("anchor", "j").distinct()
-    open_blocks = blocks.join(cores, ["j", "core"], "left_semi").select("whole", "j", "full").union(blocks.join(edges, ["anchor", "j"], "left_semi").select("whole", "j", "full"))
-    one_each = open_blocks.where("full is not null").dropDuplicates(["j", "full"]).union(open_blocks.where("full is null").distinct())
-    placed = one_each.join(kinds.select("whole", "k1", "k2", "a", "b", (F.col("a") + F.col("s")).alias("at")), "whole")
+    at = (F.col("a") + F.col("s")).alias("at")
+    blocks = None
+    if by_words:
+        size = 1 << 30
+        placed = kinds.where("mixed").select("whole", "k1", "k2", "a", "b", at, F.lit(0).alias("j"))
+    else:
+        blocks = of_texts(kinds.where("mixed"), ["whole", "anchor", "a", "b", "s"]).mapInArrow(_blocks(view, window, size), "whole long, anchor long, j int, core long, full long")
+        blocks = saved(blocks, "blocks")
+        release(spark)
+        cores = blocks.groupBy("j", "core").agg(F.min("full").alias("p"), F.max("full").alias("q")).where("p <> q").select("j", "core")
+        edges = blocks.where("core is null").select("anchor", "j").distinct()
+        open_blocks = blocks.join(cores, ["j", "core"], "left_semi").select("whole", "j", "full").union(blocks.join(edges, ["anchor", "j"], "left_semi").select("whole", "j", "full"))
+        one_each = open_blocks.where("full is not null").dropDuplicates(["j", "full"]).union(open_blocks.where("full is null").distinct())
+        placed = one_each.join(kinds.select("whole", "k1", "k2", "a", "b", (F.col("a") + F.col("s")).alias("at")), "whole")
     columns = ", ".join(f"d{i} long" for i in range(digits))
-    left = saved(of_texts(placed, ["whole", "j", "at", "a", "b"]).mapInArrow(_suffixes(window, size, digits), f"whole long, place int, {columns}"), "suffixes")
+    left = saved(of_texts(placed, ["whole", "j", "at", "a", "b"]).mapInArrow(_suffixes(view, window, size, digits), f"whole long, place int, {columns}"), "suffixes")
     release(spark)
     # By one digit more in each pass: a suffix stays while another stretch has one with the same digits so far.
     for depth in range(1, digits + 1):
@@ -241,14 +253,16 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
         groups = left.groupBy(*keys).agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select(*keys)
         before, left = left, saved(left.join(groups, keys, "left_semi"), "suffixes")
         discard(before)
-    same = blocks.where("full is not null").groupBy("j", "full").agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select("j", "full")
-    settled = blocks.join(same, ["j", "full"], "left_semi").select("whole", (-F.col("j") * size - (size - 1)).alias("x"), (-F.col("j") * size).alias("y"))
-    found = settled.union(left.select("whole", F.col("place").alias("x"), F.col("place").alias("y")))
+    found = left.select("whole", F.col("place").alias("x"), F.col("place").alias("y"))
+    if blocks is not None:
+        same = blocks.where("full is not null").groupBy("j", "full").agg(F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select("j", "full")
+        settled = blocks.join(same, ["j", "full"], "left_semi").select("whole", (-F.col("j") * size - (size - 1)).alias("x"), (-F.col("j") * size).alias("y"))
+        found = settled.union(found)
     single = found.join(kinds.where("not again").select("whole", "k1", "k2", (F.col("a") + F.col("s")).alias("at")), "whole")
     single = single.select("k1", "k2", (F.col("at") + F.col("x")).alias("a"), (F.col("at") + F.col("y")).alias("b"))
     full = anchors.join(kinds.where("again").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("k1", "k2", "a", "b").distinct()
     spans = saved(full.union(single).union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    discard(anchors, kinds, blocks, left)
+    discard(anchors, kinds, left, *([] if blocks is None else [blocks]))
     release(spark)
     return spans
 
@@ -267,7 +281,7 @@ def remove(docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFra
     Digits are 64-bit hashes: windows count as equal if their anchors' and their stretches' or parts' hashes agree.
     """
     named = named_texts(docs)
-    by_words = repeated_spans(named.mapInArrow(_as_words, "k1 long, k2 long, text string"), words * WORD_CHARS)
+    by_words = repeated_spans(named, words, max(1, words // 12), by_words=True)
     covered = saved(by_words.mapInArrow(_words_covered(words), "k1 long, k2 long, n_words_removed long"), "words")
     discard(by_words)
     found = repeated_spans(named, window).join(covered, ["k1", "k2"], "full")
