@@ -61,3 +61,40 @@ select doc_id, cast(size as bigint) as size, source_size, target,
   cast(case when size = 0 then 0 else size * (turns + case when turns < 3 and place + size / 2 <= target - turns * source_size then 1 else 0 end) end as bigint) as taken
 from p
 """
+
+
+def _level(name: str, units: str, prior: str, rate: str) -> str:
+    """CTEs of one level: `name`_w with the prior's weight by moments, `name` with the posterior mean of each unit."""
+    return f"""{name}_j as (select u.*, {rate} as rate from {units} u {prior}),
+{name}_m as (select sum(n * pow(good / n - rate, 2) - rate * (1 - rate)) as extra, sum(n - 1) as freedom, sum((n - 1) * rate * (1 - rate)) as most from {name}_j where n >= 2),
+{name}_w as (select greatest(1.0::double, least(1000.0::double, coalesce(case when freedom > 0 and extra > 0 then most / extra - 1 else 1000.0::double end, 1000.0::double))) as weight from {name}_m),
+{name} as (select j.*, weight, (good + weight * rate) / (n + weight) as mean from {name}_j j, {name}_w)"""
+
+
+URL_FILTER = f"""
+with p as (select page_id, coalesce(case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end, '') as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+ruled as (
+  select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from h
+), outcomes as (select doc_id as page_id, cast(quality = 1 and coalesce(toxic, 0) <> 1 as bigint) as good from labels where quality is not null and doc_id is not null),
+counted as (select host, cast(coalesce(sum(good), 0) as bigint) as good, count(good) as n from h left join outcomes using (page_id) group by host),
+labels_of as (select *, regexp_replace(host, ':[0-9]*$', '') as bare from counted),
+parts as (select *, string_split(bare, '.') as l, regexp_matches(bare, '^[0-9.]+$') as address from labels_of),
+ends as (select *, array_to_string(l[greatest(1, len(l)) : len(l)], '.') as one, array_to_string(l[greatest(1, len(l) - 1) : len(l)], '.') as two, array_to_string(l[greatest(1, len(l) - 2) : len(l)], '.') as three from parts),
+hosts as (
+  select host, good, n, case when address then '' when known then two else one end as suffix, case when address then bare when known then three else two end as domain
+  from (select *, two in ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'com.br', 'co.in', 'com.cn') as known from ends)
+), overall as (select (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) as overall from hosts),
+by_suffix as (select suffix, sum(good) as good, sum(n) as n from hosts group by suffix),
+by_domain as (select suffix, domain, sum(good) as good, sum(n) as n from hosts group by suffix, domain),
+{_level("suffixes", "by_suffix", ", overall", "overall")},
+{_level("domains", "by_domain", "join suffixes s on s.suffix = u.suffix", "s.mean")},
+{_level("own", "hosts", "join domains d on d.suffix = u.suffix and d.domain = u.domain", "d.mean")},
+known as (select host, mean - 1.645::double * sqrt(mean * (1 - mean) / (n + weight + 1)) as bound from own)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+  when bound >= 0.5::double * overall then 'allow' else 'block' end as verdict, round(bound, 6) as bound
+from ruled join known using (host), overall
+"""

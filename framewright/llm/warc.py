@@ -158,7 +158,9 @@ class WarcReader(DataSourceReader):
         files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(inner)) if x.type == pafs.FileType.File and x.size and x.base_name[0] not in "._")
         return [_File(prefix + x) for x in files]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without files
+            return
         fs, inner = _open(partition.path)
         rows, held = [], 0
         with fs.open_input_file(inner) as handle:
