@@ -219,6 +219,7 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
         copied = copied.select("k1", "k2", F.lit(0).alias("a"), (F.col("bytes") - window).alias("b"))
     # By anchor, then by stretch: a stretch occurs again if it does so at another place, or in another text.
     several = anchors.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
+    several = saved(several, "frequent-anchors")  # read again, so that both sides of the join are plain shuffles, which can be split
     place = F.xxhash64("k1", "k2", "a")
     # Grouped by a struct, which the join's partitioning does not serve: so the join of a very frequent anchor can be split.
     groups = anchors.join(several, "anchor").groupBy(F.struct("anchor", "whole").alias("key"))
@@ -262,7 +263,7 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
     single = single.select("k1", "k2", (F.col("at") + F.col("x")).alias("a"), (F.col("at") + F.col("y")).alias("b"))
     full = anchors.join(kinds.where("again").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("k1", "k2", "a", "b").distinct()
     spans = saved(full.union(single).union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    discard(anchors, kinds, left, *([] if blocks is None else [blocks]))
+    discard(anchors, several, kinds, left, *([] if blocks is None else [blocks]))
     release(spark)
     return spans
 
