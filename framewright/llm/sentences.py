@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BLOOM_BITS, bloom, bounded, in_bloom, release, saved, signed, unused
+from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, release, saved, signed, unused
 from .textarrays import U64, Words, mix, slices
 
 #: Sentences in a run, and the words a run must have: shorter ones are stock phrases, not passages.
@@ -228,6 +228,9 @@ def _without_repeats(docs: DataFrame, find) -> DataFrame:
     first = places.groupBy("run", "check").agg(F.min(order).alias("first"))
     again = places.join(first, ["run", "check"]).where(order > F.col("first"))
     gone = again.groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("place", "until")).alias(gone_places))
+    gone = saved(gone, "gone")
+    discard(places, repeated)  # before the texts are shuffled
+    release(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}, " for c in names)
     cut = keyed.join(gone, key, "left").select(*docs.columns, gone_places).mapInArrow(_cut, schema + "text string, n_sentences long, n_removed long, n_words_removed long")
