@@ -225,11 +225,12 @@ def _without_repeats(docs: DataFrame, find) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "place")
     wanted.unpersist()
     # From here on a span is known by 128 bits: those that only agree in `run` are first occurrences of their own.
-    first = places.groupBy("run", "check").agg(F.min(order).alias("first"))
+    # Read again for the join, so that it does not take over the grouping's partitions: those of a very frequent span can be split.
+    first = saved(places.groupBy("run", "check").agg(F.min(order).alias("first")), "first")
     again = places.join(first, ["run", "check"]).where(order > F.col("first"))
     gone = again.groupBy(F.col("row_key").alias(key)).agg(F.collect_set(F.struct("place", "until")).alias(gone_places))
     gone = saved(gone, "gone")
-    discard(places, repeated)  # before the texts are shuffled
+    discard(places, repeated, first)  # before the texts are shuffled
     release(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
     schema = "".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}, " for c in names)
