@@ -143,3 +143,8 @@ def copy_rectangle(x: Column, y: Column, w: Column, h: Column, to_w: Column, to_
     left, top = F.greatest(x, F.lit(0)), F.greatest(y, F.lit(0))
     size = lambda a, end: F.greatest(F.lit(0), end - a).cast("int")
     return {"left": left.cast("int"), "top": top.cast("int"), "w": size(left, F.least(x + w, to_w)), "h": size(top, F.least(y + h, to_h))}
+
+
+def to_frame(points: Column, left: Column, top: Column) -> Column:
+    """An array of points (x, y) of a region, in the coordinates of the frame that the region lies in."""
+    return F.transform(points, lambda p: F.struct((p["x"] + left).alias("x"), (p["y"] + top).alias("y")))

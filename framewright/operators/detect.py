@@ -16,6 +16,28 @@ def best_class(raw: DataFrame, scores: str = "class_scores", least: float = CONF
     return raw.withColumn("score", top).where(F.col("score") >= least).withColumn("class_id", (F.array_position(scores, F.col("score")) - 1).cast("int"))
 
 
+#: A tensor's first axis is taken as the channels if it is no longer than this, nor than the second.
+MOST_CHANNELS = 512
+
+
+def tensor_rows(tensors: DataFrame, keys: list[str], mask_dim: int) -> DataFrame:
+    """One row (keys, n, box, class_scores, mask_coeff) per candidate of the flat tensors (keys, shape, data).
+
+    Shapes are [1, C, N] or [1, N, C] with C = 4 + classes + mask_dim. Tensors of another shape, without a class, or whose data
+    do not fill their shape give no rows.
+    """
+    one, first, second = (F.get("shape", F.lit(i)) for i in range(3))
+    channels_first = (first <= MOST_CHANNELS) & (second >= first)
+    c, n = F.when(channels_first, first).otherwise(second), F.when(channels_first, second).otherwise(first)
+    fit = (F.size("shape") == 3) & (one == 1) & (F.size("data") == first * second)
+    laid = tensors.where(fit).select(*keys, "data", channels_first.alias("_by_c"), c.cast("int").alias("_c"), n.cast("int").alias("_n")).where((F.col("_c") > 4 + mask_dim) & (F.col("_n") > 0))
+    # All candidates of a tensor are cut out before they become rows: the data are not repeated for each.
+    some = lambda i, at, size: F.transform(F.slice(F.sequence(F.lit(0), F.col("_c") - 1), at + 1, size), lambda k: F.get("data", F.when(F.col("_by_c"), k * F.col("_n") + i).otherwise(i * F.col("_c") + k)))
+    classes = F.col("_c") - 4 - mask_dim
+    row = lambda i: F.struct(i.alias("n"), some(i, F.lit(0), F.lit(4)).alias("box"), some(i, F.lit(4), classes).alias("class_scores"), some(i, 4 + classes, F.lit(mask_dim)).alias("mask_coeff"))
+    return laid.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), row)))
+
+
 def suppress(dets: DataFrame, keys: list[str], overlap: float = OVERLAP, top_k: int = TOP_K, per_class: bool = True) -> DataFrame:
     """Greedy non-maximum suppression of the boxes (det_id, class_id, score, x1, y1, x2, y2) of each group of keys.
 

@@ -280,10 +280,24 @@ def class_names(spark, d):
     return e.join(dim, F.col("event_id") % 40 == F.col("n_nationkey"), "left").select("event_id", F.coalesce("n_name", F.lit("unknown")).alias("class_name"))
 
 
-@_add("prj29_tensor_rows", "select vec_id, cast(i // 8 as integer) as c, cast(i % 8 as integer) as n, round(cast(embedding[i + 1] as double), 6) as x from embeddings, (select unnest(generate_series(0, 63)) as i)")
+@_add("prj29_tensor_rows", """with t as (select vec_id, embedding as e, vec_id % 3 = 0 as by_c, unnest(generate_series(0, 9)) as n from embeddings where vec_id % 3 < 2),
+  r as (select vec_id, cast(n as integer) as n, list_transform(generate_series(0, 5), lambda c: round(cast(e[1 + case when by_c then c * 10 + n else n * 6 + c end] as double), 6)) as v from t)
+  select vec_id, n, v[1] as x, v[2] as y, v[3] as w, v[4] as h, v[5] as score, v[6] as mask from r""")
 def tensor_rows(spark, d):
-    e = a.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("c"), (F.col("i") % 8).alias("n"), _r(F.col("v").cast("double")).alias("x"))
+    shape = F.when(F.col("vec_id") % 3 == 0, F.array(*map(F.lit, (1, 6, 10)))).when(F.col("vec_id") % 3 == 1, F.array(*map(F.lit, (1, 10, 6)))).otherwise(F.array(*map(F.lit, (1, 15, 4))))
+    flat = a.table(spark, d, "embeddings").select("vec_id", shape.alias("shape"), F.slice("embedding", 1, 60).cast("array<double>").alias("data"))
+    rows = detect.tensor_rows(flat, ["vec_id"], mask_dim=1)
+    fields = {**{k: F.get("box", F.lit(i)) for i, k in enumerate("xywh")}, "score": F.get("class_scores", F.lit(0)), "mask": F.get("mask_coeff", F.lit(0))}
+    return rows.select("vec_id", "n", *(_r(v).alias(k) for k, v in fields.items()))
+
+
+@_add("prj8_roi_points", """select vec_id, cast(i as integer) as i, round(cast(embedding[2 * i + 1] as double) * 100 + label, 6) as x, round(cast(embedding[2 * i + 2] as double) * 100 + vec_id % 7, 6) as y
+  from embeddings, (select unnest(generate_series(0, 7)) as i)""")
+def roi_points(spark, d):
+    scaled = lambda i: F.get("embedding", i).cast("double") * 100
+    points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(scaled(2 * i).alias("x"), scaled(2 * i + 1).alias("y")))
+    moved = a.table(spark, d, "embeddings").select("vec_id", F.posexplode(g.to_frame(points, F.col("label"), F.col("vec_id") % 7)).alias("i", "p"))
+    return moved.select("vec_id", "i", _r(F.col("p.x")).alias("x"), _r(F.col("p.y")).alias("y"))
 
 
 @_add("flt3_valid_flows", f"with {FLOWS} select frame_idx, pt_id from flows where pt_id % 5 <> 0 and dx + 1 >= 0 and dx + 1 < 2 and dy + 1 >= 0 and dy + 1 < 2")

@@ -144,3 +144,17 @@ def test_throttle_batch_and_stream(spark):
 def test_trajectory_file(spark):
     df = spark.createDataFrame([(1, 0, 0, 1.0, 1.0, 0.0, 0.0, 3.0, 4.0)], "clip_id long, frame_idx int, time_ns long, obj_x double, obj_y double, target_x double, target_y double, delta_x double, delta_y double")
     assert files.write_trajectory(df, tempfile.mkdtemp(prefix="spark-") + "/csv") == 1
+
+
+def test_tensor_rows(spark):
+    data = [float(i) for i in range(12)]
+    rows = [(1, [1, 6, 2], data), (2, [1, 2, 6], data), (3, [1, 12, 1], data), (4, [2, 6, 2], data), (5, [1, 6, 2], data[:5]), (6, [12], data), (7, None, data), (8, [1, 6, 2], None), (9, [1, 5, 2], data[:10])]
+    found = detect.tensor_rows(spark.createDataFrame(rows, "id long, shape array<int>, data array<double>"), ["id"], 1)
+    # [1, 6, 2] is shorter in its second axis, so its six rows hold two channels each: no class. [1, 2, 6] has two channels.
+    assert found.count() == 0
+    wide = [float(i) for i in range(42)]
+    found = detect.tensor_rows(spark.createDataFrame([(1, [1, 6, 7], wide), (2, [1, 7, 6], wide)], "id long, shape array<int>, data array<double>"), ["id"], 1)
+    got = {(r.id, r.n): (r.box, r.class_scores, r.mask_coeff) for r in found.collect()}
+    assert len(got) == 14
+    assert got[1, 2] == ([2.0, 9.0, 16.0, 23.0], [30.0], [37.0])
+    assert got[2, 2] == ([12.0, 13.0, 14.0, 15.0], [16.0], [17.0])
