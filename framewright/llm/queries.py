@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, sentences, sql, suffixes, topk, urls, warc
+from . import decontaminate, langid, mixing, pii, resample, sentences, sql, suffixes, topk, urls, warc
 from .jaccard import shingle_components
 
 
@@ -62,10 +62,15 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's features, and the ranks of those drawn; null texts weigh 0."""
+    return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix,
+        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix, op12_resample,
     )
 }
-SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_url_filter": sql.URL_FILTER, "op5_warc": sql.WARC, "op9_decontaminate": sql.DECONTAMINATE, "op10_mix": sql.MIX}
+SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_url_filter": sql.URL_FILTER, "op5_warc": sql.WARC, "op9_decontaminate": sql.DECONTAMINATE, "op10_mix": sql.MIX, "op12_resample": resample.SQL}
