@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, resample, sentences, sql, suffixes, topk, urls, warc
+from . import decontaminate, langid, mixing, negatives, pii, resample, sentences, sql, suffixes, topk, urls, warc
 from .jaccard import shingle_components
 
 
@@ -67,10 +67,15 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives within the windows below each anchor's positives, labels changed first; which rows take no part is said in mine."""
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix, op12_resample,
+        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix, op12_resample, op13_hard_negatives,
     )
 }
-SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_url_filter": sql.URL_FILTER, "op5_warc": sql.WARC, "op9_decontaminate": sql.DECONTAMINATE, "op10_mix": sql.MIX, "op12_resample": resample.SQL}
+SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_url_filter": sql.URL_FILTER, "op5_warc": sql.WARC, "op9_decontaminate": sql.DECONTAMINATE, "op10_mix": sql.MIX, "op12_resample": resample.SQL, "op13_hard_negatives": negatives.SQL}
