@@ -1,11 +1,12 @@
 """Exact top-k inner products: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 The vectors' second moments, summed in Spark, give the rotation that puts most of their length
-into the first coordinates. Queries and candidates are dealt out in blocks, every block of queries
-meets every block of candidates once, in a task of bounded size. There the candidates come by descending
+into the first coordinates. Candidates are cut into blocks by descending length, and a query is sent only to
+the blocks whose longest vector could still reach its k-th score among the longest of all; blocks of queries
+and candidates meet in tasks of bounded size. There the candidates come by descending
 length: a query ends when its length times the next one's cannot reach its k-th score; before
 that, the product over the first rotated coordinates plus the product of the residual lengths rules
-candidates out. What is left is scored exactly in integers.
+candidates out. What is left is scored exactly.
 """
 
 from __future__ import annotations
@@ -17,45 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import discard, saved
+from .vectors import best, floored, matrix, pair_products
 
 K, SCALE = 10, 1024
-QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK, SEEDS = 2048, 8192, 256, 1024
-_EXACT = float(1 << 53)
-
-
-def _floored(scale: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = batch.column("vec_id"), batch.column("embedding")
-            flat = vectors.flatten().cast(pa.float64())
-            offsets = np.concatenate(([0], np.cumsum([len(v) if v.is_valid else 0 for v in vectors])))
-            values = flat.to_numpy(zero_copy_only=False)
-            good = np.array([v.is_valid for v in vectors], bool) & np.array(ids.is_valid())
-            bad = ~np.isfinite(values)  # nulls are NaN here
-            counts = np.concatenate(([0], np.cumsum(bad)))
-            good &= (counts[offsets[1:]] == counts[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
-            ints = np.floor(scale * np.where(bad, 0, values))
-            if ints.size and np.abs(ints).max() >= 2.0**62:
-                raise OverflowError("a component's integer is beyond 62 bits")
-            ints = ints.astype(np.int64)
-            keep = np.flatnonzero(good)
-            rows = [ints[offsets[i] : offsets[i + 1]] for i in keep]
-            yield pa.record_batch(
-                [ids.take(pa.array(keep)), pa.array([len(x) for x in rows], pa.int32()), pa.array([float(np.sqrt((x.astype(float) ** 2).sum())) for x in rows], pa.float64()), pa.array(rows, pa.list_(pa.int64()))],
-                names=["vec_id", "dim", "norm", "v"],
-            )
-
-    return run
+QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK, SEEDS = 4096, 65536, 256, 1024
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         dims = batch.column("dim").to_numpy()
-        flat = batch.column("v").flatten().to_numpy().astype(float)
+        flat = batch.column("v").flatten().to_numpy()
         ends = np.cumsum(dims)
-        for d in np.unique(dims[dims > 0]).tolist():
+        for d in np.unique(dims).tolist():
             x = flat[(ends[dims == d] - d)[:, None] + np.arange(d)]
             total[d] = total.get(d, 0) + x.T @ x
     for d, m in total.items():
@@ -69,25 +45,13 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     found: dict[int, np.ndarray] = {}
     for r in cells.toLocalIterator():
         found.setdefault(r.dim, np.zeros(r.dim * r.dim))[r.cell] = r.x
-    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in found.items()}
-
-
-def _matrix(table: pa.Table, d: int) -> np.ndarray:
-    return table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows a[i] and b[i]."""
-    if not a.size:
-        return np.zeros(len(a), np.int64)
-    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
-    if most >= 2.0**63:
-        raise OverflowError("an inner product may be beyond 64 bits")
-    return np.einsum("ij,ij->i", a, b)
+    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in found.items() if np.isfinite(m).all()}
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _reach(q_norm: np.ndarray, c_norm) -> np.ndarray:
+    """The highest product that lengths allow, with the rounding of float sums; infinite where it cannot be told."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(q_norm * c_norm * (1 + 1e-9) + 1e-6, nan=np.inf, posinf=np.inf)
 
 
 def _cell(k: int, turns):
@@ -98,35 +62,36 @@ def _cell(k: int, turns):
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         d = left.column("dim")[0].as_py()
         q_ids, c_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        q, c, q_norm, c_norm = _matrix(left, d), _matrix(right, d), left.column("norm").to_numpy(), right.column("norm").to_numpy()
+        q, c, q_norm, c_norm = matrix(left.column("v"), d), matrix(right.column("v"), d), left.column("norm").to_numpy(), right.column("norm").to_numpy()
         least = left.column("least").to_numpy(zero_copy_only=False).astype(float).copy()
         least[np.isnan(least)] = -np.inf
         by_length = np.lexsort((c_ids, -c_norm))
         c_ids, c, c_norm = c_ids[by_length], c[by_length], c_norm[by_length]
         turn, half = turns.value.get(d, np.eye(d)), max(1, d // 4)
-        q_turned, c_turned = q @ turn, c @ turn
-        rest = lambda x: np.sqrt((x[:, half:] ** 2).sum(1))
-        q_rest, c_rest = rest(q_turned), rest(c_turned)
+        with np.errstate(over="ignore", invalid="ignore"):
+            q_turned, c_turned = q @ turn, c @ turn
+            rest = lambda x: np.sqrt((x[:, half:] ** 2).sum(1))
+            q_rest, c_rest = rest(q_turned), rest(c_turned)
         held_ids, held = [np.zeros(0, np.int64)] * len(q), [np.zeros(0, np.int64)] * len(q)
         live = np.arange(len(q))
         for at in range(0, len(c), CHUNK):
-            slack = 1e-9 * q_norm[live] * c_norm[at] + 1e-6  # rounding of the float sums
-            live = live[q_norm[live] * c_norm[at] + slack >= least[live]]
+            live = live[_reach(q_norm[live], c_norm[at]) >= least[live]]
             if not len(live):
                 break
             stop = min(at + CHUNK, len(c))
-            bound = q_turned[live, :half] @ c_turned[at:stop, :half].T + q_rest[live, None] * c_rest[None, at:stop]
-            bound += 1e-9 * q_norm[live, None] * c_norm[at] + 1e-6
-            i, j = np.nonzero(bound >= least[live, None])
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = q_turned[live, :half] @ c_turned[at:stop, :half].T + q_rest[live, None] * c_rest[None, at:stop]
+                bound += 1e-9 * q_norm[live, None] * c_norm[at] + 1e-6
+            i, j = np.nonzero(~(bound < least[live, None]))  # a bound that is not a number rules nothing out
             i, j = live[i], j + at
             other = q_ids[i] != c_ids[j]
             i, j = i[other], j[other]
-            scores = _products(q[i], c[j])
+            scores = pair_products(q[i], c[j])
             edges = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True]))) if len(i) else np.zeros(1, int)
             for a, b in zip(edges[:-1], edges[1:]):
                 n = i[a]
                 ids, all_scores = np.concatenate((held_ids[n], c_ids[j[a:b]])), np.concatenate((held[n], scores[a:b]))
-                top = _best(ids, all_scores, k)
+                top = best(ids, all_scores, k)
                 held_ids[n], held[n] = ids[top], all_scores[top]
                 if len(top) == k:
                     least[n] = max(least[n], float(held[n][-1]))
@@ -136,18 +101,21 @@ def _cell(k: int, turns):
     return run
 
 
-def _seeded(k: int, seeds):
-    """Adds `least`: the k-th score among the longest vectors, a lower bound of the k-th score among all."""
+def _seeded(k: int, seeds, longest):
+    """Adds `least`, the k-th score among the longest vectors, a lower bound of the k-th score among all, and `upto`, the number of
+    blocks from the first one on whose longest vector could reach it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = longest.value
         for batch in batches:
-            least = []
-            for key, d, v in zip(batch.column("vec_id").to_pylist(), batch.column("dim").to_pylist(), batch.column("v")):
+            least, upto = [], []
+            for key, d, norm, v in zip(batch.column("vec_id").to_pylist(), batch.column("dim").to_pylist(), batch.column("norm").to_numpy(), batch.column("v")):
                 ids, m = seeds.value.get(d, (np.zeros(0, np.int64), None))
                 own = ids != key
-                scores = _products(m[own], np.broadcast_to(v.values.to_numpy(), m[own].shape)) if d and own.sum() >= k else np.zeros(0)
-                least.append(float(np.sort(scores)[-k]) if len(scores) >= k else None)
-            yield pa.record_batch([*batch.columns, pa.array(least, pa.float64())], names=[*batch.schema.names, "least"])
+                scores = np.sort(pair_products(m[own], np.broadcast_to(v.values.to_numpy(), m[own].shape))) if own.sum() >= k else None
+                least.append(None if scores is None else float(scores[-k]))
+                upto.append(len(norms) if scores is None else int((_reach(norm, norms) >= float(scores[-k])).sum()))
+            yield pa.record_batch([*batch.columns, pa.array(least, pa.float64()), pa.array(upto, pa.int32())], names=[*batch.schema.names, "least", "upto"])
 
     return run
 
@@ -158,27 +126,36 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, scale: int = SCALE)
     vectors: vec_id, embedding (array of numbers); other columns are ignored. Components become floor(scale * x). Rows
     with a null id, a null or empty vector, a null component, or one that is not finite, take no part. Partners have the query's number of
     dimensions and another vec_id; rows of one vec_id count once, the repeated ones being dropped if they are equal.
-    Ties go to the smaller vec_id; fewer than k partners give fewer rows. Products beyond 64 bits raise an error.
+    Ties go to the smaller vec_id; fewer than k partners give fewer rows. Products beyond 64 bits count as the nearest long.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = saved(rows.mapInArrow(_floored(scale), "vec_id long, dim int, norm double, v array<long>").dropDuplicates(["vec_id", "v"]), "vectors")
-    context = rows.sparkSession.sparkContext
+    rows = floored(vectors.select("vec_id", "embedding").where("vec_id is not null"), scale)
+    rows = saved(rows.dropDuplicates(["vec_id", "v"]), "vectors")
+    context, n = rows.sparkSession.sparkContext, rows.count()
     turns = context.broadcast(rotations(rows))
-    longest: dict[int, list] = {}
+    n_c = max(min(context.defaultParallelism, -(-n // CHUNK)), -(-n // CANDIDATE_BLOCK), 1)
+    blocks = saved(rows.repartitionByRange(n_c, F.desc("norm"), "vec_id").withColumn("cb", F.spark_partition_id()), "blocks")
+    ends = {r.cb: r.norm for r in blocks.groupBy("cb").agg(F.max("norm").alias("norm")).collect()}  # a number for each block
+    longest = np.array([ends.get(b, 0.0) for b in range(max(ends, default=-1) + 1)])
+    longest = np.maximum.accumulate(longest[::-1])[::-1]  # an empty block counts as the next one
+    longest = context.broadcast(longest)
+    of: dict[int, list] = {}
     for r in rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect():
-        longest.setdefault(r.dim, []).append(r)
-    seeds = context.broadcast({d: (np.array([r.vec_id for r in x]), np.array([r.v for r in x], np.int64).reshape(len(x), d)) for d, x in longest.items()})
-    columns = "vec_id long, dim int, norm double, v array<long>, least double"
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_seeded(k, seeds), columns)
-    queries = saved(queries, "queries")
+        of.setdefault(r.dim, []).append(r)
+    seeds = context.broadcast({d: (np.array([r.vec_id for r in x]), np.array([r.v for r in x])) for d, x in of.items()})
+    columns = "vec_id long, dim int, norm double, v array<double>, least double, upto int"
+    queries = saved(rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_seeded(k, seeds, longest), columns), "queries")
     n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_c = max(context.defaultParallelism, -(-rows.count() // CANDIDATE_BLOCK))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int")).withColumn("cb", spread(n_c))
-    right = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_c)).cast("int")).withColumn("qb", spread(n_q))
-    cells = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(_cell(k, turns), "query_id long, vec_id long, score long")
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int"))
+    left = queries.where("upto > 0").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)))
+    needed = queries.groupBy("qb").agg(F.max("upto").alias("most"))  # a row for each block of queries
+    right = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(F.broadcast(needed), "qb").where("cb < most").drop("most")
+    cells = left.drop("upto").groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInArrow(_cell(k, turns), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return cells.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = saved(cells.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    for spread in (turns, longest, seeds):
+        spread.unpersist()
+    discard(rows, blocks, queries)
+    return out
 
 
 SQL = """

@@ -28,8 +28,8 @@ def _floored(scale: int, names: list[str]):
             good = np.array(vectors.is_valid()) & (lengths > 0) & (bad[ends] == bad[ends - lengths]) & (beyond[ends] == beyond[ends - lengths])
             keep = np.flatnonzero(good)
             rows = [whole[ends[i] - lengths[i] : ends[i]] for i in keep]
-            with np.errstate(over="ignore"):
-                norms = [float(np.sqrt((x**2).sum())) for x in rows]
+            most = [max(1.0, np.abs(x).max()) for x in rows]
+            norms = [float(m * np.sqrt(((x / m) ** 2).sum())) for x, m in zip(rows, most)]
             take = pa.array(keep)
             yield pa.record_batch(
                 [*(batch.column(n).take(take) for n in names), pa.array(lengths[keep].astype(np.int32)), pa.array(norms, pa.float64()), pa.array(rows, pa.list_(pa.float64()))],
