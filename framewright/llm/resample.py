@@ -232,7 +232,7 @@ def gains(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """postings (target, block, postings) -> bucket, gain: floor(1000 ln of the target's smoothed rate over the documents')."""
     sums = postings.select("target", "block", "postings").mapInArrow(_sums, "target boolean, bucket long, n long")
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("double")
-    held = sums.groupBy("bucket").agg(count(F.col("target")).alias("t"), count(~F.col("target")).alias("s"))
+    held = saved(sums.groupBy("bucket").agg(count(F.col("target")).alias("t"), count(~F.col("target")).alias("s")), "sums")
     spark = postings.sparkSession
     every = spark.range(buckets).withColumnRenamed("id", "b").join(held, F.col("b") == F.col("bucket"), "left").select("b", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("t", F.lit(0.0)).alias("t"))
     whole = held.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("all_s"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("all_t"))
