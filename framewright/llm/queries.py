@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, negatives, pii, resample, sentences, sql, suffixes, topk, urls, warc
+from . import decontaminate, langid, mixing, negatives, pii, resample, sentences, sql, suffixes, topk, toxicity, urls, warc
 from .jaccard import shingle_components
 
 
@@ -62,6 +62,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document, learned from labels that are not held out; texts without letters score 0."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark's features, and the ranks of those drawn; null texts weigh 0."""
     return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -75,7 +80,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix, op12_resample, op13_hard_negatives,
+        op1_jaccard_join, op2_topk_search, op3_url_filter, op4_language_id, op5_warc, op6_sentence_spans, op7_suffix_dedup, op8_pii, op9_decontaminate, op10_mix, op11_toxicity, op12_resample, op13_hard_negatives,
     )
 }
 SQL: dict[str, str] = {"op2_topk_search": topk.SQL, "op3_url_filter": sql.URL_FILTER, "op5_warc": sql.WARC, "op9_decontaminate": sql.DECONTAMINATE, "op10_mix": sql.MIX, "op12_resample": resample.SQL, "op13_hard_negatives": negatives.SQL}
