@@ -1,9 +1,7 @@
-"""Trajectories of clips: integration, anchoring, smoothing, deltas and statistics, by (clip_id, frame_idx)."""
+"""Trajectories of clips: integration, anchoring, deltas and statistics, by (clip_id, frame_idx); paths.py has the least-squares paths."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,105 +61,11 @@ def shifts(rows: DataFrame, target, position: str = "position", most: float = MA
     return rows.withColumn("delta", F.least(F.greatest(d, F.lit(-most)), F.lit(most)))
 
 
-#: Frames of one dense block of the banded system.
-BLOCK = 48
-
-
-def _banded_solve(m: np.ndarray, w: np.ndarray, v: float, a: float) -> np.ndarray:
-    """Minimises sum w |p - m|^2 + v sum |first differences|^2 + a sum |second differences|^2, in time linear in the frames.
-
-    m has a row a frame and a column an axis. The five-banded system is taken as blocks that only meet at their edges: each block is
-    eliminated into the next one, then the solution is put back from the last block on.
-    """
-    n = len(m)
-    d0, d1, d2 = w.astype(float).copy(), np.zeros(n), np.zeros(n)
-    if n > 1:
-        d0[:-1] += v
-        d0[1:] += v
-        d1[:-1] -= v
-    if n > 2:
-        for i, c in enumerate((1.0, -2.0, 1.0)):
-            d0[i : n - 2 + i] += a * c * c
-        d1[: n - 2] += -2 * a
-        d1[1 : n - 1] += -2 * a
-        d2[: n - 2] += a
-    right = w[:, None] * m
-    starts = range(0, n, BLOCK)
-    solved, carry_a, carry_b = [], None, None
-    for s in starts:
-        e = min(s + BLOCK, n)
-        size = e - s
-        block = np.diag(d0[s:e]) + np.diag(d1[s : e - 1], 1) + np.diag(d1[s : e - 1], -1) + np.diag(d2[s : e - 2], 2) + np.diag(d2[s : e - 2], -2) if size > 2 else _small(d0[s:e], d1[s:e])
-        rhs = right[s:e].astype(float).copy()
-        if carry_a is not None:
-            k = min(2, size)
-            block[:k, :k] -= carry_a[:k, :k]
-            rhs[:k] -= carry_b[:k]
-        edge = np.zeros((size, 2))  # how this block's last frames meet the next block's first two
-        if e < n:
-            edge[-1, 0] = d1[e - 1]
-            if size > 1:
-                edge[-2, 0] = d2[e - 2]
-            if e + 1 < n:
-                edge[-1, 1] = d2[e - 1]
-        x = np.linalg.solve(block, np.concatenate((rhs, edge), axis=1))
-        own, across = x[:, :-2], x[:, -2:]
-        solved.append((own, across))
-        carry_a, carry_b = edge.T @ across, edge.T @ own
-    out, after = np.zeros((n, m.shape[1])), None
-    for s, (own, across) in zip(reversed(starts), reversed(solved)):
-        p = own if after is None else own - across[:, : len(after)] @ after
-        out[s : s + len(p)] = p
-        after = p[:2]
-    return out
-
-
-def _small(d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
-    block = np.diag(d0)
-    if len(d0) == 2:
-        block[0, 1] = block[1, 0] = d1[0]
-    return block
-
-
 def smoothing_sigmas(s: float) -> tuple[float, float]:
     """(data, motion) for a smoothness of 0 to 1."""
     return max(3 * (1 - s) + 50 * s, 1e-3), max(10 / max(s, 1e-3), 1e-3)
 
 
-def smooth_path(m: np.ndarray, smoothness: float, robust: bool, delta: float = 6.0, rounds: int = 100, least: float = 1e-8) -> np.ndarray:
-    """The smoothed path of the positions m (a row a frame, a column an axis).
-
-    Robust: solved again with Huber weights of the distance over all axes, until the mean move of a frame is below `least`.
-    An axis whose solution is not finite gives its input.
-    """
-    data, motion = smoothing_sigmas(smoothness)
-    weights, x = np.full(len(m), data**-2), m
-    for _ in range(rounds if robust else 1):
-        r = np.sqrt(((x - m) ** 2).sum(1))
-        far = np.isfinite(r) & (r > delta)
-        new = _banded_solve(m, weights * np.where(far, delta / np.where(far, r, 1.0), 1.0), motion**-2, motion**-2)
-        new = np.where(np.isfinite(new).all(0), new, m)
-        moved, x = np.sqrt(((new - x) ** 2).sum(1)).mean(), new
-        if moved < least:
-            break
-    return x
-
-
-def smoothed(rows: DataFrame, smoothness: float = 0.5, of: tuple[str, ...] = ("position",), robust: bool = False, delta: float = 6.0) -> DataFrame:
-    """(clip_id, frame_idx, smooth_<axis> ...): least squares of data, velocity and acceleration; robust: with Huber weights, repeated.
-
-    The axes named by `of` share their weights. A clip is one group: its rows are a few numbers a frame.
-    """
-    names = [f"smooth_{c}" for c in of]
-
-    def solve(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values("frame_idx")
-        x = smooth_path(clip[list(of)].to_numpy(float), smoothness, robust, delta)
-        return pd.DataFrame({"clip_id": clip["clip_id"].to_numpy(), "frame_idx": clip["frame_idx"].to_numpy(), **{n: x[:, i] for i, n in enumerate(names)}})
-
-    return rows.select("clip_id", "frame_idx", *of).groupBy("clip_id").applyInPandas(solve, "clip_id long, frame_idx int, " + ", ".join(f"{n} double" for n in names))
-
-
 def plot_scaled(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds y: the value scaled to its group's range of finite values, which is 0 to 1 where there is none or but one."""
     x = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import render, trajectory
+from ..operators import paths, render, trajectory
 
 
 def stabilise(tracks: DataFrame, centre: float = 480.0, mode: str = "center", smoothness: float = 0.5) -> DataFrame:
     """clip_id, frame_idx, position, target, delta. Mode center holds the object at the image's centre; smooth follows its smoothed path."""
     rows = trajectory.anchored(tracks, centre).select("clip_id", "frame_idx", "position")
     if mode == "smooth":
-        rows = rows.join(trajectory.smoothed(rows, smoothness).withColumnRenamed("smooth_position", "target"), ["clip_id", "frame_idx"])
+        rows = rows.join(paths.smoothed(rows, smoothness).withColumnRenamed("smooth_position", "target"), ["clip_id", "frame_idx"])
     else:
         rows = rows.withColumn("target", F.lit(centre))
     return trajectory.shifts(rows, F.col("target"))
@@ -23,7 +23,7 @@ def stabilise_xy(tracks: DataFrame, centre: tuple[float, float] = (480.0, 270.0)
     rows = trajectory.anchored(tracks, centre[0], to="x")
     rows = trajectory.anchored(rows, centre[1], "delta_y", "center_y", "y").select("clip_id", "frame_idx", "x", "y")
     if mode == "smooth":
-        rows = rows.join(trajectory.smoothed(rows, smoothness, ("x", "y"), robust), ["clip_id", "frame_idx"])
+        rows = rows.join(paths.smoothed(rows, smoothness, ("x", "y"), robust), ["clip_id", "frame_idx"])
     else:
         rows = rows.withColumns({"smooth_x": F.lit(centre[0]), "smooth_y": F.lit(centre[1])})
     most = trajectory.MAX_DELTA

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .functions import media as m
-from .operators import detect, media, motion, perf, render, sequence, trajectory
+from .operators import detect, media, motion, paths, perf, render, sequence, trajectory
 from .plans.stabilise import export_plan, stabilise, stabilise_xy
 from .sources import adapters as a
 
@@ -414,14 +414,68 @@ def _positions(spark, d):
     return trajectory.anchored(trajectory.anchored(a.tracks(spark, d), 480.0, to="x"), 270.0, "delta_y", "center_y", "y")
 
 
-@_add("step2_smoothed")
+#: CTEs of step 1 by elimination: rows with weights, then forward (weight and measurement from all frames so far), then back.
+def _chain(detected: float, weak: float, step: float, no_step: float) -> str:
+    measured = lambda a, c: f"(case when center_valid then center_{a} else {c}::double end - c{a})"
+    total = lambda a: f"sum(case when delta_valid then delta_{a} else 0.0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as c{a}"
+    w = f"case when center_valid then 1 / ({detected}::double * {detected}::double) else 1 / ({weak}::double * {weak}::double) end"
+    return f"""taken as (select *, {total('x')}, {total('y')} from tracks),
+  t as (select clip_id, frame_idx as i, cx, cy, {w} as w, {w} * {measured('x', 480.0)} as hx, {w} * {measured('y', 270.0)} as hy,
+    case when delta_valid then 1 / ({step}::double * {step}::double) else 1 / ({no_step}::double * {no_step}::double) end as b, max(frame_idx) over (partition by clip_id) as last from taken),
+  forward as (select clip_id, i, last, w as a, hx as gx, hy as gy, b, cx, cy from t where i = 0
+    union all select t.clip_id, t.i, t.last, t.w + f.a * t.b / (f.a + t.b), t.hx + f.gx * t.b / (f.a + t.b), t.hy + f.gy * t.b / (f.a + t.b), t.b, t.cx, t.cy from forward f join t on t.clip_id = f.clip_id and t.i = f.i + 1),
+  back as (select clip_id, i, gx / a as qx, gy / a as qy, b, cx, cy from forward where i = last
+    union all select f.clip_id, f.i, (f.gx + k.b * k.qx) / (f.a + k.b), (f.gy + k.b * k.qy) / (f.a + k.b), f.b, f.cx, f.cy from back k join forward f on f.clip_id = k.clip_id and f.i = k.i - 1)"""
+
+
+@_add("win1_sigmas", f"with recursive {TRACKS}, {_chain(10.0, 30.0, 1.0, 8.0)} select clip_id, i as frame_idx, round(qx + cx, 4) + 0.0 as x, round(qy + cy, 4) + 0.0 as y from back")
+def step1_sigmas(spark, d):
+    path, _ = paths.object_path(a.tracks(spark, d), detected=10.0, weak=30.0, step=1.0, no_step=8.0)
+    return _rounded(path, "x", "y", places=4)
+
+
+@_add("win1_robust")
+def step1_robust(spark, d):
+    return paths.object_path(a.tracks(spark, d), detected=10.0, weak=30.0, step=1.0, no_step=8.0, robust=paths.Robust())[0]
+
+
+#: CTEs of step 2 by elimination of the five-banded system of p(clip_id, frame_idx, x, y); data sigma 26.5, motion sigma 20 (smoothness 0.5).
+_SMOOTH = """n as (select clip_id, frame_idx as i, x, y, count(*) over (partition by clip_id) as n from p),
+  bands as (select clip_id, i, n, x / (26.5::double * 26.5) as rx, y / (26.5::double * 26.5) as ry,
+    1 / (26.5::double * 26.5) + (cast(i >= 1 as integer) + cast(i <= n - 2 as integer) + cast(i <= n - 3 as integer) + 4 * cast(i >= 1 and i <= n - 2 as integer) + cast(i >= 2 as integer)) / 400.0::double as d0,
+    case when i <= n - 2 then -(1 + 2 * (cast(i >= 1 and i <= n - 2 as integer) + cast(i <= n - 3 as integer))) / 400.0::double else 0.0::double end as d1, case when i <= n - 3 then 1 / 400.0::double else 0.0::double end as d2 from n),
+  f as (select clip_id, i, n, d0 as piv, 0.0::double as piv1, 0.0::double as one, 0.0::double as two, rx as yx, ry as yy, 0.0::double as yx1, 0.0::double as yy1, d1, d2, 0.0::double as d2b from bands where i = 0
+    union all select clip_id, i, n, d0 - two * d2b - across / piv * across, piv, across / piv, two, rx - across / piv * yx - two * yx1, ry - across / piv * yy - two * yy1, yx, yy, d1, d2, d2c
+    from (select b.clip_id, b.i, b.n, b.d0, b.rx, b.ry, b.d1, b.d2, f.piv, f.yx, f.yy, f.yx1, f.yy1, f.d2b, f.d2 as d2c, case when b.i >= 2 then f.d2b / f.piv1 else 0.0::double end as two, f.d1 - case when b.i >= 2 then f.d2b * f.one else 0.0::double end as across
+      from f join bands b on b.clip_id = f.clip_id and b.i = f.i + 1)),
+  g as (select clip_id, i, n, yx / piv as zx, yy / piv as zy, coalesce(lead(one) over w, 0.0::double) as one1, coalesce(lead(two, 2) over w, 0.0::double) as two2 from f window w as (partition by clip_id order by i)),
+  s as (select clip_id, i, zx as sx, zy as sy, 0.0::double as sx1, 0.0::double as sy1 from g where i = n - 1
+    union all select g.clip_id, g.i, g.zx - g.one1 * s.sx - g.two2 * s.sx1, g.zy - g.one1 * s.sy - g.two2 * s.sy1, s.sx, s.sy from s join g on g.clip_id = s.clip_id and g.i = s.i - 1)"""
+_PATH_XY = f"{_ANCHOR.replace('p as (', 'px as (')}, {_ANCHOR_Y}, p as (select clip_id, frame_idx, px.position as x, py.position as y from px join py using (clip_id, frame_idx))"
+
+
+@_add("step2_smoothed", f"with recursive {TRACKS}, {_PATH_XY}, {_SMOOTH} select clip_id, i as frame_idx, round(sx, 4) + 0.0 as smooth_x, round(sy, 4) + 0.0 as smooth_y from s")
 def step2(spark, d):
-    return trajectory.smoothed(_positions(spark, d), of=("x", "y"))
+    return _rounded(paths.smoothed(_positions(spark, d), of=("x", "y")), "smooth_x", "smooth_y", places=4)
+
+
+_LIMITED = "round(least(greatest(p.{0} - s.s{0}, -10000.0::double), 10000.0::double), 3) + 0.0 as delta_{0}"
+
+
+@_add("step3_smooth_mode", f"with recursive {TRACKS}, {_PATH_XY}, {_SMOOTH} select p.clip_id, p.frame_idx, round(p.x, 3) + 0.0 as x, round(p.y, 3) + 0.0 as y, {_LIMITED.format('x')}, {_LIMITED.format('y')} from p join s on s.clip_id = p.clip_id and s.i = p.frame_idx")
+def step3_smooth(spark, d):
+    return _rounded(stabilise_xy(a.tracks(spark, d), mode="smooth", robust=False), "x", "y", "delta_x", "delta_y", places=3)
 
 
 @_add("step2_robust")
 def robust(spark, d):
-    return trajectory.smoothed(_positions(spark, d), of=("x", "y"), robust=True)
+    return paths.smoothed(_positions(spark, d), of=("x", "y"), robust=True)
+
+
+@_add("agg15_rounds")
+def smoothing_rounds(spark, d):
+    data, motion = trajectory.smoothing_sigmas(0.5)
+    return paths.smooth(_positions(spark, d), motion, motion, data, robust=paths.Robust())[1]
 
 
 @_add("win2_running_sum", f"with {TRACKS} select clip_id, frame_idx, cast(sum(case when delta_valid then cast(delta_x as decimal(18,6)) else 0 end) over (partition by clip_id order by frame_idx rows unbounded preceding) as double) as path from tracks")

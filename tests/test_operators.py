@@ -58,35 +58,6 @@ def test_step1(spark):
         assert [r.delta for r in out] == pytest.approx(want, abs=1e-5)
 
 
-def test_smoothing_matches_a_dense_solve():
-    rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 40):
-        x, w = rng.normal(size=n), np.full(n, 0.3)
-        d1, d2 = np.diff(np.eye(n), axis=0), np.diff(np.eye(n), n=2, axis=0)
-        dense = np.linalg.solve(np.diag(w) + 0.2 * d1.T @ d1 + 0.7 * d2.T @ d2, w * x)
-        assert trajectory._banded_solve(x[:, None], w, 0.2, 0.7)[:, 0] == pytest.approx(dense, abs=1e-10)
-
-
-def test_robust_smoothing_shares_its_weights_over_both_axes(spark):
-    rng = np.random.default_rng(4)
-    for n in (1, 2, 5, 47, 48, 49, 50, 97, 130):
-        m = np.cumsum(rng.normal(size=(n, 2)), axis=0) + 40 * (rng.random((n, 2)) > 0.9)
-        d1, d2 = np.diff(np.eye(n), axis=0), np.diff(np.eye(n), n=2, axis=0)
-        data, motion = trajectory.smoothing_sigmas(0.5)
-        x = m
-        for _ in range(100):
-            r = np.hypot(*(x - m).T)
-            w = data**-2 * np.where(r <= 6, 1, 6 / np.maximum(r, 6))
-            new = np.linalg.solve(np.diag(w) + motion**-2 * (d1.T @ d1 + d2.T @ d2), w[:, None] * m)
-            moved, x = np.hypot(*(new - x).T).mean(), new
-            if moved < 1e-8:
-                break
-        assert trajectory.smooth_path(m, 0.5, True) == pytest.approx(x, abs=1e-6)
-    rows = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(m)], "clip_id long, frame_idx int, x double, y double")
-    got = trajectory.smoothed(rows, 0.5, ("x", "y"), robust=True).orderBy("frame_idx").collect()
-    assert [(r.smooth_x, r.smooth_y) for r in got] == [pytest.approx(tuple(v), abs=1e-6) for v in x]
-
-
 def test_ticks_are_rounded_to_the_nearest_nanosecond(spark):
     lit, no = F.lit, F.lit(None).cast("long")
     got = one(spark, up=m.time_ns(lit(1), no, lit(1001), lit(30000), lit(0), lit(25.0)), half=m.time_ns(lit(-1), no, lit(1), lit(2_000_000_000 // 4), lit(0), lit(25.0)), none=m.time_ns(no, no, lit(1), lit(90000), lit(1), lit(30.0)))
