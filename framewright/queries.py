@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .functions import media as m
+from .functions import pixels as px
 from .operators import detect, media, motion, paths, perf, render, sequence, trajectory
 from .plans.stabilise import export_plan, stabilise, stabilise_xy
 from .sources import adapters as a
@@ -300,6 +301,65 @@ def roi_points(spark, d):
     return moved.select("vec_id", "i", _r(F.col("p.x")).alias("x"), _r(F.col("p.y")).alias("y"))
 
 
+def _resized(image: str, w: str, h: str, to_w: str, to_h: str) -> str:
+    """A list resampled between the centres of its cells."""
+    place = lambda i, size, to: f"(({i} + 0.5::double) * (cast({size} as double) / {to}) - 0.5::double)"
+    cells = lambda i, size, to: (
+        f"cast(least(greatest(floor({place(i, size, to)}), 0), {size} - 1) as integer)",
+        f"cast(least(least(greatest(floor({place(i, size, to)}), 0), {size} - 1) + 1, {size} - 1) as integer)",
+        f"(case when floor({place(i, size, to)}) between 0 and {size} - 2 then {place(i, size, to)} - floor({place(i, size, to)}) else 0.0::double end)",
+    )
+    (x0, x1, fx), (y0, y1, fy) = cells(f"(i % ({to_w}))", w, to_w), cells(f"(i // ({to_w}))", h, to_h)
+    row = lambda y: f"({image}[{y} * {w} + {x0} + 1] * (1 - {fx}) + {image}[{y} * {w} + {x1} + 1] * {fx})"
+    return f"list_transform(range(0, ({to_w}) * ({to_h})), lambda i: {row(y0)} * (1 - {fy}) + {row(y1)} * {fy})"
+
+
+def _part(image: str, width: str, x: str, y: str, w: str, h: str) -> str:
+    return f"[{image}[cast(({y} + k // {w}) * {width} + {x} + k % {w} + 1 as integer)] for k in range(0, {w} * {h})]"
+
+
+#: Masks of 8 x 8 logits for a model input of 16 x 16 cells; sources of 20 x (10 to 14) cells, boxes inside them.
+_MASK_H, _MASK_BOX = "(10 + vec_id % 5)", ("(vec_id % 4)", "(vec_id % 3)", "(5 + vec_id % 9)", "(3 + vec_id % 5)")
+
+
+@_add("prj11_mask_chain", f"""with s as (select vec_id, 20 as src_w, {_MASK_H} as src_h, list_transform(embedding, lambda v: case when v >= 0 then 1 / (1 + exp(-abs(cast(v as double) * 9))) else exp(-abs(cast(v as double) * 9)) / (1 + exp(-abs(cast(v as double) * 9))) end) as share,
+    cast(floor({_MASK_H} * 0.8::double + 0.5) as integer) as new_h from embeddings),
+  a as (select *, (16 - new_h) // 2 as pad_y, {_resized('share', '8', '8', '16', '16')} as whole from s), b as (select *, {_part('whole', '16', '0', 'pad_y', '16', 'new_h')} as bare from a),
+  c as (select *, list_transform({_resized('bare', '16', 'new_h', 'src_w', 'src_h')}, lambda v: case when v >= 0.5 then 255 else 0 end) as bin from b)
+  select vec_id, array_to_string({_part('bin', 'src_w', *_MASK_BOX)}, ',') as mask, cast(list_sum(list_transform(bin, lambda v: v // 255)) as bigint) as bright from c""")
+def mask_chain(spark, d):
+    v = F.col("vec_id")
+    src_w, src_h = F.lit(20), (10 + v % 5).cast("int")
+    box = g.letterbox(src_w, src_h, 16, 16)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 9)
+    x, y, w, h = ((v % 4).cast("int"), (v % 3).cast("int"), (5 + v % 9).cast("int"), (3 + v % 5).cast("int"))
+    rows = a.table(spark, d, "embeddings").select("vec_id", px.mask(logits, 8, 8, 16, box, src_w, src_h, x, y, w, h).alias("part"), px.mask(logits, 8, 8, 16, box, src_w, src_h, F.lit(0), F.lit(0), src_w, src_h).alias("whole"))
+    return rows.select("vec_id", F.array_join("part", ",").alias("mask"), F.size(F.filter("whole", lambda c: c == 255)).cast("long").alias("bright"))
+
+
+def _blitted(image: str, w: int, h: int, c: int) -> str:
+    """A list of 10 x 9 cells of c channels, 16 where the image put at (ax, ay) does not reach."""
+    weight = lambda at: f"cast(least(greatest(floor((ceil({at}) - {at}) * 256 + 0.5), 0), 256) as bigint)"
+    x, y = f"((i // {c}) % 10)", f"(i // {10 * c})"
+    near = lambda v, at, size: f"cast(least(greatest({v} - ceil({at}), 0), {size} - 1) as integer)"
+    cell = lambda dy, dx: f"cast({image}[(least({near(y, 'ay', h)} + {dy}, {h - 1}) * {w} + least({near(x, 'ax', w)} + {dx}, {w - 1})) * {c} + i % {c} + 1] as bigint)"
+    row = lambda dy: f"({cell(dy, 0)} * (256 - {weight('ax')}) + {cell(dy, 1)} * {weight('ax')})"
+    inside = f"{x} >= greatest(0, ceil(ax)) and {x} <= least(9, floor(ax + {w - 1})) and {y} >= greatest(0, ceil(ay)) and {y} <= least(8, floor(ay + {h - 1}))"
+    return f"array_to_string(list_transform(range(0, {90 * c}), lambda i: case when {inside} then ({row(0)} * (256 - {weight('ay')}) + {row(1)} * {weight('ay')} + 32768) >> 16 else 16 end), ',')"
+
+
+@_add("prj19_blit", f"""with p as (select vec_id, (vec_id % 37) / 8.0::double - 2.3::double as ax, (vec_id % 23) / 5.0::double - 1.7::double as ay,
+    list_transform(embedding, lambda v: cast(floor((cast(v as double) + 1) * 127) as integer)) as low, list_transform(embedding, lambda v: cast(floor((cast(v as double) + 1) * 511) as integer) * 64) as high from embeddings)
+  select vec_id, {_blitted('low', 8, 8, 1)} as luma, {_blitted('high', 8, 8, 1)} as luma_p010, {_blitted('high', 8, 4, 2)} as chroma_p010 from p""")
+def blitted(spark, d):
+    v = F.col("vec_id")
+    at = ((v % 37) / F.lit(8.0) - 2.3, (v % 23) / F.lit(5.0) - 1.7)
+    low = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).cast("int"))
+    high = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 511).cast("int") * 64)
+    put = lambda plane, h, c: F.array_join(px.blit(plane, 8, h, F.array_repeat(F.lit(16), 90 * c), 10, 9, *at, channels=c), ",")
+    return a.table(spark, d, "embeddings").select("vec_id", put(low, 8, 1).alias("luma"), put(high, 8, 1).alias("luma_p010"), put(high, 4, 2).alias("chroma_p010"))
+
+
 @_add("flt3_valid_flows", f"with {FLOWS} select frame_idx, pt_id from flows where pt_id % 5 <> 0 and dx + 1 >= 0 and dx + 1 < 2 and dy + 1 >= 0 and dy + 1 < 2")
 def flt3(spark, d):
     f = a.flows(spark, d).select("frame_idx", "pt_id", (F.col("pt_id") % 5 != 0).alias("status"), (F.col("dx") + 1).alias("x1"), (F.col("dy") + 1).alias("y1"))
