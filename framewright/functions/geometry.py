@@ -23,7 +23,9 @@ def proxy_size(width: Column, height: Column, longest: int = 1080) -> tuple[Colu
 
 
 def letterbox(width: Column, height: Column, to_w: int = 640, to_h: int = 640) -> dict[str, Column]:
-    scale = F.least(F.lit(float(to_w)) / width, F.lit(float(to_h)) / height)
+    """A null scale, and null sizes, for an image without width or height."""
+    scale = F.least(F.try_divide(F.lit(float(to_w)), F.when(width > 0, width)), F.try_divide(F.lit(float(to_h)), F.when(height > 0, height)))
+    scale = F.when((width > 0) & (height > 0), scale)
     w, h = F.floor(width * scale + 0.5).cast("int"), F.floor(height * scale + 0.5).cast("int")
     half = lambda room: F.floor((room) / 2).cast("int")
     return {"scale": scale, "new_w": w, "new_h": h, "pad_x": half(F.lit(to_w) - w), "pad_y": half(F.lit(to_h) - h)}
@@ -86,7 +88,8 @@ def huber_weight(residual: Column, delta: float = 6.0) -> Column:
 
 
 def source_shift(delta: Column, source: Column, proxy: Column) -> Column:
-    return -delta * (source.cast("double") / proxy)
+    """Null where the proxy has no size."""
+    return -delta * F.try_divide(source.cast("double"), proxy)
 
 
 def blend_weights(offset: Column) -> tuple[Column, Column]:
@@ -105,10 +108,24 @@ def blend(near: Column, far: Column, w_near: Column, w_far: Column) -> Column:
 
 
 def fit_into(width: Column, height: Column, box_w: Column, box_h: Column) -> dict[str, Column]:
-    """The largest centred rectangle of the image's shape in a box."""
-    scale = F.least(box_w / width, box_h / height)
+    """The largest centred rectangle of the image's shape in a box; all 0 for an image without width or height."""
+    there = (width > 0) & (height > 0)
+    scale = F.least(F.try_divide(box_w, width), F.try_divide(box_h, height))
     w, h = width * scale, height * scale
-    return {"x": (box_w - w) / 2, "y": (box_h - h) / 2, "w": w, "h": h}
+    sides = {"x": (box_w - w) / 2, "y": (box_h - h) / 2, "w": w, "h": h}
+    return {k: F.when(there, v).otherwise(0.0) for k, v in sides.items()}
+
+
+def clicked(x: Column, y: Column, shown: dict[str, Column]) -> dict[str, Column]:
+    """A click as parts of the image's width and height, 0 to 1, where `shown` (fit_into) is drawn; null beside it."""
+    inside = (shown["w"] > 0) & (shown["h"] > 0) & x.between(shown["x"], shown["x"] + shown["w"]) & y.between(shown["y"], shown["y"] + shown["h"])
+    part = lambda v, start, size: F.when(inside, clamp(F.try_divide(v - start, size), 0.0, 1.0))
+    return {"x": part(x, shown["x"], shown["w"]), "y": part(y, shown["y"], shown["h"])}
+
+
+def in_widget(x: Column, y: Column, shown: dict[str, Column], width: Column, height: Column) -> dict[str, Column]:
+    """A point of the image where it is drawn; null for an image without width or height."""
+    return {"x": shown["x"] + x * F.try_divide(shown["w"], width), "y": shown["y"] + y * F.try_divide(shown["h"], height)}
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -116,9 +133,17 @@ def rational(num: Column, den: Column) -> Column:
 
 
 def frame_bytes(pixel_format: Column, width: Column, height: Column) -> Column:
-    """Bytes of a frame; unknown formats give null. Samples per pixel are fixed values."""
-    n = width.cast("long") * height
-    return F.when(pixel_format.isin("yuv420p", "nv12"), F.floor(n * 3 / 2)).when(pixel_format.isin("yuv420p10", "p010"), n * 3).when(pixel_format == "bgr24", n * 3).cast("long")
+    """Bytes of a frame; 0 without width or height. A format that is not known counts as one of 12 bits a pixel."""
+    w, h = width.cast("long"), height.cast("long")
+    n, half_w, half_h = w * h, F.floor((w + 1) / 2), F.floor((h + 1) / 2)
+    known = [  # bytes by format, fixed
+        (("yuv420p10", "p010", "rgb24", "bgr24", "yuv444p"), n * 3), (("rgba", "bgra", "argb", "abgr"), n * 4), (("gray",), n), (("gray10", "gray16"), n * 2),
+        (("nv12", "nv21"), n + half_w * half_h * 2), (("yuv422p",), n + half_w * h * 2),
+    ]
+    size = F.floor(n * 3 / 2)
+    for names, own in known:
+        size = F.when(pixel_format.isin(*names), own).otherwise(size)
+    return F.when((w > 0) & (h > 0), size).otherwise(0).cast("long")
 
 
 def black_level(pixel_format: Column) -> tuple[Column, Column]:
@@ -129,9 +154,10 @@ def black_level(pixel_format: Column) -> tuple[Column, Column]:
 
 
 def input_edge(shape_edge: Column, values: Column) -> Column:
-    """A model's square input edge: its shape's, else the root of a third of the value count where that is whole, else null."""
-    root = F.round(F.sqrt(values / 3)).cast("int")
-    return F.when(shape_edge > 0, shape_edge).when(root * root * 3 == values, root).cast("int")
+    """A model's square input edge: its shape's, else the root of a third of the value count, rounded down, where that is whole, else null."""
+    plane = F.floor(values / 3)
+    root = F.round(F.sqrt(F.greatest(plane, F.lit(0)))).cast("long")
+    return F.when(shape_edge > 0, shape_edge).when((values >= 0) & (root * root == plane), root).cast("int")
 
 
 def first_supported(preferred: list[str], available: Column) -> Column:

@@ -15,13 +15,15 @@ def frame_rate(average: Column, real: Column, frames: Column, seconds: Column) -
 def time_ns(best: Column, pts: Column, num: Column, den: Column, index: Column, fps: Column) -> Column:
     """Best-effort timestamp, else pts, in units of num / den seconds, else index / fps; as whole nanoseconds.
 
-    Ticks are rounded to the nearest nanosecond, halves away from zero; index / fps is truncated.
+    Ticks are rounded to the nearest nanosecond, halves away from zero; index / fps is truncated. Units that are not positive
+    count as none, and without a positive fps either the time is 0.
     """
-    ticks = F.coalesce(best, pts)
-    twice = F.abs(ticks).cast("decimal(18,0)") * num.cast("decimal(9,0)") * F.lit(2_000_000_000).cast("decimal(10,0)") + den.cast("decimal(9,0)")
-    half = (twice - twice % (den * 2).cast("decimal(10,0)")) / (den * 2).cast("decimal(10,0)")
+    ticks = F.when((num > 0) & (den > 0), F.coalesce(best, pts))
+    unit = F.when(den > 0, den).otherwise(1).cast("long")
+    twice = F.abs(ticks).cast("decimal(18,0)") * num.cast("decimal(9,0)") * F.lit(2_000_000_000).cast("decimal(10,0)") + unit.cast("decimal(10,0)")
+    half = (twice - twice % (unit * 2).cast("decimal(10,0)")) / (unit * 2).cast("decimal(10,0)")
     exact = (F.signum(ticks).cast("long") * half.cast("long")).cast("long")
-    return F.coalesce(exact, (index / fps * 1e9).cast("long"))
+    return F.coalesce(exact, (F.try_divide(index, F.when(fps > 0, fps)) * 1e9).cast("long"), F.lit(0).cast("long"))
 
 
 def stem(path: Column) -> Column:
@@ -31,12 +33,14 @@ def stem(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
+    """Null for a bare name; a file at the root lies in the root."""
     folder = F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1)
-    return F.when(folder != "", folder)
+    return F.when(folder != "", folder).when(path.rlike(r"^[/\\]"), F.substring(path, 1, 1))
 
 
 def with_mp4(path: Column) -> Column:
-    p = F.trim(path)
+    """Without white space at either end."""
+    p = F.regexp_replace(path, r"^\s+|\s+$", "")
     return F.when((p == "") | F.lower(p).endswith(".mp4"), p).otherwise(F.concat(p, F.lit(".mp4")))
 
 

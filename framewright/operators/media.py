@@ -20,10 +20,15 @@ def interleaved(video: DataFrame, audio: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(w) - 1)
 
 
-def monotonic(packets: DataFrame, stamp: str = "dts", order: str = "pkt_id") -> DataFrame:
-    """Adds `safe`: the running maximum of the stamp within a stream of a clip."""
+def monotonic(packets: DataFrame, stamp: str = "dts", order: str = "pkt_id", shown: str | None = None) -> DataFrame:
+    """Adds `safe`: the running maximum of the stamp within a stream of a clip; with `shown`, the stamp of presentation, also `safe_shown`.
+
+    A presentation stamp below the decoding stamp is raised to it where the latter was raised, and is left alone elsewhere.
+    """
     w = Window.partitionBy("clip_id", "stream_rank").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return packets.withColumn("safe", F.max(stamp).over(w))
+    out = packets.withColumn("safe", F.max(stamp).over(w))
+    raised = F.col(stamp) < F.col("safe")
+    return out.withColumn("safe_shown", F.when(raised, F.greatest(shown, "safe")).otherwise(F.col(shown))) if shown else out
 
 
 def chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import media as m
 from .functions import pixels as px
-from .operators import detect, media, motion, paths, perf, render, sequence, trajectory
+from .operators import detect, media, motion, paths, perf, render, select, sequence, trajectory
 from .plans.stabilise import export_plan, stabilise, stabilise_xy
 from .sources import adapters as a
+from .sources import plots
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -107,29 +108,31 @@ _SCALARS["prj15_20_render"] = ("events", ('event_id',), {
     "last": 'cast(least(99, floor(value - 50.0 + 63)) as integer)',
     "mixed": f'cast(((200 * (256 - {_far}) + 40 * {_far}) * 256 + 32768) >> 16 as integer)',
 })
-_sfmt = "(['yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray'])[p_partkey % 5 + 1]"
+_sfmt = "(['yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray', 'odd'])[p_partkey % 6 + 1]"
+_splane = "((p_size * p_size * 3 + p_partkey % 5 - 1) // 3)"
 _fs = f'least(800.0::double / {_SW}, 600.0::double / {_SH})'
 _SCALARS["prj20_31_formats"] = ("part", ('p_partkey',), {
-    "frame_bytes": f"cast(case when {_sfmt} = 'yuv420p' then floor(cast({_SW} as bigint) * {_SH} * 3 / 2) when {_sfmt} <> 'gray' then cast({_SW} as bigint) * {_SH} * 3 end as bigint)",
+    "frame_bytes": f"cast(case when p_partkey % 7 = 0 then 0 when {_sfmt} in ('yuv420p', 'odd') then cast({_SW} as bigint) * {_SH} * 3 // 2 when {_sfmt} = 'gray' then cast({_SW} as bigint) * {_SH} else cast({_SW} as bigint) * {_SH} * 3 end as bigint)",
     "luma": f"case {_sfmt} when 'p010' then 4096 when 'yuv420p10' then 64 else 16 end",
     "chroma": f"case {_sfmt} when 'p010' then 32768 when 'yuv420p10' then 512 else 128 end",
     "fit_x": f'round((800 - {_SW} * {_fs}) / 2, 6) + 0.0::double',
     "fit_h": f'round({_SH} * {_fs}, 6)',
     "rate": 'round(case when p_size = 0 or p_partkey % 7 = 0 then 0.0::double else p_size * 1000.0::double / (p_partkey % 7) end, 6)',
-    "edge": 'cast(case when p_partkey % 2 = 0 and p_size > 0 then p_size when p_partkey % 3 > 0 then p_size end as integer)',
+    "edge": f"cast(case when p_partkey % 2 = 0 and p_size > 0 then p_size when cast(round(sqrt({_splane})) as bigint) * cast(round(sqrt({_splane})) as bigint) = {_splane} then round(sqrt({_splane})) end as integer)",
     "encoder": "case p_partkey % 3 when 0 then 'h264' when 1 then 'hevc' end",
     "copy_w": f'cast(greatest(0, least(p_size - 20 + {_SW}, 1280) - greatest(p_size - 20, 0)) as integer)',
     "copy_h": f'cast(greatest(0, least(p_size - 25 + {_SH}, 720) - greatest(p_size - 25, 0)) as integer)',
 })
 _SCALARS["src7_8_clip_times"] = ("part", ('p_partkey',), {
     "fps": 'round(cast(coalesce(case when p_partkey % 3 = 0 and p_size > 0 then p_size end, case when p_partkey % 5 = 0 then 25.0 end, case when p_size > 1 and (p_partkey - 1) > 0 then (p_partkey - 1)::double / (p_size - 1) end, 30.0) as double), 6)',
-    "time_ns": 'cast(coalesce(case when p_partkey % 2 = 0 then (p_partkey::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 when p_partkey % 3 = 0 then ((p_partkey + 1)::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 end, trunc(p_partkey / 25.0::double * 1e9::double)) as bigint)',
+    "time_ns": 'cast(coalesce(case when p_partkey % 7 = 0 then null when p_partkey % 2 = 0 then (p_partkey::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 when p_partkey % 3 = 0 then ((p_partkey + 1)::hugeint * 2 * 1001 * 1000000000 + 30000) // 60000 end, case when p_partkey % 11 = 0 then 0 else trunc(p_partkey / 25.0::double * 1e9::double) end) as bigint)',
 })
 _sp = "('/media/' || p_brand || case p_partkey % 3 when 0 then '/clip.MP4' when 1 then '/take.one.mov' else '/raw' end)"
 _SCALARS["strf1_6_names"] = ("part", ('p_partkey',), {
     "stem": "case p_partkey % 3 when 0 then 'clip' when 1 then 'take.one' else 'raw' end",
     "parent": "'/media/' || p_brand",
     "named": f"case when lower({_sp}) like '%.mp4' then {_sp} else {_sp} || '.mp4' end",
+    "root": "case p_partkey % 3 when 0 then '/' when 1 then '/a' end",
     "export": "coalesce(case when p_partkey % 2 = 0 then p_brand end, 'output') || '_export.mp4'",
     "number": "case when length(p_partkey::varchar) >= 6 then p_partkey::varchar else lpad(p_partkey::varchar, 6, '0') end",
     "bps": 'cast(p_size * 1000000 as bigint)',
@@ -208,18 +211,18 @@ def _scalar_columns() -> dict:
         "last": _s1,
         "mixed": F.shiftright(g.blend(F.lit(200), F.lit(40), _w0, _w1) * 256 + 32768, 16),
     }
-    _fmt = F.element_at(F.array(*map(F.lit, ('yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray'))), (P % 5 + 1).cast('int'))
+    _fmt = F.element_at(F.array(*map(F.lit, ('yuv420p', 'p010', 'yuv420p10', 'bgr24', 'gray', 'odd'))), (P % 6 + 1).cast('int'))
     _luma, _chroma = g.black_level(_fmt)
     _fit = g.fit_into(_W, _H, F.lit(800), F.lit(600))
     _cr = g.copy_rectangle(S - 20, S - 25, _W, _H, F.lit(1280), F.lit(720))
     out["prj20_31_formats"] = {
-        "frame_bytes": g.frame_bytes(_fmt, _W, _H),
+        "frame_bytes": g.frame_bytes(_fmt, F.when(P % 7 == 0, -8).otherwise(_W), _H),
         "luma": _luma,
         "chroma": _chroma,
         "fit_x": _r(_fit['x']),
         "fit_h": _r(_fit['h']),
         "rate": _r(g.rational(S * 1000, P % 7)),
-        "edge": g.input_edge(F.when(P % 2 == 0, S), S * S * 3 + F.when(P % 3 == 0, 1).otherwise(0)),
+        "edge": g.input_edge(F.when(P % 2 == 0, S), S * S * 3 + P % 5 - 1),
         "encoder": g.first_supported(['av1', 'hevc', 'h264'], F.when(P % 3 == 0, F.array(F.lit('h264'))).when(P % 3 == 1, F.array(F.lit('h264'), F.lit('hevc'))).otherwise(F.array(F.lit('vp8')))),
         "copy_w": _cr['w'],
         "copy_h": _cr['h'],
@@ -227,13 +230,14 @@ def _scalar_columns() -> dict:
     _fps = m.frame_rate(F.when(P % 3 == 0, S.cast('double')), F.when(P % 5 == 0, F.lit(25.0)), P, (S - 1).cast('double'))
     out["src7_8_clip_times"] = {
         "fps": _r(_fps),
-        "time_ns": m.time_ns(F.when(P % 2 == 0, P), F.when(P % 3 == 0, P + 1), F.lit(1001), F.lit(30000), P, F.lit(25.0)),
+        "time_ns": m.time_ns(F.when(P % 2 == 0, P), F.when(P % 3 == 0, P + 1), F.lit(1001), F.when(P % 7 == 0, 0).otherwise(30000), P, F.when(P % 11 == 0, 0.0).otherwise(25.0)),
     }
     _path = F.concat(F.lit('/media/'), F.col('p_brand'), F.when(P % 3 == 0, '/clip.MP4').when(P % 3 == 1, '/take.one.mov').otherwise('/raw'))
     out["strf1_6_names"] = {
         "stem": m.stem(_path),
         "parent": m.parent(_path),
-        "named": m.with_mp4(_path),
+        "named": m.with_mp4(F.when(P % 4 == 0, F.concat(F.lit("\t "), _path, F.lit(" \n"))).otherwise(_path)),
+        "root": m.parent(F.when(P % 3 == 0, F.lit("/a")).when(P % 3 == 1, F.lit("/a/b")).otherwise(F.lit("a"))),
         "export": m.export_name(F.when(P % 2 == 0, F.col('p_brand'))),
         "number": m.padded(P),
         "bps": m.to_bps(S),
@@ -390,6 +394,58 @@ def seek(spark, d):
     return a.tracks(spark, d, clip_id=7).where("frame_idx = 3").select("clip_id", "frame_idx", "delta_x")
 
 
+@_add("src5_seek_landed", f"""with {TRACKS}, f as (select * from tracks where frame_idx % 4 <> 3 and frame_idx > 1), c as (select clip_id, max(frame_idx) + 1 as total, min(frame_idx) as head from f group by all),
+  w as (select user_id as clip_id, event_id, event_id % 260 - 30 as want from events where event_id % 3 = 0),
+  k as (select w.*, cast(greatest(0, least(want, total - 1)) as bigint) as asked, head from w left join c using (clip_id)),
+  l as (select k.*, coalesce((select max(f.frame_idx) from f where f.clip_id = k.clip_id and f.frame_idx <= k.asked), head) as landed from k)
+  select l.clip_id, event_id, want, asked, landed, round(f.delta_x, 6) + 0.0 as delta_x from l left join f on f.clip_id = l.clip_id and f.frame_idx = l.landed""")
+def seek_landed(spark, d):
+    frames = a.tracks(spark, d).where("frame_idx % 4 <> 3 and frame_idx > 1").select("clip_id", "frame_idx", "delta_x")
+    wanted = a.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("clip_id"), "event_id", (F.col("event_id") % 260 - 30).alias("want"))
+    there = select.seek(wanted, frames.select("clip_id", "frame_idx"), block=16)
+    return there.join(frames.withColumnRenamed("frame_idx", "landed"), ["clip_id", "landed"], "left").select("clip_id", "event_id", "want", "asked", "landed", _r(F.col("delta_x")).alias("delta_x"))
+
+
+_SHOWN = "least(800.0::double / 100, 600.0::double / (60 + event_id % 50))"
+
+
+@_add("prj22_jn7_clicks", f"""with {DETS}, s as (select event_id as click_id, event_id + 1 as frame_idx, 60 + event_id % 50 as img_h, {_SHOWN} as s, value * 8 as cx, cast(regexp_extract(props, '([0-9]+)', 1) as double) * 6 as cy from events),
+  p as (select *, (cx - (800 - 100 * s) / 2) / (100 * s) as nx, (cy - (600 - img_h * s) / 2) / (img_h * s) as ny from s), q as (select click_id, frame_idx, case when nx between 0 and 1 and ny between 0 and 1 then nx * 100 end as x, case when nx between 0 and 1 and ny between 0 and 1 then ny * img_h end as y from p)
+  select click_id, q.frame_idx, round(x, 6) as x, round(y, 6) as y, arg_min(det_id, (-score, det_id)) as det_id, count(det_id) as hits
+  from q left join dets on dets.frame_idx = q.frame_idx and x between x1 and x2 and y between y1 and y2 group by all""")
+def clicks(spark, d):
+    e = a.table(spark, d, "events")
+    w, h = F.lit(100), 60 + F.col("event_id") % 50
+    at = g.clicked(F.col("value") * 8, F.regexp_extract("props", "([0-9]+)", 1).cast("double") * 6, g.fit_into(w, h, F.lit(800.0), F.lit(600.0)))
+    made = e.select(F.col("event_id").alias("click_id"), (F.col("event_id") + 1).alias("frame_idx"), (at["x"] * w).alias("x"), (at["y"] * h).alias("y"))
+    return _rounded(select.hit_boxes(made, a.dets(spark, d), ["frame_idx"], cell=16), "x", "y")
+
+
+@_add("agg13_detections", f"with {DETS} select frame_idx, count(*) as n, count(*) filter (class_id = 1) as of_class, count(*) filter (class_id = 1 and score >= 30000) as wanted from dets group by frame_idx")
+def detections(spark, d):
+    of = F.col("class_id") == 1
+    return a.dets(spark, d).groupBy("frame_idx").agg(F.count("*").alias("n"), F.count_if(of).alias("of_class"), F.count_if(of & (F.col("score") >= 30000)).alias("wanted"))
+
+
+@_add("flt9_with_detection", f"with {DETS} select event_id as frame_idx from events where exists (select 1 from dets where dets.frame_idx = event_id and score >= 30000)")
+def with_detection(spark, d):
+    seen = a.dets(spark, d).where("score >= 30000").select("frame_idx")
+    return a.table(spark, d, "events").select(F.col("event_id").alias("frame_idx")).join(seen, "frame_idx", "left_semi")
+
+
+def _curve(name: str, value: str) -> str:
+    return f"select clip_id, frame_idx, '{name}' as curve, {value} as v from tracks"
+
+
+@_add("snk3_plot_points", f"""with {TRACKS}, v as ({_curve('object', 'center_x')} union all {_curve('target', "50.0::double")} union all {_curve('delta', 'delta_x')}),
+  e as (select clip_id, min(frame_idx) as x0, max(frame_idx) as x1, min(v) as y0, max(v) as y1 from v group by all),
+  w as (select clip_id, case when x0 < x1 then x0 else 0 end as x0, case when x0 < x1 then x1 else 1 end as x1, case when y0 < y1 then y0 else 0.0 end as y0, case when y0 < y1 then y1 else 1.0 end as y1 from e)
+  select clip_id, curve, frame_idx, round(60 + (frame_idx - x0) / (x1 - x0)::double * 1120, 4) as px, round(40 + (1 - (v - y0) / (y1 - y0)) * 340, 4) as py from v join w using (clip_id)""")
+def plotted(spark, d):
+    rows = a.tracks(spark, d).withColumn("target", F.lit(50.0))
+    return _rounded(plots.plot_points(rows, {"object": "center_x", "target": "target", "delta": "delta_x"}), "px", "py", places=4)
+
+
 @_add("agg3_jn5_nms", f"""with recursive {DETS}, o as (select *, row_number() over (partition by frame_idx order by score desc, det_id) as r from dets), walk as (
   select frame_idx, r, [det_id] as kept, [{{'c': class_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] as boxes from o where r = 1
   union all select o.frame_idx, o.r, case when k then list_append(kept, det_id) else kept end, case when k then list_append(boxes, {{'c': o.class_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) else boxes end
@@ -684,6 +740,11 @@ def monotonic(spark, d):
     return media.monotonic(a.packets(spark, d)).select("clip_id", "pkt_id", "safe")
 
 
+@_add("win5_raised_stamps", f"with {PACKETS}, m as (select clip_id, pkt_id, dts, ts_us, max(dts) over (partition by clip_id, stream_rank order by pkt_id rows unbounded preceding) as safe from packets) select clip_id, pkt_id, safe, case when dts < safe then greatest(ts_us, safe) else ts_us end as safe_shown from m")
+def raised(spark, d):
+    return media.monotonic(a.packets(spark, d), shown="ts_us").select("clip_id", "pkt_id", "safe", "safe_shown")
+
+
 @_add("str10_chunks", "select clip_id, chunk, count(*) as n, 64 - count(*) as padding from (select user_id as clip_id, cast(floor((row_number() over (partition by user_id order by event_id) - 1) / 64) as integer) as chunk from events) group by all")
 def chunked(spark, d):
     return media.chunks(a.table(spark, d, "events").select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("sample_idx")), 64)
