@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -29,8 +28,3 @@ def fan_out(stream: DataFrame, receivers: dict[str, Callable[[DataFrame, int], N
         query.awaitTermination()
         finished()
     return query
-
-
-def on_time(frames: DataFrame, stamp: str, late: str) -> DataFrame:
-    """A stream's rows behind a watermark: rows that are `late` (an interval) behind the newest are dropped by stateful steps and counted as lost."""
-    return frames.withWatermark(stamp, late).dropDuplicatesWithinWatermark(["clip_id", "frame_idx"]).withColumn("published", F.col(stamp))
