@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, saved, unused
+from .storage import bounded, discard, named, saved, unused
 from .textarrays import U64, Words, mix, slices
 
 WINDOW, SHINGLE = 10, 5
@@ -185,46 +185,53 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     for b in range(blocks):  # one block unless the benchmark is very large
         own = shingles.where(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
         rows = _arrow_rows(own)
-        values = np.sort(np.unique(rows.column("shingle").to_numpy())).view(np.int64)
-        values = np.sort(values.view(np.uint64))
+        values = np.sort(np.unique(rows.column("shingle").to_numpy()).view(np.uint64))
         if not len(values):
             continue
         ks = sorted({int(k) for k in np.unique(rows.column("k").to_numpy())})
-        got = docs.select("text").mapInArrow(_frequencies(context.broadcast(values), ks), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("seen"))
+        held = context.broadcast(values)
+        got = docs.select("text").mapInArrow(_frequencies(held, ks), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("seen"))
+        got = saved(got, "shingle-counts")
+        held.unpersist()
         counted = got if counted is None else counted.union(got)
     if counted is None:
-        return docs.mapInArrow(_scan(context.broadcast(_block([], shingle)), names), _schema(docs, names))
-    ranked = parts.join(saved(counted, "shingle-counts"), "shingle")  # a shingle that the corpus lacks rules its windows out
+        return docs.mapInArrow(_scan(context.broadcast(_block(None, shingle)), names), _schema(docs, names))
+    ranked = parts.join(counted, "shingle")  # a shingle that the corpus lacks rules its windows out
     needed = parts.groupBy("item", "n", "whole").agg(F.count_distinct("shingle").alias("all"))
     prefixes = ranked.groupBy("item", "n", "whole").agg(F.min(F.struct("seen", "shingle", "place")).alias("p"), F.count_distinct("shingle").alias("there"))
     prefixes = prefixes.join(needed.select(F.col("item").alias("i"), F.col("n").alias("m"), F.col("whole").alias("w"), "all"), F.col("item").eqNullSafe(F.col("i")) & (F.col("n") == F.col("m")) & (F.col("whole") == F.col("w")))
     prefixes = saved(prefixes.where("there = all").select("item", "n", "whole", F.col("p.shingle").alias("prefix"), F.col("p.place").alias("place")), "prefixes")
-    out = docs
+    discard(parts, shingles, counted)
+    out, held, before = docs, None, None
     blocks = max(1, -(-prefixes.count() // block_windows))
     for b in range(blocks):
-        rows = _arrow_rows(prefixes.where(F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == b)).to_pylist()
-        out = out.mapInArrow(_scan(context.broadcast(_block(rows, shingle)), names), _schema(docs, names))
+        if held is not None:  # a further block: what the last one hit is written and its windows are let go, so memory does not grow with the benchmark
+            written = saved(out, "hits")
+            held.unpersist()
+            if before is not None:
+                discard(before)
+            out = before = written
+        held = context.broadcast(_block(_arrow_rows(prefixes.where(F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == b)), shingle))
+        out = out.mapInArrow(_scan(held, names), _schema(docs, names))
+    discard(prefixes)
     return out
 
 
 def _schema(docs: DataFrame, names: tuple[str, ...]) -> str:
-    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    own = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema)
     return own + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "array<int>", "array<string>")))
 
 
-def _block(rows: list[dict], shingle: int) -> dict:
-    rows = sorted(rows, key=lambda r: (r["prefix"] & (2**64 - 1), r["n"], r["whole"], r["item"] or ""))
-    column = lambda c, t: np.array([r[c] for r in rows], t)
-    n = column("n", np.int64)
-    items = sorted({r["item"] for r in rows if r["item"] is not None})
-    codes = {x: i for i, x in enumerate(items)}
+def _block(rows: pa.Table | None, shingle: int) -> dict:
+    """Windows in order of their prefix, as arrays: 32 bytes each, and the names of their items."""
+    number = lambda c, t=np.int64: np.zeros(0, t) if rows is None else rows.column(c).to_numpy().astype(t, copy=False)
+    prefix, whole, n = number("prefix").view(np.uint64), number("whole").view(np.uint64), number("n")
+    items = pa.array([], pa.string()) if rows is None else rows.column("item").combine_chunks()
+    coded = items.dictionary_encode()
+    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((code, whole, n, prefix))
     return {
-        "prefix": column("prefix", np.int64).view(np.uint64) if rows else np.array([0], np.uint64)[:0].copy(),
-        "whole": column("whole", np.int64).view(np.uint64),
-        "place": column("place", np.int64),
-        "n": n,
-        "names": items,
-        "code": np.array([codes.get(r["item"], -1) for r in rows], np.int64),
+        "prefix": prefix[order], "whole": whole[order], "place": number("place")[order], "n": n[order], "names": coded.dictionary.to_pylist(), "code": code[order],
         "sizes": _sizes_of(n, shingle),
     }
 
@@ -244,6 +251,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and wordless texts stay; repeated rows go or stay together; an empty table or benchmark drops nothing.
     """
     names = tuple(unused(docs, "n", "hits", "items"))
-    return scan(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*docs.columns)
+    return scan(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*named(docs.columns))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved, unused
+from .storage import named, saved, unused
 
 #: Weights of the sources in code point order, repeating; fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -97,6 +97,11 @@ def _quota(blocks: int) -> Column:
     return F.ceil(F.when(F.col("all_target") > 0, F.col("target") * blocks / F.col("all_target")).otherwise(0)).cast("int")
 
 
+def _order(seed: int, level: int) -> Column:
+    """A hash of a block for the draws of a level of the tree; one that other engines have as well."""
+    return F.md5(F.concat_ws(":", F.lit(f"{seed}:{level}"), F.coalesce("source", F.lit("")), F.col("block").cast("string")).cast("binary"))
+
+
 def splitting_tree(targets: DataFrame, shards: int, blocks_per_shard: int, seed: int) -> DataFrame:
     """(source, block) -> shard: the blocks of every source's mix, split among shards by a tree of exact draws.
 
@@ -111,7 +116,7 @@ def splitting_tree(targets: DataFrame, shards: int, blocks_per_shard: int, seed:
     blocks = blocks.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
     for level in range(max(0, (shards - 1).bit_length())):
         node = Window.partitionBy("low", "high")
-        rank = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "block"), "source", "block"))
+        rank = F.row_number().over(node.orderBy(_order(seed, level), "source", "block"))
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         left = rank * (F.col("high") - F.col("low")) <= F.count("*").over(node) * (middle - F.col("low"))
         split = F.col("high") - F.col("low") > 1
@@ -144,22 +149,24 @@ def draw(planned: DataFrame, shards: int, blocks_per_shard: int, seed: int) -> D
 
 
 def digest(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, and taken, the words of its drawn copies."""
+    """One row per document: doc_id, size, source_size, target, taken, the words of its drawn copies, and shards, where the
+    tree put them: a shard for each pass, in order."""
     planned = saved(plan(docs), "planned")
     copies = saved(draw(planned, shards, blocks_per_shard, seed), "copies")
     keys = ["doc_id", "source", "size", "nth"]
-    drawn = copies.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(c).alias(f"k_{c}") for c in keys), "n")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"].cast("string")), ",")  # as many as passes
+    drawn = copies.groupBy(*keys).agg(F.count("*").alias("n"), listed.alias("shards")).select(*(F.col(c).alias(f"k_{c}") for c in keys), "n", "shards")
     same = F.lit(True)
     for c in keys:
         same &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    return planned.join(drawn, same, "left").select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"))
+    return planned.join(drawn, same, "left").select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, weights=WEIGHTS, passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
     """The mixed rows: docs' own columns, one row per taken copy, with `shard` and `shard_order`; sort by both to read.
 
     Rows of equal (doc_id, source, size) are taken one by one, in the order of their texts. Columns of docs named shard or
-    shard_order are replaced.
+    shard_order, in any case, are replaced.
     """
     docs = docs.drop("shard", "shard_order")
     planned = saved(plan(docs, weights, passes), "planned")
@@ -172,4 +179,4 @@ def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, weights=W
     if not planned.where("nth > 1 and size > 0").isEmpty():  # else texts need no order
         sized = sized.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")))
         same &= F.col(row) == k_nth
-    return sized.join(placed, same).select(*docs.columns, "shard", "shard_order")
+    return sized.join(placed, same).select(*named(docs.columns), "shard", "shard_order")

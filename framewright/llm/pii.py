@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import unused
+from .storage import named, unused
 
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 
@@ -190,9 +190,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names, text = docs.columns, F.col("text")
     (spans,) = unused(docs, "spans")
-    found = find(docs.withColumnRenamed("pii_spans", f"{spans}_own") if "pii_spans" in names else docs).withColumnRenamed("pii_spans", spans)
-    if "pii_spans" in names:
-        found = found.withColumnRenamed(f"{spans}_own", "pii_spans")
+    clash = [n for n in names if n.lower() == "pii_spans"]
+    found = find(docs.withColumnsRenamed({n: f"{spans}_own" for n in clash})).withColumnRenamed("pii_spans", spans)
+    found = found.withColumnsRenamed({f"{spans}_own": n for n in clash})
 
     def block(a: Column, some: Column) -> Column:
         """Appends a block's replaced stretch; substrings are taken from that stretch alone."""
@@ -213,4 +213,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = found.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.select(*named(names))

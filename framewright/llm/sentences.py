@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, release, saved, signed, unused
+from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, named, release, saved, signed, unused
 from .textarrays import U64, Words, mix, slices
 
 #: Sentences in a run, and the words a run must have: shorter ones are stock phrases, not passages.
@@ -233,9 +233,9 @@ def _without_repeats(docs: DataFrame, find) -> DataFrame:
     discard(places, repeated, first)  # before the texts are shuffled
     release(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
-    schema = "".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    cut = keyed.join(gone, key, "left").select(*docs.columns, gone_places).mapInArrow(_cut, schema + "text string, n_sentences long, n_removed long, n_words_removed long")
-    return cut.select(*docs.columns, "n_sentences", "n_removed", "n_words_removed")
+    schema = "".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    cut = keyed.join(gone, key, "left").select(*named(docs.columns), gone_places).mapInArrow(_cut, schema + "text string, n_sentences long, n_removed long, n_words_removed long")
+    return cut.select(*named(docs.columns), "n_sentences", "n_removed", "n_words_removed")
 
 
 def dedup(docs: DataFrame, k: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:

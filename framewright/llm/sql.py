@@ -35,6 +35,16 @@ select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coa
 from documents left join words using (doc_id) left join hits using (doc_id) left join found using (doc_id)
 """
 
+def _tree(levels: int) -> str:
+    """The splitting tree's levels: each node's blocks by a hash, the first of them to its left child."""
+    out = ""
+    for k in range(levels):
+        out += f"""l{k} as (select *, row_number() over (partition by low, high order by md5('7:{k}:' || coalesce(source, '') || ':' || block), source nulls first, block) as r, count(*) over (partition by low, high) as n, (low + high) // 2 as middle from b{k}),
+b{k + 1} as (select source, block, case when high - low > 1 and r * (high - low) > n * (middle - low) then middle else low end as low, case when high - low > 1 and r * (high - low) <= n * (middle - low) then middle else high end as high from l{k}),
+"""
+    return out
+
+
 MIX = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(coalesce(cast(doc_id as varchar), '')) as o from documents
@@ -57,9 +67,14 @@ t as (
     case when t.source_size > 0 then least(cast(floor(t.target / t.source_size) as bigint), 3) else 0 end as turns
   from d join t on d.source is not distinct from t.source
 )
-select doc_id, cast(size as bigint) as size, source_size, target,
-  cast(case when size = 0 then 0 else size * (turns + case when turns < 3 and place + size / 2 <= target - turns * source_size then 1 else 0 end) end as bigint) as taken
-from p
+, q as (select *, cast(case when size = 0 then 0 else turns + case when turns < 3 and place + size / 2 <= target - turns * source_size then 1 else 0 end end as bigint) as times from p),
+g as (select source, any_value(target) as target from q where times > 0 group by source), u as (select source, cast(ceil(case when sum(target) over () > 0 then target * 1024 / sum(target) over () else 0 end) as integer) as quota, sum(target) over () as whole from g),
+b0 as (select source, unnest(range(0, quota)) as block, 0 as low, 16 as high from u),
+""" + _tree(4) + r"""c as (
+  select doc_id, pass, least(cast(floor((place + (pass - 1) * source_size) * 1024 / whole) as integer), quota - 1) as block, u.source from (select *, unnest(range(1, times + 1)) as pass from q where times > 0) q join u on u.source is not distinct from q.source
+), e as (select doc_id, string_agg(cast(low as varchar), ',' order by pass) as shards from c join b4 on b4.source is not distinct from c.source and b4.block = c.block group by doc_id)
+select q.doc_id, cast(size as bigint) as size, source_size, target, times * cast(size as bigint) as taken, coalesce(shards, '') as shards
+from q left join e on e.doc_id is not distinct from q.doc_id
 """
 
 

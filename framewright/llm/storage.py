@@ -9,7 +9,8 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -51,6 +52,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [own + n for n in names]
 
 
+def named(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once nothing is going to read them again; other tables are left alone."""
     for df in tables:
@@ -79,8 +85,6 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS):
     """Broadcasts a bitmap of the well mixed long `column`. Bytes that hold a set bit are merged in Spark; the
     driver gets bits / 8 bytes at most."""
-    from pyspark.sql import functions as F
-
     slot = F.col(column).bitwiseAND(F.lit(bits - 1))
     parts = (
         df.where(F.col(column).isNotNull())
@@ -105,8 +109,6 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     Rows that a Bloom filter of the ids rules out pass without a shuffle; the others are settled by an exact anti-join. The
     driver and the broadcast hold 8 MB at most, however many ids there are. Repeated ids and nulls in gone are harmless.
     """
-    from pyspark.sql import functions as F
-
     name = gone.columns[0]
     hashed = F.xxhash64(F.col(column).cast("long"))
     bitmap = bloom(gone.where(F.col(name).isNotNull()).select(F.xxhash64(F.col(name).cast("long")).alias("slot")), "slot")
@@ -117,7 +119,7 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
 
     mark, other = unused(df, "maybe", "gone")
     marked = df.withColumn(mark, maybe(hashed))
-    own = [F.col(c) for c in df.columns]
+    own = named(df.columns)
     ids = gone.select(F.col(name).alias(other))
     unsure = marked.where(F.col(mark)).join(ids, F.col(column) == F.col(other), "left_anti")
     return marked.where(~F.col(mark)).select(*own).union(unsure.select(*own))

@@ -74,10 +74,11 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     break_ = np.concatenate(([True], (row[1:] != row[:-1]) | (spaces[1:] != spaces[:-1])))
     other_row = np.concatenate(([True], row[1:] != row[:-1]))
     alone = break_ & np.concatenate((break_[1:], [True]))  # letters that are words
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], alone, [False])).astype(np.int8)))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if b - a >= 3:  # spelled out: one piece within each text
-            break_[a + 1 : b] = other_row[a + 1 : b]
+    heads = np.flatnonzero(alone & (np.concatenate(([True], ~alone[:-1])) | other_row))
+    tails = np.flatnonzero(alone & np.concatenate((~alone[1:] | other_row[1:], [True]))) + 1
+    spelled = tails - heads >= 3  # letters of one text, spelled out: one piece
+    for a, b in zip(heads[spelled].tolist(), tails[spelled].tolist()):
+        break_[a + 1 : b] = False
     gap = ~break_
     gap[1:] &= at[1:] != at[:-1] + 1
     place = np.arange(len(at)) + np.cumsum(gap)

@@ -45,7 +45,7 @@ def floored(rows: DataFrame, scale: int) -> DataFrame:
     Rows whose vector is null or empty, or has a null component or one that is not finite (before or after the scaling), are left out.
     """
     others = [f for f in rows.schema if f.name != "embedding"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others) + "dim int, norm double, v array<double>"
+    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in others) + "dim int, norm double, v array<double>"
     return rows.withColumn("embedding", F.col("embedding").cast("array<double>")).mapInArrow(_floored(scale, [f.name for f in others]), schema)
 
 
