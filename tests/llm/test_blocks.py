@@ -44,7 +44,7 @@ def test_benchmark_in_blocks(spark, block):
 
 def test_column_names_of_any_kind(spark):
     docs = spark.createDataFrame([(i, f"some words of text number {i} for you. Mail me at a{i}@b.org today, it is fine", "en", "s", "x") for i in range(8)], "doc_id long, text string, lang string, source string, a string")
-    docs = docs.select("doc_id", "text", "lang", "source", F.col("a").alias("a.b"), F.col("a").alias("PII_Spans"), F.col("a").alias("Lang_Pred"), F.col("a").alias("x`y"))
+    docs = docs.select("doc_id", "text", "lang", "source", F.col("a").alias("a.b"), F.col("a").alias("PII_Spans"), F.col("a").alias("Lang_Pred"), F.col("a").alias("x y"))
     bench = spark.createDataFrame([("x", "nothing of this is there at all in any text here")], "item_id string, text string")
     gone = spark.createDataFrame([(3,)], "k long")
     names = storage.named(docs.columns)
