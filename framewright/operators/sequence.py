@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import bounded
+
 
 def ran(index: np.ndarray, ok: np.ndarray, gap: int, last: int | None = None) -> tuple[np.ndarray, int | None]:
     """Which of the rising indices run, and the last success: a frame runs without an earlier success, or `gap` or more after it."""
@@ -20,22 +24,40 @@ def ran(index: np.ndarray, ok: np.ndarray, gap: int, last: int | None = None) ->
     return out, last
 
 
+def _successes(gap: int):
+    """Of each clip's successes in order those that count: the first, then the next one `gap` or more after the last that did."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for clip in batch.column("good"):
+                good, at, own = clip.values.to_numpy(), 0, []
+                while at < len(good):
+                    own.append(good[at])
+                    at = int(np.searchsorted(good, good[at] + gap))
+                kept.append(own)
+            yield pa.record_batch([batch.column("clip_id"), pa.array(kept, pa.list_(pa.int32()))], names=["clip_id", "kept"])
+
+    return run
+
+
 def throttle(frames: DataFrame, gap: int = 15, success: str | None = None) -> DataFrame:
     """(clip_id, frame_idx) of the frames that run: the first, then each at least `gap` after the last that succeeded.
 
     `success` names a boolean column; without it every run succeeds. A repeated index counts once, as a success if one of its rows
-    is. With a gap of 0 or less every frame runs. A clip's indices and flags are one group, jumped through from success to success.
+    is. With a gap of 0 or less every frame runs. Only the successes that count are told clip by clip, from their indices alone, many
+    clips in a batch; which frames run follows from them by a window.
     """
     ok = F.max(F.coalesce(F.col(success), F.lit(False))) if success else F.lit(True)
-    rows = frames.groupBy("clip_id", "frame_idx").agg(ok.alias("ok"))
+    rows = frames.groupBy("clip_id", F.col("frame_idx").cast("int").alias("frame_idx")).agg(ok.alias("ok"))
     if gap <= 0:
         return rows.select("clip_id", "frame_idx")
-
-    def pick(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values("frame_idx")
-        return clip.loc[ran(clip["frame_idx"].to_numpy(), clip["ok"].to_numpy(bool), gap)[0], ["clip_id", "frame_idx"]]
-
-    return rows.groupBy("clip_id").applyInPandas(pick, "clip_id long, frame_idx int")
+    good = rows.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.when(F.col("ok"), F.col("frame_idx")))).alias("good"))
+    kept = bounded(good).mapInArrow(_successes(gap), "clip_id long, kept array<int>").select("clip_id", F.explode("kept").alias("frame_idx"), F.lit(True).alias("_kept"))
+    marked = rows.select("clip_id", "frame_idx", F.lit(False).alias("_kept")).unionAll(kept).groupBy("clip_id", "frame_idx").agg(F.max("_kept").alias("_kept"))
+    before = Window.partitionBy("clip_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_kept"), F.col("frame_idx"))).over(before)
+    return marked.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("frame_idx") - F.col("_last") >= gap)).select("clip_id", "frame_idx")
 
 
 def barrier(frames: DataFrame, processed: DataFrame) -> DataFrame:

@@ -129,3 +129,22 @@ def test_tensor_rows(spark):
     assert len(got) == 14
     assert got[1, 2] == ([2.0, 9.0, 16.0, 23.0], [30.0], [37.0])
     assert got[2, 2] == ([12.0, 13.0, 14.0, 15.0], [16.0], [17.0])
+
+
+def test_statistics_of_timings(spark):
+    """Ties, one value, nulls, an outlier, many blocks: percentiles and running means as numpy has them."""
+    from framewright.operators import perf
+
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=501).round(3).tolist(), "b": [2.5], "c": [1.0] * 40 + [7.0] * 3, "d": [*rng.random(50).tolist(), 1e9], "e": [None, 3.0, 4.0], "f": [None]}
+    rows = [(k, i, v) for k, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "provider string, run_id long, total_ms double")
+    got = {r.provider: r for r in perf.summary(df).collect()}
+    for k, x in groups.items():
+        x = [v for v in x if v is not None]
+        assert got[k].n == len(groups[k])
+        assert [got[k][f"p{p}"] for p in (50, 90, 99)] == (pytest.approx(np.percentile(x, (50, 90, 99)).tolist(), rel=1e-12) if x else [None] * 3)
+    for r in perf.cumulative(df, every=7, block=16).collect():
+        x = [v for v in groups[r.provider][: r.n] if v is not None]
+        assert r.n % 7 == 0 and r.run_id == r.n - 1
+        assert (r.avg, r.min, r.max) == (pytest.approx(np.mean(x), abs=1e-5), min(x), max(x))
