@@ -10,7 +10,8 @@ from .functions import pixels as px
 from .operators import detect, media, motion, paths, perf, render, select, sequence, trajectory
 from .plans.stabilise import export_plan, stabilise, stabilise_xy
 from .sources import adapters as a
-from .sources import plots
+from .sources import files, plots
+from .storage import new_folder
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -575,6 +576,14 @@ def step2(spark, d):
     return _rounded(paths.smoothed(_positions(spark, d), of=("x", "y")), "smooth_x", "smooth_y", places=4)
 
 
+@_add("snk2_trajectory_file", f"with {TRACKS}, {_ANCHOR}, {_ANCHOR_Y}, j as (select clip_id, frame_idx, p.position as x, py.position as y from p join py using (clip_id, frame_idx)), k as (select *, least(greatest(x - 480.0, -10000.0::double), 10000.0::double) as dx, least(greatest(y - 270.0, -10000.0::double), 10000.0::double) as dy from j) select clip_id, frame_idx, cast(frame_idx as bigint) * 40000000 as time_ns, round(x, 3) + 0.0 as obj_x, round(y, 3) + 0.0 as obj_y, 480.0::double as target_x, 270.0::double as target_y, round(dx, 3) + 0.0 as delta_x, round(dy, 3) + 0.0 as delta_y, round(sqrt(dx * dx + dy * dy), 3) as delta_norm from k")
+def trajectory_file(spark, d):
+    rows = stabilise_xy(a.tracks(spark, d)).withColumnsRenamed({"x": "obj_x", "y": "obj_y"})
+    rows = rows.withColumns({"time_ns": F.col("frame_idx").cast("long") * 40_000_000, "target_x": F.lit(480.0), "target_y": F.lit(270.0)})
+    files.write_trajectory(rows, path := new_folder(spark, "trajectories"))
+    return _rounded(files.read_trajectory(spark, path), "obj_x", "obj_y", "delta_x", "delta_y", "delta_norm", places=3)
+
+
 _LIMITED = "round(least(greatest(p.{0} - s.s{0}, -10000.0::double), 10000.0::double), 3) + 0.0 as delta_{0}"
 
 

@@ -21,4 +21,11 @@ def write_trajectory(rows: DataFrame, path: str) -> int:
     rows = rows.withColumn("delta_norm", F.sqrt(F.col("delta_x") * F.col("delta_x") + F.col("delta_y") * F.col("delta_y")))
     sorted_rows = rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_idx")
     sorted_rows.select("clip_id", *COLUMNS).write.partitionBy("clip_id").mode("overwrite").option("header", True).csv(path)
-    return rows.sparkSession.read.option("header", True).csv(path).count()
+    return read_trajectory(rows.sparkSession, path).count()
+
+
+def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
+    """clip_id and COLUMNS of written trajectories; a file that does not hold them fails."""
+    kinds = {"frame_idx": "int", "time_ns": "long"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in COLUMNS) + ", clip_id long"
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path).select("clip_id", *COLUMNS)

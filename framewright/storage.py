@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the session's checkpoint folder; lost executors cost no recomputation behind it.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's setting; a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    path = spark.conf.get(SHARED, None) or context.getConf().get(SHARED)
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {SHARED} to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set(SHARED, path)
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the session's setting; a local session without one gets a folder of its own.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written to the session's checkpoint folder; lost executors cost no recomputation behind it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get(SHARED, None) or context.getConf().get(SHARED)
-        if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError(f"set {SHARED} to a folder that all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
