@@ -97,3 +97,21 @@ def test_patience(store):
     finally:
         query.stop()
     assert rows == {(1, 4, None, False), (1, 5, None, False)}
+
+
+def test_cache_of_the_latest(spark):
+    """Updates over three batches end with the batch operator's rows."""
+    from framewright.streaming import stateful
+
+    rng = random.Random(9)
+    rows = [(c, i) for c in (1, 2) for i in rng.sample(range(100), 40)]
+    parts = [rows[k::3] for k in range(3)]
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.clip_id: (r.n, r.oldest, r.newest) for r in batch.collect()})
+
+    check = folder()
+    run(spark, "clip_id long, frame_idx int", parts, lambda s: stateful.latest_stream(s, 8).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start())
+    kept = sequence.keep_latest(spark.createDataFrame(rows, "clip_id long, frame_idx int"), 8).groupBy("clip_id").agg(F.count("*").alias("n"), F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    assert seen == {r.clip_id: (r.n, r.a, r.b) for r in kept.collect()}
