@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, discard, named, saved, unused
+from .storage import bounded, discard, named, plainly, saved, unused
 from .textarrays import U64, Words, mix, slices
 
 WINDOW, SHINGLE = 10, 5
@@ -250,7 +250,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and wordless texts stay; repeated rows go or stay together; an empty table or benchmark drops nothing.
     """
-    names = tuple(unused(docs, "n", "hits", "items"))
-    return scan(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*named(docs.columns))
+    def cleaned(docs: DataFrame) -> DataFrame:
+        names = tuple(unused(docs, "n", "hits", "items"))
+        return scan(docs, benchmark, names=names).where(F.size(names[1]) == 0).select(*named(docs.columns))
+
+    return plainly(docs, cleaned)
 
 

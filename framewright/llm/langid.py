@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded, discard, named, saved, unused
+from .storage import bounded, discard, named, plainly, saved, unused
 
 #: Training documents sampled for each language, and characters taken from each: the bound of what is fitted.
 SAMPLE_DOCS, PIECE_CHARS = 240, 800
@@ -158,9 +158,11 @@ def accepted(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     Texts that are null or have no letter go, and so do very short ones whose two best languages tie. Repeated rows are judged
     alike; an empty table stays empty; without labelled rows everything goes.
     """
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
+
+    def told(docs: DataFrame) -> DataFrame:
+        found = identify(docs, fit(docs.where(~held_out(F.col("doc_id")))))
+        return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin)).select(*named(docs.columns))
+
     names, clash = docs.columns, [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
     other = unused(docs, *clash)
-    renamed = docs.withColumnsRenamed(dict(zip(clash, other)))
-    found = identify(renamed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_margin))
-    return found.select(*named(renamed.columns)).withColumnsRenamed(dict(zip(other, clash))).select(*named(names))
+    return plainly(docs.withColumnsRenamed(dict(zip(clash, other))), told).withColumnsRenamed(dict(zip(other, clash))).select(*named(names))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, named, release, saved, signed, unused
+from .storage import BLOOM_BITS, bloom, bounded, discard, in_bloom, named, plainly, release, saved, signed, unused
 from .textarrays import U64, Words, mix, slices
 
 #: Sentences in a run, and the words a run must have: shorter ones are stock phrases, not passages.
@@ -247,7 +247,7 @@ def dedup(docs: DataFrame, k: int = RUN, min_words: int = MIN_WORDS) -> DataFram
     of fewer than k sentences stay. Rows alike in doc_id and text are treated alike: each stands for the same occurrence.
     Columns of docs named as the results are replaced; others stay.
     """
-    return _without_repeats(docs, lambda s: s.runs(k, min_words))
+    return plainly(docs, lambda x: _without_repeats(x, lambda s: s.runs(k, min_words)))
 
 
 def passages(docs: DataFrame, k: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -258,7 +258,7 @@ def passages(docs: DataFrame, k: int = RUN, min_words: int = MIN_WORDS) -> DataF
     MIN_PIECES words, which any passage of 51 words holds wherever it starts and ends. So no such passage stays whole;
     at either end, up to WINDOW words of it may stay with a sentence that it shares in part.
     """
-    return _without_repeats(docs, lambda s: s.spans(k, min_words))
+    return plainly(docs, lambda x: _without_repeats(x, lambda s: s.spans(k, min_words)))
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -57,6 +57,15 @@ def named(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def plainly(docs: DataFrame, run) -> DataFrame:
+    """run(docs) with columns whose names hold dots or backticks under plain names meanwhile: mapInArrow cannot take them."""
+    odd = [c for c in docs.columns if "." in c or "`" in c]
+    if not odd:
+        return run(docs)
+    other = unused(docs, *(f"odd_{i}" for i in range(len(odd))))
+    return run(docs.withColumnsRenamed(dict(zip(odd, other)))).withColumnsRenamed(dict(zip(other, odd)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once nothing is going to read them again; other tables are left alone."""
     for df in tables:
