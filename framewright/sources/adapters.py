@@ -33,8 +33,10 @@ def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame_idx, det_id, class_id, score and corners from lineitem."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame_idx"), F.row_number().over(w).cast("int").alias("det_id"), (F.col("l_linenumber") % 2).alias("class_id"), F.col("l_extendedprice").alias("score"),
+    # numbered before the names change: in one select Spark would not know that the rows are dealt by frame_idx, and shuffle them again
+    rows = table(spark, sf_dir, "lineitem").withColumn("det_id", F.row_number().over(w).cast("int"))
+    return rows.select(
+        F.col("l_orderkey").alias("frame_idx"), "det_id", (F.col("l_linenumber") % 2).alias("class_id"), F.col("l_extendedprice").alias("score"),
         x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity")).alias("x2"), (y + F.col("l_quantity")).alias("y2"),
     )
 

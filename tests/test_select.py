@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from framewright import queries
 from framewright.functions import geometry as g
 from framewright.functions import media as m
 from framewright.functions import pixels as px
@@ -34,6 +35,36 @@ def test_clicks_hit_boxes(spark):
     assert {r.click_id: (r.det_id, r.hits) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("many, listed", [(128, 10), (30, 10), (30, 0), (0, 1)])
+def test_clicks_of_busy_frames(spark, monkeypatch, many, listed):
+    """With and without a grid, busy frames broadcast or joined: the same hits; columns beside them stay, clicks without a place or a frame too."""
+    monkeypatch.setattr(select, "LISTED", listed)
+    rng = random.Random(11)
+    boxes = [(f, i, float(rng.randrange(3)), x, y, x + rng.randrange(90), y + rng.randrange(90)) for f, n in ((0, 50), (1, 5), (2, 40)) for i in range(n) for x, y in [(rng.randrange(200) - 50.0, rng.randrange(200) - 50.0)]]
+    clicks = [(k, rng.randrange(4), float(rng.randrange(200)), float(rng.randrange(200)), f"n{k}") for k in range(60)] + [(90, 0, None, 1.0, "a"), (91, 1, 1.0, None, "b"), (92, None, 1.0, 1.0, None)]
+    want = {}
+    for k, f, x, y, n in clicks:
+        hit = sorted((-b[2], b[1]) for b in boxes if x is not None and y is not None and b[0] == f and b[3] <= x <= b[5] and b[4] <= y <= b[6])
+        want[k] = (f, x, y, n, hit[0][1] if hit else None, len(hit))
+    df = spark.createDataFrame(clicks, "click_id int, f int, x double, y double, note string")
+    got = select.hit_boxes(df, spark.createDataFrame(boxes, "f int, det_id int, score double, x1 double, y1 double, x2 double, y2 double"), ["f"], 7, many).collect()
+    assert len(got) == len(want) and {r.click_id: (r.f, r.x, r.y, r.note, r.det_id, r.hits) for r in got} == want
+
+
+def test_boxes_are_a_row_each(spark):
+    """A box as wide as a billion cells is no billion rows, and numbered boxes are not shuffled again to meet the clicks."""
+    clicks = spark.createDataFrame([(1, 0, 5e8, 5.0)], "click_id int, f int, x double, y double")
+    wide = spark.createDataFrame([(0, 7, 1.0, 0.0, 0.0, 1e9, 9.0)], "f int, det_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.det_id, r.hits) for r in select.hit_boxes(clicks, wide, ["f"], 1).collect()] == [(7, 1)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES["prj22_jn7_clicks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange") == 2 and "Generate" not in plan
+
+
 @pytest.mark.parametrize("block", [3, 10, 1000])
 def test_seek(spark, block):
     rng = random.Random(5)
