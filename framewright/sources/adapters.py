@@ -15,8 +15,9 @@ def tracks(spark: SparkSession, sf_dir: str, clip_id: int | None = None) -> Data
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events")
     events = events if clip_id is None else events.where(F.col("user_id") == clip_id)
-    return events.select(
-        F.col("user_id").alias("clip_id"), (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), (F.col("event_type") != "error").alias("delta_valid"),
+    # numbered before the names change, as dets below
+    return events.withColumn("frame_idx", (F.row_number().over(w) - 1).cast("int")).select(
+        F.col("user_id").alias("clip_id"), "frame_idx", (F.col("event_type") != "error").alias("delta_valid"),
         (F.col("value") - 50.0).alias("delta_x"), (F.regexp_extract("props", "([0-9]+)", 1).cast("double") - 50.0).alias("delta_y"),
         (F.col("event_type") == "signup").alias("center_valid"), F.col("value").alias("center_x"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("center_y"),

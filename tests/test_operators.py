@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import pathlib
+import random
 import tempfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framewright import queries
 from framewright.functions import geometry as g
 from framewright.functions import media as m
 from framewright.operators import detect, motion, render, sequence, trajectory
@@ -117,6 +121,29 @@ def test_trajectory_file(spark):
     assert files.write_trajectory(df, tempfile.mkdtemp(prefix="spark-") + "/csv") == 1
 
 
+@pytest.mark.parametrize("folders", [False, True])
+def test_trajectory_files_of_many_clips(spark, folders):
+    """All rows come back, odd numbers too; a clip lies in one file in frame order, and without folders files do not grow with the clips."""
+    rows = [(c, i, i * 40, i / 3, -1e-7 * i, 480.0, 270.0, float("nan") if i == 2 else 3.0 * i, 4.0 * i) for c in [*range(60), None] for i in range(4 - (c or 0) % 3)]
+    schema = "clip_id long, frame_idx int, time_ns long, obj_x double, obj_y double, target_x double, target_y double, delta_x double, delta_y double"
+    path = tempfile.mkdtemp(prefix="spark-") + "/csv"
+    random.Random(4).shuffle(rows)
+    assert files.write_trajectory(spark.createDataFrame(rows, schema), path, *[True] * folders) == len(rows)
+    want = {(*r, math.hypot(*r[-2:])) for r in rows}
+    assert sorted(map(repr, map(tuple, files.read_trajectory(spark, path).collect()))) == sorted(map(repr, want))
+    if not folders:
+        parts = [[line.split(",")[:2] for line in p.read_text().splitlines()[1:]] for p in pathlib.Path(path).glob("*.csv")]
+        assert 0 < len(parts) <= 4 and sorted(c for p in parts for c in dict(p)) == sorted("" if c is None else str(c) for c in [*range(60), None])
+        for p in parts:
+            assert p == sorted(p, key=lambda x: (int(x[0] or -1), int(x[1])))
+
+
+def test_clips_are_dealt_once(spark):
+    """Numbering a clip's frames and integrating them share a shuffle."""
+    plan = queries.QUERIES["step1_trajectory_xy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_tensor_rows(spark):
     data = [float(i) for i in range(12)]
     rows = [(1, [1, 6, 2], data), (2, [1, 2, 6], data), (3, [1, 12, 1], data), (4, [2, 6, 2], data), (5, [1, 6, 2], data[:5]), (6, [12], data), (7, None, data), (8, [1, 6, 2], None), (9, [1, 5, 2], data[:10])]
